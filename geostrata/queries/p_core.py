@@ -101,23 +101,23 @@ WITH RECURSIVE j AS (
   SELECT tileset_id AS record_id, CASE WHEN json_valid(tileset_json) THEN CASE WHEN json_type(tileset_json) = 'VARCHAR' THEN tileset_json::JSON ->> '$' ELSE tileset_json END END AS t FROM tileset),
 ok AS (SELECT record_id, t::JSON AS t FROM j WHERE t IS NOT NULL AND json_valid(t)),
 tile AS (
-  SELECT record_id, '0' AS node_path, '' AS parent_path, t -> '$.root' AS t FROM ok WHERE json_type(t -> '$.root') = 'OBJECT'
+  SELECT record_id, '0' AS node_path, '' AS parent_path, json_extract(t, '$.root') AS t FROM ok WHERE json_type(json_extract(t, '$.root')) = 'OBJECT'
   UNION ALL
   SELECT record_id, node_path || '.' || (unnest(range(len(kids))))::VARCHAR, node_path, unnest(kids)
-  FROM (SELECT record_id, node_path, CASE json_type(t -> '$.children') WHEN 'ARRAY' THEN (t -> '$.children[*]') WHEN 'OBJECT' THEN [t -> '$.children'] END AS kids FROM tile WHERE json_type(t) = 'OBJECT')
+  FROM (SELECT record_id, node_path, CASE json_type(json_extract(t, '$.children')) WHEN 'ARRAY' THEN (json_extract(t, '$.children[*]')) WHEN 'OBJECT' THEN [json_extract(t, '$.children')] END AS kids FROM tile WHERE json_type(t) = 'OBJECT')
   WHERE kids IS NOT NULL),
 p AS (
   SELECT object_id AS record_id, CASE WHEN json_valid(properties) THEN CASE WHEN json_type(properties) = 'VARCHAR' THEN properties::JSON ->> '$' ELSE properties END END AS t FROM ifcobjectgeom),
 sets AS (
-  SELECT record_id, unnest(range(len(s))) AS k, unnest(s) AS s FROM (SELECT record_id, t::JSON -> '$[*]' AS s FROM p WHERE t IS NOT NULL AND json_valid(t) AND json_type(t) = 'ARRAY')),
+  SELECT record_id, unnest(range(len(s))) AS k, unnest(s) AS s FROM (SELECT record_id, json_extract(t::JSON, '$[*]') AS s FROM p WHERE t IS NOT NULL AND json_valid(t) AND json_type(t) = 'ARRAY')),
 pset AS (SELECT * FROM sets WHERE json_type(s) = 'ARRAY'),
-prop AS (SELECT record_id, k, unnest(range(len(e))) AS m, unnest(e) AS e FROM (SELECT record_id, k, s -> '$[*]' AS e FROM pset))
+prop AS (SELECT record_id, k, unnest(range(len(e))) AS m, unnest(e) AS e FROM (SELECT record_id, k, json_extract(s, '$[*]') AS e FROM pset))
 SELECT DISTINCT * FROM (
 SELECT 'tile' AS rec_kind, record_id, node_path, parent_path FROM tile WHERE json_type(t) = 'OBJECT'
 UNION ALL
 SELECT 'box', record_id, node_path, parent_path FROM tile
-WHERE json_type(t -> '$.boundingVolume.box') = 'ARRAY' AND json_array_length(t -> '$.boundingVolume.box') = 12
-  AND len(list_filter(t -> '$.boundingVolume.box[*]', lambda x: json_type(x) IN ('DOUBLE', 'UBIGINT', 'BIGINT'))) = 12
+WHERE json_type(json_extract(t, '$.boundingVolume.box')) = 'ARRAY' AND json_array_length(json_extract(t, '$.boundingVolume.box')) = 12
+  AND len(list_filter(json_extract(t, '$.boundingVolume.box[*]'), lambda x: json_type(x) IN ('DOUBLE', 'UBIGINT', 'BIGINT'))) = 12
 UNION ALL
 SELECT 'pset', record_id, k::VARCHAR, '' FROM pset
 UNION ALL
