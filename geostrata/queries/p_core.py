@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geostrata.operators import nested, wide_table
+from geostrata.operators import hierarchy, nested, wide_table
 from geostrata.runtime import read
 
 QUERIES = {}
@@ -62,6 +62,48 @@ def p4_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.prop_values(nested.property_columns(read(spark, sf_dir, "ifcobjectgeom")))
 
 
+def _building_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = hierarchy.buildings(read(spark, sf_dir, "building"))
+    r = hierarchy.resolve(b, "root").join(b.select("id", "root"), "id")
+    wrong = F.when(F.col("root").isNull() | (F.col("root") != F.col("top_id")), F.lit("wrong_root"))
+    return r.withColumn("fault", F.coalesce("fault", wrong))
+
+
+def _tileset_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = read(spark, sf_dir, "tileset")
+    return hierarchy.tileset_links(t, nested.contents(nested.tile_columns(t)))
+
+
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed chains, nodes below them, orphans and wrong stored roots."""
+    b = _building_faults(spark, sf_dir).filter("fault is not null")
+    t = hierarchy.resolve(_tileset_links(spark, sf_dir)).filter("fault in ('cycle', 'below_cycle')")
+    one = lambda df, hier: df.select(F.lit(hier).alias("hier"), F.col("id").alias("node_id"), "fault", "top_id", F.col("links_up").cast("int").alias("links_up"))
+    return one(b, "building").union(one(t, "tileset"))
+
+
+@query
+def p3_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Path, depth and top of every building row."""
+    r = hierarchy.resolve(hierarchy.buildings(read(spark, sf_dir, "building")), "root", paths=True)
+    return r.filter("fault is null or fault = 'orphan'").select("id", "top_id", F.col("links_up").cast("int").alias("depth"), F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"))
+
+
+@query
+def p3_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node with every ancestor, itself included, of the trees that end."""
+    r = hierarchy.resolve(hierarchy.buildings(read(spark, sf_dir, "building")), "root", paths=True)
+    return hierarchy.closure(r.filter("fault is null or fault = 'orphan'"))
+
+
+@query
+def p3_tileset_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Path, depth and top of every tileset."""
+    r = hierarchy.resolve(_tileset_links(spark, sf_dir), paths=True)
+    return r.filter("fault is null or fault = 'orphan'").select("id", "top_id", F.col("links_up").cast("int").alias("depth"), F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"))
+
+
 SQL["p1_found"] = r"""
 WITH names AS (
   SELECT attr_name, coalesce(data_kind, 'text') AS kind, lower(regexp_replace(coalesce(base_unit, ''), '[/().]', '', 'g')) AS unit,
@@ -123,3 +165,43 @@ SELECT 'pset', record_id, k::VARCHAR, '' FROM pset
 UNION ALL
 SELECT 'prop', record_id, k::VARCHAR || '.' || (m - 1)::VARCHAR, k::VARCHAR FROM prop WHERE m > 0 AND json_type(e) = 'ARRAY')
 """
+
+_CHAINS = r"""
+WITH RECURSIVE b AS (
+  SELECT id, building_parent_id AS parent, building_root_id AS root FROM building WHERE id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY last_modified_at DESC NULLS LAST, loaded_at DESC NULLS LAST, building_parent_id DESC NULLS LAST, building_root_id DESC NULLS LAST) = 1),
+walk AS (
+  SELECT id, id AS pos, parent AS up, 0 AS links, [id] AS seen, false AS closed FROM b
+  UNION ALL
+  SELECT w.id, b.id, b.parent, w.links + 1, list_append(w.seen, b.id), list_contains(w.seen, b.id)
+  FROM walk w JOIN b ON b.id = w.up WHERE NOT w.closed),
+fin AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY id ORDER BY links DESC) = 1)
+"""
+SQL["p3_paths"] = _CHAINS + r"""
+SELECT id, pos AS top_id, links AS depth, array_to_string(list_reverse(seen), '/') AS path FROM fin WHERE NOT closed
+"""
+SQL["p3_descendants"] = _CHAINS + r"""
+SELECT w.pos AS ancestor_id, w.id AS node_id, w.links AS distance FROM walk w JOIN fin f ON f.id = w.id WHERE NOT f.closed
+"""
+SQL["p3_found"] = _CHAINS.rstrip() + r""",
+faults AS (
+  SELECT f.id, b.root, closed,
+    CASE WHEN closed THEN list_position(seen, pos) - 1 ELSE links END AS links_up,
+    CASE WHEN closed THEN list_min(list_slice(seen, list_position(seen, pos), len(seen))) ELSE pos END AS top_id,
+    f.up FROM fin f JOIN b ON b.id = f.id),
+tj AS (SELECT tileset_id AS id, CASE WHEN json_valid(tileset_json) THEN CASE WHEN json_type(tileset_json) = 'VARCHAR' THEN tileset_json::JSON ->> '$' ELSE tileset_json END END AS t FROM tileset),
+uris AS (SELECT id, unnest(regexp_extract_all(t, '"ur[il]"\s*:\s*"([^"]*/)?([^"/]+)/tileset[.]json"', 2)) AS dir_name FROM tj WHERE t IS NOT NULL AND json_valid(t)),
+tl AS (SELECT t.tileset_id AS id, min(u.id) AS parent FROM tileset t LEFT JOIN uris u ON u.dir_name = t.dir_name GROUP BY 1),
+tw AS (
+  SELECT id, id AS pos, parent AS up, [id] AS seen, false AS closed FROM tl
+  UNION ALL
+  SELECT w.id, l.id, l.parent, list_append(w.seen, l.id), list_contains(w.seen, l.id) FROM tw w JOIN tl l ON l.id = w.up WHERE NOT w.closed)
+SELECT 'building' AS hier, id AS node_id,
+  CASE WHEN closed AND links_up = 0 THEN 'cycle' WHEN closed THEN 'below_cycle' WHEN up IS NOT NULL THEN 'orphan' ELSE 'wrong_root' END AS fault,
+  top_id, CAST(links_up AS INTEGER) AS links_up
+FROM faults WHERE closed OR up IS NOT NULL OR root IS NULL OR root <> top_id
+UNION ALL
+SELECT 'tileset', id, CASE WHEN list_position(seen, pos) = 1 THEN 'cycle' ELSE 'below_cycle' END,
+  list_min(list_slice(seen, list_position(seen, pos), len(seen))), CAST(list_position(seen, pos) - 1 AS INTEGER)
+FROM tw WHERE closed
+"""
