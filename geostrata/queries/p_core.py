@@ -190,7 +190,7 @@ faults AS (
     CASE WHEN closed THEN list_min(list_slice(seen, list_position(seen, pos), len(seen))) ELSE pos END AS top_id,
     f.up FROM fin f JOIN b ON b.id = f.id),
 tj AS (SELECT tileset_id AS id, CASE WHEN json_valid(tileset_json) THEN CASE WHEN json_type(tileset_json) = 'VARCHAR' THEN tileset_json::JSON ->> '$' ELSE tileset_json END END AS t FROM tileset),
-uris AS (SELECT id, unnest(regexp_extract_all(t, '"ur[il]"\s*:\s*"([^"]*/)?([^"/]+)/tileset[.]json"', 2)) AS dir_name FROM tj WHERE t IS NOT NULL AND json_valid(t)),
+uris AS (SELECT id, unnest(regexp_extract_all(t, '"ur[il]"\s*:\s*"([^"]*/)?([^"/]+)/tileset[.]json(?:[?#][^"]*)?"', 2)) AS dir_name FROM tj WHERE t IS NOT NULL AND json_valid(t)),
 tl AS (SELECT t.tileset_id AS id, min(u.id) AS parent FROM tileset t LEFT JOIN uris u ON u.dir_name = t.dir_name GROUP BY 1),
 tw AS (
   SELECT id, id AS pos, parent AS up, [id] AS seen, false AS closed FROM tl
