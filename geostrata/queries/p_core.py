@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geostrata.operators import hierarchy, nested, wide_table
-from geostrata.runtime import read
+from geostrata.operators import fill, hierarchy, near, nested, wide_table
+from geostrata.runtime import read, stored
 
 QUERIES = {}
 SQL = {}
@@ -104,6 +104,36 @@ def p3_tileset_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.filter("fault is null or fault = 'orphan'").select("id", "top_id", F.col("links_up").cast("int").alias("depth"), F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"))
 
 
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features whose height or width was missing and is marked as filled."""
+    f = fill.fill(read(spark, sf_dir, "geojson"))
+    return f.filter("field_name in ('HAUTEUR', 'LARGEUR') and method <> 'observed'").select("feature_id", "field_name")
+
+
+@query
+def p2_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every filled value with method and distance."""
+    f = fill.fill(read(spark, sf_dir, "geojson"))
+    return f.filter("method <> 'observed'").select("feature_id", "field_name", F.round("num", 3).alias("num"), "cat", "method", "gap_days")
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features less than 5 m apart, and the zones around each feature."""
+    p = stored(near.locations(read(spark, sf_dir, "geojson")))
+    pairs = near.near_pairs(p, 5.0).select(F.lit("near").alias("rel"), "low_id", "high_id")
+    zones = near.containing_zones(p, read(spark, sf_dir, "loa_zone"))
+    return pairs.union(zones.select(F.lit("zone").alias("rel"), F.col("zone_id").alias("low_id"), F.col("feature_id").alias("high_id")))
+
+
+@query
+def p5_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The location of each feature in metres."""
+    p = near.locations(read(spark, sf_dir, "geojson"))
+    return p.select("feature_id", F.round(F.col("x") / near.UNIT, 4).alias("x"), F.round(F.col("y") / near.UNIT, 4).alias("y"))
+
+
 SQL["p1_found"] = r"""
 WITH names AS (
   SELECT attr_name, coalesce(data_kind, 'text') AS kind, lower(regexp_replace(coalesce(base_unit, ''), '[/().]', '', 'g')) AS unit,
@@ -205,3 +235,43 @@ SELECT 'tileset', id, CASE WHEN list_position(seen, pos) = 1 THEN 'cycle' ELSE '
   list_min(list_slice(seen, list_position(seen, pos), len(seen))), CAST(list_position(seen, pos) - 1 AS INTEGER)
 FROM tw WHERE closed
 """
+
+SQL["p2_found"] = r"""
+WITH m AS (
+  SELECT feature_id, CASE layer WHEN 'BATIMENT' THEN 'HAUTEUR' ELSE 'LARGEUR' END AS field_name,
+         CASE layer WHEN 'BATIMENT' THEN properties ->> '$.HAUTEUR' ELSE properties ->> '$.LARGEUR' END AS v
+  FROM geojson WHERE layer IN ('BATIMENT', 'TRONCON_ROUTE') AND feature_id IS NOT NULL),
+n AS (SELECT *, TRY_CAST(replace(regexp_extract(trim(v), '^([+-]?[0-9]+([.,][0-9]+)?)( *m)?$', 1), ',', '.') AS DOUBLE) AS x FROM m)
+SELECT feature_id, field_name FROM n
+WHERE x IS NULL OR NOT (CASE field_name WHEN 'HAUTEUR' THEN x BETWEEN 2 AND 120 ELSE x BETWEEN 1.5 AND 40 END)
+"""
+
+_LOCATIONS = r"""
+WITH f AS (
+  SELECT feature_id, feature_code, geometry.geom_type AS g, geometry.coordinates AS c FROM geojson WHERE json_valid(geometry.coordinates)),
+part AS (SELECT feature_id, feature_code, CASE WHEN starts_with(g, 'Multi') THEN json_extract(c::JSON, '$[0]')::VARCHAR ELSE c END AS c FROM f),
+pt AS (SELECT feature_id, feature_code, unnest(regexp_extract_all(c, '\[[ ]*([-+0-9.eE]+)[ ]*,[ ]*([-+0-9.eE]+)', 1))::DOUBLE AS a, unnest(regexp_extract_all(c, '\[[ ]*([-+0-9.eE]+)[ ]*,[ ]*([-+0-9.eE]+)', 2))::DOUBLE AS b FROM part),
+xy AS (SELECT feature_id, feature_code, CASE WHEN a > 4e6 THEN b ELSE a END AS x, CASE WHEN a > 4e6 THEN a ELSE b END AS y FROM pt),
+loc AS (SELECT feature_id, any_value(feature_code) AS code, CAST(round((min(x) + max(x)) / 2 * 10000) AS BIGINT) AS x, CAST(round((min(y) + max(y)) / 2 * 10000) AS BIGINT) AS y FROM xy GROUP BY 1)
+""".replace("\\\\", "\\")
+SQL["p5_locations"] = _LOCATIONS + "SELECT feature_id, round(x / 10000, 4) AS x, round(y / 10000, 4) AS y FROM loc"
+SQL["p5_found"] = _LOCATIONS.rstrip() + r""",
+cells AS (SELECT *, x // 50000 AS cx, y // 50000 AS cy FROM loc),
+around AS (SELECT c.*, c.cx + dx.v AS nx, c.cy + dy.v AS ny FROM cells c, (SELECT unnest([-1, 0, 1]) AS v) dx, (SELECT unnest([-1, 0, 1]) AS v) dy),
+ring AS (SELECT zone_id, list_transform(ring, lambda p: {'x': CAST(round(p.x * 10000) AS BIGINT), 'y': CAST(round(p.y * 10000) AS BIGINT)}) AS r FROM loa_zone),
+edge AS (SELECT zone_id, unnest(r) AS a, unnest(list_append(r[2:], r[1])) AS b FROM ring),
+side AS (
+  SELECT l.feature_id, e.zone_id, CAST(e.b.x - e.a.x AS HUGEINT) * (l.y - e.a.y) - CAST(e.b.y - e.a.y AS HUGEINT) * (l.x - e.a.x) AS z, l.x, l.y, e.a, e.b
+  FROM loc l JOIN (SELECT zone_id, min(a.x) AS x1, max(a.x) AS x2, min(a.y) AS y1, max(a.y) AS y2 FROM edge GROUP BY 1) w ON l.x > w.x1 AND l.x < w.x2 AND l.y > w.y1 AND l.y < w.y2
+  JOIN edge e ON e.zone_id = w.zone_id),
+counted AS (
+  SELECT zone_id, feature_id,
+    sum(CASE WHEN (a.y <= y AND b.y > y AND z > 0) OR (b.y <= y AND a.y > y AND z < 0) THEN 1 ELSE 0 END) AS n,
+    bool_or(z = 0 AND x BETWEEN least(a.x, b.x) AND greatest(a.x, b.x) AND y BETWEEN least(a.y, b.y) AND greatest(a.y, b.y)) AS rim
+  FROM side GROUP BY 1, 2)
+SELECT 'near' AS rel, a.feature_id AS low_id, b.feature_id AS high_id
+FROM cells a JOIN around b ON a.cx = b.nx AND a.cy = b.ny AND a.feature_id < b.feature_id AND a.code <> b.code
+WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < 50000 * 50000::BIGINT
+UNION ALL
+SELECT 'zone', zone_id, feature_id FROM counted WHERE n % 2 = 1 AND NOT rim
+"""
