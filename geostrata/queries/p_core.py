@@ -253,7 +253,7 @@ part AS (SELECT feature_id, feature_code, CASE WHEN starts_with(g, 'Multi') THEN
 pt AS (SELECT feature_id, feature_code, unnest(regexp_extract_all(c, '\[[ ]*([-+0-9.eE]+)[ ]*,[ ]*([-+0-9.eE]+)', 1))::DOUBLE AS a, unnest(regexp_extract_all(c, '\[[ ]*([-+0-9.eE]+)[ ]*,[ ]*([-+0-9.eE]+)', 2))::DOUBLE AS b FROM part),
 xy AS (SELECT feature_id, feature_code, CASE WHEN a > 4e6 THEN b ELSE a END AS x, CASE WHEN a > 4e6 THEN a ELSE b END AS y FROM pt),
 loc AS (SELECT feature_id, any_value(feature_code) AS code, CAST(round((min(x) + max(x)) / 2 * 10000) AS BIGINT) AS x, CAST(round((min(y) + max(y)) / 2 * 10000) AS BIGINT) AS y FROM xy GROUP BY 1)
-""".replace("\\\\", "\\")
+"""
 SQL["p5_locations"] = _LOCATIONS + "SELECT feature_id, round(x / 10000, 4) AS x, round(y / 10000, 4) AS y FROM loc"
 SQL["p5_found"] = _LOCATIONS.rstrip() + r""",
 cells AS (SELECT *, x // 50000 AS cx, y // 50000 AS cy FROM loc),
