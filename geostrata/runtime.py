@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Rows up to which a side is broadcast. Beyond it the join is left to the planner and shuffles.
 BROADCAST_ROWS = 100_000
@@ -58,3 +59,18 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows that one task orders when rows are numbered.
+NUMBER_ROWS = 500_000
+
+
+def row_numbers(df: DataFrame, order: list[str], name: str, task_rows: int = NUMBER_ROWS) -> DataFrame:
+    """Adds the row's number from 0 over the whole table; larger tables are ordered by range partitions and offsets."""
+    n = df.count()
+    if n <= task_rows:
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1)
+    cut = stored(df.repartitionByRange(-(-n * 2 // task_rows), *order).withColumn("_part", F.spark_partition_id()))
+    before = cut.groupBy("_part").count().select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return cut.withColumn("_own", own).join(bounded(before), "_part").withColumn(name, F.col("_before") + F.col("_own")).drop("_own", "_before", "_part")
