@@ -62,7 +62,7 @@ def soup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SOUP = """soup AS (
-  SELECT vec_id AS id, CAST(floor(k / 9) AS INT) AS tri_no, CAST(floor(k % 9 / 3) AS INT) AS corner, k % 3 AS axis, round(CAST(embedding[k + 1] AS DOUBLE), 3) AS v
+  SELECT vec_id AS id, CAST(floor(k / 9) AS INT) AS tri_no, CAST(floor(k % 9 / 3) AS INT) AS corner, k % 3 AS axis, round(CAST(embedding[k + 1] AS DOUBLE), 3) + 0.0 AS v
   FROM embeddings, (SELECT unnest(range(63)) AS k)),
 verts AS (SELECT id, tri_no, corner, max(CASE axis WHEN 0 THEN v END) AS x, max(CASE axis WHEN 1 THEN v END) AS y, max(CASE axis WHEN 2 THEN v END) AS z FROM soup GROUP BY 1, 2, 3)"""
 
