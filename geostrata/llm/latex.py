@@ -45,5 +45,5 @@ def plain(text: str) -> str:
         if own:
             text = re.sub(r"\\(" + "|".join(sorted(own, key=len, reverse=True)) + r")(?![A-Za-z])(?:\{\}|[ \t]+)?", lambda m: own[m[1]], text)
         text = AWAY.sub(" ", text.replace("\\-", "").replace("\\/", ""))
-    text = text.translate(NO_BRACES).lower()
+    text = text.translate(NO_BRACES).casefold()
     return text if text.isascii() else unicodedata.normalize("NFC", text)
