@@ -13,6 +13,7 @@ repeated rows give repeated rows unless the caller drops them. Very long records
 from __future__ import annotations
 
 import json
+import re
 import sys
 from collections.abc import Iterator
 
@@ -95,9 +96,10 @@ def positions(repetition: list[int], levels: int) -> Iterator[list[int]]:
         yield at
 
 
-def shredded(records: DataFrame, record_id: str, text: str, lists: tuple = ()) -> DataFrame:
-    """The level sequences of every path of every record (see SHREDDED)."""
+def shredded(records: DataFrame, record_id: str, text: str, lists: tuple = (), keep: str | None = None) -> DataFrame:
+    """The level sequences of the paths of every record (see SHREDDED). keep: a regular expression of the paths wanted; without it all."""
     keys = frozenset(lists)
+    wanted = re.compile(keep or "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sys.setrecursionlimit(LEVELS)
@@ -110,6 +112,8 @@ def shredded(records: DataFrame, record_id: str, text: str, lists: tuple = ()) -
                 except RecursionError:
                     columns = {}
                 for path, (full, entries) in columns.items():
+                    if not wanted.search(path):
+                        continue
                     r, d, k, v = zip(*entries, strict=True)
                     rows.append((i, path, full, path.count("[]"), r, d, k, v))
                 if len(rows) >= 2000:
@@ -156,6 +160,7 @@ def elements(columns: DataFrame, where: Column) -> DataFrame:
 TILE = r"^\$\.root(\.children\[\])*$"
 BOX = r"^\$\.root(\.children\[\])*\.boundingVolume\.box\[\]$"
 CONTENT = r"^\$\.root(\.children\[\])*\.content\.(uri|url)$"
+SET, MEMBER = r"^\$\[\]$", r"^\$\[\]\[\]$"
 FIELD = r"^\$\.root(\.children\[\])*\.(geometricError|refine)$"
 
 
@@ -163,8 +168,8 @@ def _dotted(at: Column) -> Column:
     return F.array_join(F.transform(at, lambda x: x.cast("string")), ".")
 
 
-def tile_columns(tilesets: DataFrame) -> DataFrame:
-    return shredded(tilesets, "tileset_id", "tileset_json", ("children",))
+def tile_columns(tilesets: DataFrame, *keep: str) -> DataFrame:
+    return shredded(tilesets, "tileset_id", "tileset_json", ("children",), "|".join(keep))
 
 
 def tiles(columns: DataFrame) -> DataFrame:
@@ -199,8 +204,8 @@ def contents(columns: DataFrame) -> DataFrame:
     return elements(columns, F.col("path").rlike(CONTENT)).filter("kind = 'string'").select("record_id", F.col("value").alias("content_uri"))
 
 
-def property_columns(objects: DataFrame) -> DataFrame:
-    return shredded(objects, "object_id", "properties")
+def property_columns(objects: DataFrame, *keep: str) -> DataFrame:
+    return shredded(objects, "object_id", "properties", keep="|".join(keep))
 
 
 def psets(columns: DataFrame) -> DataFrame:

@@ -31,8 +31,9 @@ def p1_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = nested.tile_columns(read(spark, sf_dir, "tileset"))
-    p = nested.property_columns(read(spark, sf_dir, "ifcobjectgeom"))
+    # each record is parsed once
+    t = stored(nested.tile_columns(read(spark, sf_dir, "tileset"), nested.TILE, nested.BOX))
+    p = stored(nested.property_columns(read(spark, sf_dir, "ifcobjectgeom"), nested.SET, nested.MEMBER))
     parts = [("tile", nested.tiles(t)), ("box", nested.boxes(t)), ("pset", nested.psets(p)), ("prop", nested.props(p))]
     keys = ["record_id", "node_path", "parent_path"]
     out = [df.select(F.lit(kind).alias("rec_kind"), *keys) for kind, df in parts]
@@ -71,7 +72,7 @@ def _building_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _tileset_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = read(spark, sf_dir, "tileset")
-    return hierarchy.tileset_links(t, nested.contents(nested.tile_columns(t)))
+    return hierarchy.tileset_links(t, nested.contents(nested.tile_columns(t, nested.CONTENT)))
 
 
 @query
