@@ -182,7 +182,7 @@ def by_group(filled: DataFrame, obs: DataFrame) -> DataFrame:
 
 def fill(features: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """features to one row per feature and field: its value, method ('observed' or how it was filled) and distance in days."""
-    obs = observations(features)
+    obs = stored(observations(features))  # read four times from here on, the properties are parsed once
     return by_group(stored(by_time(obs, part_rows)), obs)
 
 
