@@ -13,7 +13,7 @@ TRUE_WORDS = ["true", "t", ".t.", "yes", "y", "1", "ja", "j", "oui", "o", "wahr"
 FALSE_WORDS = ["false", "f", ".f.", "no", "n", "0", "nein", "non", "falsch", "faux"]
 # Factor to the base unit, by base unit and unit with case, blanks and signs taken away.
 UNIT_FACTORS = {
-    "m": {"": "1", "m": "1", "mm": "0.001", "cm": "0.01", "dm": "0.1", "km": "1000", "metre": "1", "metres": "1", "meter": "1"},
+    "m": {"": "1", "m": "1", "mm": "0.001", "cm": "0.01", "dm": "0.1", "km": "1000", "metre": "1", "metres": "1", "meter": "1", "mètre": "1", "mètres": "1"},
     "m2": {"": "1", "m2": "1", "sqm": "1", "qm": "1", "dm2": "0.01", "cm2": "0.0001", "mm2": "0.000001"},
     "m3": {"": "1", "m3": "1", "cbm": "1", "l": "0.001", "dm3": "0.001", "cm3": "0.000001", "ml": "0.000001"},
     "kg": {"": "1", "kg": "1", "g": "0.001", "t": "1000", "mg": "0.000001"},
@@ -24,6 +24,8 @@ UNIT_FACTORS = {
 BLANK = r"[\s\u00A0\u202F\u2009]"
 GROUP = r"[ '\u00A0\u202F\u2009]"
 NUMBER = rf"[+\-]?(?:\d{{1,3}}(?:{GROUP}\d{{3}})+(?!\d)|\d+)?(?:[.,]\d*)*(?:[eE][+\-]?\d{{1,3}})?"
+#: The usual notation, which needs no further look.
+SIMPLE = r"^-?\d{1,13}(\.\d{1,12})?$"
 
 
 def trimmed(text: Column) -> Column:
@@ -31,9 +33,10 @@ def trimmed(text: Column) -> Column:
 
 
 def bare_text(text: Column) -> Column:
-    """Without blanks, a type wrapper such as IFCLABEL(...), and quotes around it."""
+    """Without blanks, a type wrapper such as IFCLABEL(...), and quotes around it. Most texts have none of them, which one look tells."""
     inner = F.regexp_replace(trimmed(text), r"(?is)^IFC[A-Z0-9]*\((.*)\)$", "$1")
-    return trimmed(F.regexp_replace(trimmed(inner), r"""(?s)^'(.*)'$|^"(.*)"$""", "$1$2"))
+    full = trimmed(F.regexp_replace(trimmed(inner), r"""(?s)^'(.*)'$|^"(.*)"$""", "$1$2"))
+    return F.when(text.rlike(r"^[A-HJ-Za-z0-9.,+\-]+$"), text).otherwise(full)
 
 
 def is_placeholder(text: Column) -> Column:
@@ -58,9 +61,11 @@ def number(text: Column) -> Column:
         swap = F.translate(F.regexp_replace(t, r"\.", ""), ",", ".")
         return F.when(t.rlike(r"\..*,"), swap).when(t.rlike(r",.*\."), F.regexp_replace(t, ",", "")).otherwise(dots)
 
+    simple = text.rlike(SIMPLE)
     grouped = F.when(text.rlike(rf"^{BLANK}*{NUMBER}{BLANK}*$"), F.regexp_replace(trimmed(text), GROUP, ""))
     cut = let(grouped, lambda t: F.regexp_replace(plain(t), r"\.(?=$|[eE])", ""))
-    return let(cut, lambda t: F.when(t.rlike(r"^[+\-]?(\d+(\.\d+)?|\.\d+)([eE][+\-]?\d+)?$"), t.try_cast("decimal(26,12)")))
+    full = let(cut, lambda t: F.when(t.rlike(r"^[+\-]?(\d+(\.\d+)?|\.\d+)([eE][+\-]?\d+)?$"), t.try_cast("decimal(26,12)")))
+    return F.when(simple, text.try_cast("decimal(26,12)")).otherwise(full)
 
 
 def measure(text: Column, base_unit: Column) -> Column:
@@ -73,7 +78,8 @@ def measure(text: Column, base_unit: Column) -> Column:
         return F.coalesce(F.try_element_at(table, key), own).cast("decimal(11,6)")
 
     base = F.coalesce(unit_key(base_unit), F.lit(""))
-    return let(trimmed(text), lambda t: number(F.regexp_extract(t, split, 1)) * let(F.concat(base, F.lit("|"), unit_key(F.regexp_extract(t, split, 2))), factor))
+    full = let(trimmed(text), lambda t: number(F.regexp_extract(t, split, 1)) * let(F.concat(base, F.lit("|"), unit_key(F.regexp_extract(t, split, 2))), factor))
+    return F.when(text.rlike(SIMPLE), text.try_cast("decimal(26,12)").cast("decimal(38,18)")).otherwise(full)
 
 
 def boolean(text: Column) -> Column:
