@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from geostrata.runtime import stored
 
+#: Snapshots of a graph; each is a round of the collapses.
+MAX_STAMPS = 10_000
 VERTEX = ["globalid", "ts", "local_id", "start_date", "end_date"]
 
 
@@ -93,8 +95,11 @@ def contract(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def _stamps(vertices: DataFrame) -> list[int]:
-    """The time stamps: one a snapshot."""
-    return [r.ts for r in vertices.select("ts").distinct().orderBy("ts").limit(10_000).collect()]
+    """The time stamps: one a snapshot, so they are few."""
+    rows = vertices.select("ts").distinct().orderBy("ts").limit(MAX_STAMPS + 1).collect()
+    if len(rows) > MAX_STAMPS:
+        raise ValueError(f"more than {MAX_STAMPS} time stamps")
+    return [r.ts for r in rows]
 
 
 def collapse_fusions(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

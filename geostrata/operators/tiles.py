@@ -17,7 +17,10 @@ from pyspark.sql import functions as F
 from geostrata.functions import geometry as G
 from geostrata.functions import mesh, tile_codec
 from geostrata.operators import grouping, kdtree, nested
-from geostrata.runtime import stored
+from geostrata.runtime import row_numbers, stored
+
+#: Features of a zone, cell or class that one tile takes; larger groups are several tiles.
+GROUP_FEATURES = 20_000
 
 
 def with_geometry(features: DataFrame) -> DataFrame:
@@ -44,11 +47,13 @@ def partitioned(features: DataFrame, zones: DataFrame | None = None, as_lods: bo
     else:
         slim = f.select("ord", c["x"].alias("x"), c["y"].alias("y"))
         return f.join(kdtree.numbered(kdtree.cells(slim, most)).select("ord", F.col("tile").cast("int").alias("tile")), "ord")
-    first = f.groupBy(key.alias("key")).agg(F.min("ord").alias("first"))
-    from geostrata.runtime import row_numbers
-
-    numbers = row_numbers(first, ["first"], "tile").select(F.col("key").alias("own"), F.col("tile").cast("int").alias("tile"))
-    return f.withColumn("key", key).join(numbers, F.col("key").eqNullSafe(F.col("own"))).drop("key", "own", "merged_id")
+    # groups of any size: more than a task should hold are dealt out over several tiles
+    f = f.withColumn("key", key)
+    large = f.groupBy("key").count().filter(F.col("count") > GROUP_FEATURES).select(F.col("key").alias("own"), (F.floor(F.col("count") / GROUP_FEATURES) + 1).alias("shares"))
+    f = f.join(large, F.col("key").eqNullSafe(F.col("own")), "left").withColumn("share", F.pmod(F.xxhash64("ord"), F.coalesce("shares", F.lit(1)))).drop("own", "shares")
+    first = f.groupBy("key", "share").agg(F.min("ord").alias("first"))
+    numbers = row_numbers(first, ["first"], "tile").select(F.col("key").alias("own"), F.col("share").alias("own_share"), F.col("tile").cast("int").alias("tile"))
+    return f.join(numbers, F.col("key").eqNullSafe(F.col("own")) & (F.col("share") == F.col("own_share"))).drop("key", "own", "share", "own_share", "merged_id")
 
 
 def lod1(features: DataFrame) -> DataFrame:

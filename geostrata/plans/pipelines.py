@@ -20,6 +20,10 @@ from geostrata.runtime import row_numbers, stored
 from geostrata.sources import files
 
 
+#: Materials of a palette, which every tile task gets.
+MAX_MATERIALS = 10_000
+
+
 @dataclass(frozen=True)
 class Options:
     """What the command line can say; see cli.py."""
@@ -163,7 +167,9 @@ def colored(features: DataFrame, o: Options) -> tuple[DataFrame, list[dict]]:
         palette += [material(x) for x in files.ramp(c)]
         return f.withColumn("material_index", F.coalesce(G.ramp_index(F.col("v"), F.lit(low), F.lit(high), c["nb_colors"]), F.lit(0))).drop("v"), palette
     f = features.withColumn("v", v)
-    first = f.filter("v is not null").groupBy("v").agg(F.min("ord").alias("first")).orderBy("first").limit(10_000).collect()
+    first = f.filter("v is not null").groupBy("v").agg(F.min("ord").alias("first")).orderBy("first").limit(MAX_MATERIALS + 1).collect()
+    if len(first) > MAX_MATERIALS:
+        raise ValueError(f"{attribute} has more than {MAX_MATERIALS} values, which is no palette")
     if len(first) <= 1:
         return features.withColumn("material_index", F.lit(0)), palette
     own = c["color_dict"]
@@ -252,7 +258,9 @@ def reader(spark: SparkSession, folders: list[str], o: Options) -> dict:
     f = tiles.read_tiles(spark, t)
     f = stored(f.withColumn("key", F.concat_ws("/", F.lpad(F.col("tileset_id").cast("string"), 9, "0"), "node_path")))
     f = row_numbers(f, ["key", "batch_id"], "ord").withColumn("props", F.when(F.size("props") > 0, F.col("props")))
-    colors = [r.rgba for r in f.select("rgba").distinct().limit(10_000).collect()]
+    colors = [r.rgba for r in f.select("rgba").distinct().limit(MAX_MATERIALS + 1).collect()]
+    if len(colors) > MAX_MATERIALS:
+        raise ValueError(f"more than {MAX_MATERIALS} materials")
     palette = [{"rgba": c, "metallic": 0.0, "roughness": 1.0, "double_sided": True} for c in sorted(colors)]
     numbers = spark.createDataFrame([(c["rgba"], i) for i, c in enumerate(palette)], "rgba array<double>, material_index int")
     return finish(f.join(F.broadcast(numbers), "rgba"), palette, o, group="key")
