@@ -9,8 +9,9 @@ items have weighs more).
 
 Only items go to the tasks, in blocks of bounded size; documents are never shuffled, and nothing but verified pairs
 leaves a task. Nulls: a null or empty text or passage has no windows; a null id is kept as a group of its own.
-Passages shorter than a window can't occur. Repeated rows of an id: the strongest finding counts. Very long texts are
-read in overlapping stretches.
+Passages shorter than a window can't occur. Repeated rows of an id: the strongest finding counts. A text of any length
+is read as a whole: markup goes before anything is cut, words and windows are worked out in stretches that meet without
+a gap, and findings are verified on all words.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ RADIUS = 2
 BLOCKS = (22, 21, 21)
 #: Items that one pass over the documents takes.
 ITEM_BLOCK = 20_000
-#: Characters read at a time, and the overlap of stretches of longer texts.
+#: Characters hashed at a time, and how far back of that a stretch of a longer text may end, so that it ends between words.
 CHUNK, OVERLAP = 1_500_000, 30_000
+#: Windows whose fingerprints are held at a time.
+WINDOWS = 300_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -73,6 +76,21 @@ def word_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
         return _mix(h + (ends - starts).astype(np.uint64)), starts
 
 
+def all_word_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """word_hashes of a text of any length, in stretches that end between words; a longer run of letters is not cut."""
+    words, starts, k = [], [], 0
+    while k < len(text) or not k:
+        end = min(k + CHUNK, len(text))
+        if end < len(text):
+            back = next((i for i in range(end, max(k, end - OVERLAP), -1) if not text[i - 1].isalnum()), None)
+            end = back or next((i for i in range(end, len(text)) if not text[i].isalnum()), len(text))
+        w, s = word_hashes(text[k:end])
+        words.append(w)
+        starts.append(s + k)
+        k = max(end, 1)
+    return np.concatenate(words), np.concatenate(starts)
+
+
 def fingerprints(words: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """SimHash of the window that starts at each word; bits are the majority of the words' bits."""
     n = len(words) - window + 1
@@ -169,19 +187,16 @@ FOUND = "doc_id bigint, item_id bigint, longest_run int, similarity double, wind
 def _scan(texts: list[tuple[int | None, str]], index: Index, out: dict) -> None:
     """Adds the findings of texts, which together are read at once. A sign no word has stands between them."""
     plain = [latex.plain(t) for _, t in texts]
-    words, starts = word_hashes("\0".join(plain))
+    words, starts = all_word_hashes("\0".join(plain))
     ends = np.cumsum([len(p) + 1 for p in plain])
     doc = np.searchsorted(ends, starts, "right")
-    prints = fingerprints(words)
-    if not len(prints):
-        return
-    whole = doc[: len(prints)] == doc[len(words) - len(prints) :]
-    at = np.flatnonzero(whole)
-    rows, hits = index.candidates(prints[at])
-    rows = at[rows]
     groups = defaultdict(list)
-    for r, h in zip(rows.tolist(), hits.tolist(), strict=True):
-        groups[int(doc[r]), int(index.item[h])].append((r, int(index.start[h])))
+    for k in range(0, len(words) - WINDOW + 1, WINDOWS):
+        prints = fingerprints(words[k : k + WINDOWS + WINDOW - 1])
+        at = np.flatnonzero(doc[k : k + len(prints)] == doc[k + WINDOW - 1 : k + WINDOW - 1 + len(prints)])
+        rows, hits = index.candidates(prints[at])
+        for r, h in zip((at[rows] + k).tolist(), hits.tolist(), strict=True):
+            groups[int(doc[r]), int(index.item[h])].append((r, int(index.start[h])))
     bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
     for (d, item), places in groups.items():
         a, b = bounds[d], bounds[d + 1]
@@ -210,13 +225,11 @@ def leaks(docs: DataFrame, items: DataFrame, item_block: int = ITEM_BLOCK) -> Da
                 out: dict = {}
                 held, size = [], 0
                 for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    for k in range(0, max(1, len(t or "") - OVERLAP), CHUNK - OVERLAP):
-                        part = (t or "")[k : k + CHUNK]
-                        held.append((i, part))
-                        size += len(part)
-                        if size >= CHUNK:
-                            _scan(held, index, out)
-                            held, size = [], 0
+                    held.append((i, t or ""))
+                    size += len(t or "")
+                    if size >= CHUNK:
+                        _scan(held, index, out)
+                        held, size = [], 0
                 if held:
                     _scan(held, index, out)
                 if out:

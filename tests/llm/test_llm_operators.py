@@ -67,6 +67,22 @@ def test_long_texts_are_read_in_stretches(spark, monkeypatch):
     assert [(r.longest_run, round(r.similarity, 6)) for r in leaks.leaks(docs(spark, [(5, text)]), it).collect()] == [(20, 1.0)]
 
 
+def test_long_texts_give_what_they_give_in_one_piece(spark, monkeypatch):
+    r = random.Random(5)
+    own = [" ".join(f"w{r.randrange(10**6)}" for _ in range(n)) for n in (18, 400)]
+    items = [(1, own[0].replace(own[0].split()[9], "Macro")), (2, own[1])]
+    macro = own[0].replace(own[0].split()[9], "\\mm{}")  # no run of 12 words without it
+    filler = lambda: " ".join(f"f{r.randrange(10**6)}" for _ in range(400))
+    text = "\\newcommand{\\mm}{Macro} " + " ".join([filler(), own[1], filler(), macro, filler(), "x" * 9000, macro, own[1]])
+    d, it = docs(spark, [(5, text), (6, None)]), spark.createDataFrame(items, "item_id long, passage string")
+    find = lambda: sorted(map(tuple, leaks.leaks(d, it).collect()))
+    whole = find()
+    assert [(x[1], x[2]) for x in whole] == [(1, 18), (2, 400)]
+    monkeypatch.setattr(leaks, "CHUNK", 3000)
+    monkeypatch.setattr(leaks, "OVERLAP", 500)
+    assert find() == whole
+
+
 def test_fingerprints_within_the_radius_share_a_block():
     import numpy as np
 
