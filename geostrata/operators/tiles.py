@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from geostrata.functions import geometry as G
 from geostrata.functions import mesh, tile_codec
@@ -28,7 +29,11 @@ def with_geometry(features: DataFrame) -> DataFrame:
 
 
 def partitioned(features: DataFrame, zones: DataFrame | None = None, as_lods: bool = False, group: str | None = None, most: int = kdtree.DEFAULT_MAX) -> DataFrame:
-    """Adds 'tile' from 0: by a group column, by zones and grid cells, by feature, or by kd-tree, in that order of precedence."""
+    """Adds 'tile' from 0: by a group column, by zones and grid cells, by feature, or by kd-tree, in that order of precedence.
+
+    With zones also 'head': the tile that holds the blocks of the tile's zones. Where a group is dealt out over several
+    tiles, members of zones and other features never share one, so that the blocks stand for whole tiles.
+    """
     f = with_geometry(features)
     c = G.center(G.bbox(F.col("tri")))
     if group:
@@ -48,12 +53,18 @@ def partitioned(features: DataFrame, zones: DataFrame | None = None, as_lods: bo
         slim = f.select("ord", c["x"].alias("x"), c["y"].alias("y"))
         return f.join(kdtree.numbered(kdtree.cells(slim, most)).select("ord", F.col("tile").cast("int").alias("tile")), "ord")
     # groups of any size: more than a task should hold are dealt out over several tiles
-    f = f.withColumn("key", key)
-    large = f.groupBy("key").count().filter(F.col("count") > GROUP_FEATURES).select(F.col("key").alias("own"), (F.floor(F.col("count") / GROUP_FEATURES) + 1).alias("shares"))
-    f = f.join(large, F.col("key").eqNullSafe(F.col("own")), "left").withColumn("share", F.pmod(F.xxhash64("ord"), F.coalesce("shares", F.lit(1)))).drop("own", "shares")
-    first = f.groupBy("key", "share").agg(F.min("ord").alias("first"))
-    numbers = row_numbers(first, ["first"], "tile").select(F.col("key").alias("own"), F.col("share").alias("own_share"), F.col("tile").cast("int").alias("tile"))
-    return f.join(numbers, F.col("key").eqNullSafe(F.col("own")) & (F.col("share") == F.col("own_share"))).drop("key", "own", "share", "own_share", "merged_id")
+    zoned = not group and zones is not None
+    f = f.withColumn("key", key).withColumn("member", F.col("zone_id").isNotNull() if zoned else F.lit(False))
+    sides = f.groupBy("key", "member").count().withColumn("all", F.sum("count").over(Window.partitionBy("key")))
+    large = sides.filter(F.col("all") > GROUP_FEATURES).select(F.col("key").alias("own"), F.col("member").alias("own_member"), (F.floor(F.col("count") / GROUP_FEATURES) + 1).alias("shares"))
+    f = f.join(large, F.col("key").eqNullSafe(F.col("own")) & (F.col("member") == F.col("own_member")), "left")
+    f = f.withColumn("share", F.pmod(F.xxhash64("ord"), F.coalesce("shares", F.lit(1)))).withColumn("member", F.col("member") & F.col("shares").isNotNull()).drop("own", "own_member", "shares")
+    first = f.groupBy("key", "member", "share").agg(F.min("ord").alias("first"))
+    numbers = row_numbers(first, ["first"], "tile").select(F.col("key").alias("own"), F.col("member").alias("own_member"), F.col("share").alias("own_share"), F.col("tile").cast("int").alias("tile"))
+    if zoned:
+        numbers = numbers.withColumn("head", F.when(F.col("own_member"), F.min("tile").over(Window.partitionBy("own", "own_member"))).otherwise(F.col("tile")))
+    same = F.col("key").eqNullSafe(F.col("own")) & (F.col("member") == F.col("own_member")) & (F.col("share") == F.col("own_share"))
+    return f.join(numbers, same).drop("key", "own", "member", "own_member", "share", "own_share", "merged_id")
 
 
 def lod1(features: DataFrame) -> DataFrame:
@@ -63,9 +74,9 @@ def lod1(features: DataFrame) -> DataFrame:
 
 
 def loa(features: DataFrame, zones: DataFrame) -> DataFrame:
-    """Each zone with members over their height range; features in no zone by their own hull."""
-    f = features.select("tile", "ord", "zone_id", G.min_z(F.col("tri")).alias("low"), G.mean_max_z(F.col("tri")).alias("high"), G.corners(F.col("tri")).alias("p"))
-    z = f.filter("zone_id is not null").groupBy("tile", "zone_id").agg(F.min("low").alias("low"), F.avg("high").alias("high"))
+    """Each zone with members over the height range of all of them, in the tile 'head'; features in no zone by their own hull."""
+    f = features.select("tile", "head", "ord", "zone_id", G.min_z(F.col("tri")).alias("low"), G.mean_max_z(F.col("tri")).alias("high"), G.corners(F.col("tri")).alias("p"))
+    z = f.filter("zone_id is not null").groupBy(F.col("head").alias("tile"), "zone_id").agg(F.min("low").alias("low"), F.avg("high").alias("high"))
     z = z.join(zones.select("zone_id", "ring"), "zone_id").select("tile", F.col("zone_id").alias("ord"), mesh.outline_block("ring", "low", "high").alias("tri"))
     rest = f.filter("zone_id is null").select("tile", "ord", mesh.hull_block("p", "low", "high").alias("tri"))
     return z.unionByName(rest).select("tile", "ord", F.concat(F.lit("loa_"), F.col("ord").cast("string")).alias("id"), "tri")
@@ -119,7 +130,7 @@ def contents(features: DataFrame, materials: list[dict], with_normals: bool = Tr
 
 
 def tileset_json(rows: list[dict], asset: dict | None = None) -> dict:
-    """The tileset of tile rows(tile, parent, geometric_error, box..., translation, uri): roots below one root that holds them all."""
+    """The tileset of tile rows(tile, parent, geometric_error, box..., translation, uri): roots below one root that holds them all. Translations become relative to the parent's."""
 
     def box(r: dict, moved: bool) -> list[float]:
         t = [r["tx"], r["ty"], r["tz"]] if moved else [0, 0, 0]
@@ -127,10 +138,10 @@ def tileset_json(rows: list[dict], asset: dict | None = None) -> dict:
         h = [(r[k + "max"] - r[k + "min"]) / 2 for k in G.AXES]
         return [*c, h[0], 0, 0, 0, h[1], 0, 0, 0, h[2]]
 
-    nodes = {}
+    nodes, by_tile = {}, {r["tile"]: r for r in rows}
     for r in rows:
-        inner = r.get("parent") is not None
-        m = [1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, *([0, 0, 0] if inner else [r["tx"], r["ty"], r["tz"]]), 1]
+        above = by_tile[r["parent"]] if r.get("parent") is not None else {"tx": 0, "ty": 0, "tz": 0}
+        m = [1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, *(r["t" + k] - above["t" + k] for k in G.AXES), 1]
         nodes[r["tile"]] = {"boundingVolume": {"box": box(r, False)}, "geometricError": r["geometric_error"], "refine": "REPLACE", "transform": m, "content": {"uri": r["uri"]}, "children": []}
     roots = []
     for r in rows:
@@ -146,9 +157,11 @@ def tileset_json(rows: list[dict], asset: dict | None = None) -> dict:
     return {"asset": {"version": "1.0", **(asset or {})}, "geometricError": grouping.ROOT_ERROR, "root": root}
 
 
-def write_tileset(layers: list[tuple[DataFrame, float]], folder: str, asset: dict | None = None) -> dict:
+def write_tileset(layers: list[tuple[DataFrame, float]], folder: str, asset: dict | None = None, heads: dict[int, int] | None = None) -> dict:
     """Writes tiles/<n>.b3dm and tileset.json. layers: tile contents with their geometric error, from the coarsest down; tiles of equal number are one chain.
 
+    heads: tiles whose coarsest content is that of another tile, below which they go.
+
     Tile files are written by the executors into the shared folder under names that only depend on the tile, so a task that runs twice writes the same; the driver gets the slim rows.
     """
     os.makedirs(f"{folder}/tiles", exist_ok=True)
@@ -171,7 +184,8 @@ def write_tileset(layers: list[tuple[DataFrame, float]], folder: str, asset: dic
     for k, (content, error) in enumerate(layers):
         for r in content.mapInPandas(save(k), slim_schema).orderBy("tile").toLocalIterator():
             d = r.asDict()
-            rows.append(d | {"tile": d["tile"] * n + k, "parent": None if k == 0 else d["tile"] * n + k - 1, "geometric_error": error, "uri": f"tiles/{d['tile'] * n + k}.b3dm"})
+            above = (heads or {}).get(d["tile"], d["tile"]) if k == 1 else d["tile"]
+            rows.append(d | {"tile": d["tile"] * n + k, "parent": None if k == 0 else above * n + k - 1, "geometric_error": error, "uri": f"tiles/{d['tile'] * n + k}.b3dm"})
     known = {r["tile"] for r in rows}
     for r in rows:  # a tile without a coarser one is a root itself
         if r["parent"] is not None and r["parent"] not in known:
@@ -188,16 +202,18 @@ DECODED = "tileset_id long, node_path string, batch_id int, id string, tri " + m
 def read_tiles(spark: SparkSession, tilesets: DataFrame) -> DataFrame:
     """Features of tilesets(tileset_id, dir_name, tileset_json): triangles by batch id, moved by the transforms above them; see DECODED.
 
-    The translation is that of the root child above a tile, as tiles below it carry none of their own.
+    The translation is the sum of those from the root child above a tile down to it.
     """
     cols = nested.tile_columns(tilesets)
     t = nested.tiles(cols).join(nested.tile_fields(cols), ["record_id", "node_path"]).filter("content_uri like '%.b3dm%'")
-    moves = nested.elements(cols, F.col("path").rlike(r"^\$\.root(\.children\[\])?\.transform\[\]$"))
+    moves = nested.elements(cols, F.col("path").rlike(r"^\$\.root(\.children\[\])*\.transform\[\]$"))
     place = F.element_at("at", -1)
-    owner = F.when(F.size("at") == 1, F.lit("0")).otherwise(F.concat(F.lit("0."), F.col("at")[0].cast("string")))
-    moves = moves.groupBy("record_id", owner.alias("top")).agg(*[F.max(F.when(place == 12 + i, F.col("value").cast("double"))).alias("t" + k) for i, k in enumerate(G.AXES)])
-    t = t.withColumn("top", F.when(F.size(F.split("node_path", r"\.")) == 1, F.lit("0")).otherwise(F.substring_index("node_path", ".", 2)))
-    t = t.join(moves, ["record_id", "top"], "left").fillna(0.0, ["tx", "ty", "tz"])
+    moves = moves.groupBy("record_id", nested._tile_of(F.col("at"), 1).alias("above")).agg(*[F.max(F.when(place == 12 + i, F.col("value").cast("double"))).alias("t" + k) for i, k in enumerate(G.AXES)])
+    # the root's own transform holds for its own content only
+    steps = F.split("node_path", r"\.")
+    above = F.when(F.size(steps) == 1, F.array("node_path")).otherwise(F.transform(F.sequence(F.lit(2), F.greatest(F.size(steps), F.lit(2))), lambda n: F.array_join(F.slice(steps, 1, n), ".")))
+    sums = t.select("record_id", "node_path", F.explode(above).alias("above")).join(moves, ["record_id", "above"]).groupBy("record_id", "node_path").agg(*[F.sum("t" + k).alias("t" + k) for k in G.AXES])
+    t = t.join(sums, ["record_id", "node_path"], "left").fillna(0.0, ["tx", "ty", "tz"])
     t = t.join(tilesets.select(F.col("tileset_id").alias("record_id"), "dir_name"), "record_id")
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -121,7 +121,8 @@ def finish(features: DataFrame, palette: list[dict], o: Options, group: str | No
     os.makedirs(folder, exist_ok=True)
     if o.obj:
         tiles.write_obj(f, o.obj if o.obj.endswith(".obj") else o.obj + ".obj", (0.0, 0.0, 0.0) if shift == "centroid" else shift)
-    return tiles.write_tileset(layers, folder, asset)
+    heads = {r.tile: r.head for r in f.filter("head <> tile").select("tile", "head").distinct().toLocalIterator()} if o.loa else None
+    return tiles.write_tileset(layers, folder, asset, heads)
 
 
 def geojson_features(raw: DataFrame, o: Options) -> DataFrame:

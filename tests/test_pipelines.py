@@ -106,6 +106,24 @@ def test_zones_group_features_and_give_blocks(spark, tmp_path):
     assert t["root"]["children"][0]["geometricError"] == 20.0
 
 
+@pytest.mark.parametrize("lod1", [False, True])
+def test_a_zone_dealt_out_over_tiles_has_one_block(spark, tmp_path, monkeypatch, lod1):
+    path = write_geojson(tmp_path / "a.geojson", [feature(i, 20 * i) for i in range(15)])
+    zones = write_geojson(tmp_path / "z.geojson", [{"type": "Feature", "properties": {}, "geometry": {"type": "Polygon", "coordinates": [[[-5, -5], [235, -5], [235, 50], [-5, 50], [-5, -5]]]}}])
+    got = []
+    for most in (100, 5):
+        monkeypatch.setattr(tiles, "GROUP_FEATURES", most)
+        out = str(tmp_path / f"o{most}")
+        t = P.geojson(spark, [path], P.Options(output_dir=out, loa=zones, lod1=lod1))
+        back = tiles.read_tiles(spark, files.tilesets(spark, [out])).collect()
+        points = lambda r: sorted((round(p.x, 2), round(p.y, 2), round(p.z, 2)) for x in r.tri for p in (x.a, x.b, x.c))
+        got.append(sorted((r.id, points(r)) for r in back))
+    assert len(t["root"]["children"]) == 2 and {len(c["children"]) for c in t["root"]["children"]} == {1, 3}
+    assert [i for i, _ in got[0]] == [i for i, _ in got[1]] and got[0][0][0] == "f0"
+    for (_, a), (_, b) in zip(*got, strict=True):
+        assert all(math.isclose(p, q, abs_tol=0.02) for x, y in zip(a, b, strict=True) for p, q in zip(x, y, strict=True))
+
+
 def test_obj_meshes(spark, tmp_path):
     (tmp_path / "c.mtl").write_text("newmtl red\nKd 1 0 0\nd 0.5\n")
     (tmp_path / "c.obj").write_text("mtllib c.mtl\nv 0 0 0\nv 1 0 0\nv 1 1 0\nv 0 1 0\nusemtl red\nf 1 2 3 4\n")
