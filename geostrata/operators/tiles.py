@@ -28,11 +28,11 @@ def with_geometry(features: DataFrame) -> DataFrame:
     return features.filter("size(tri) > 0")
 
 
-def partitioned(features: DataFrame, zones: DataFrame | None = None, as_lods: bool = False, group: str | None = None, most: int = kdtree.DEFAULT_MAX) -> DataFrame:
+def partitioned(features: DataFrame, zones: DataFrame | None = None, as_lods: bool = False, group: str | None = None, most: int = kdtree.DEFAULT_MAX, whole: bool = False) -> DataFrame:
     """Adds 'tile' from 0: by a group column, by zones and grid cells, by feature, or by kd-tree, in that order of precedence.
 
     With zones also 'head': the tile that holds the blocks of the tile's zones. Where a group is dealt out over several
-    tiles, members of zones and other features never share one, so that the blocks stand for whole tiles.
+    tiles, members of zones and other features never share one, so that the blocks stand for whole tiles. whole: no group is dealt out.
     """
     f = with_geometry(features)
     c = G.center(G.bbox(F.col("tri")))
@@ -56,7 +56,7 @@ def partitioned(features: DataFrame, zones: DataFrame | None = None, as_lods: bo
     zoned = not group and zones is not None
     f = f.withColumn("key", key).withColumn("member", F.col("zone_id").isNotNull() if zoned else F.lit(False))
     sides = f.groupBy("key", "member").count().withColumn("all", F.sum("count").over(Window.partitionBy("key")))
-    large = sides.filter(F.col("all") > GROUP_FEATURES).select(F.col("key").alias("own"), F.col("member").alias("own_member"), (F.floor(F.col("count") / GROUP_FEATURES) + 1).alias("shares"))
+    large = sides.filter((F.col("all") > GROUP_FEATURES) & ~F.lit(whole)).select(F.col("key").alias("own"), F.col("member").alias("own_member"), (F.floor(F.col("count") / GROUP_FEATURES) + 1).alias("shares"))
     f = f.join(large, F.col("key").eqNullSafe(F.col("own")) & (F.col("member") == F.col("own_member")), "left")
     f = f.withColumn("share", F.pmod(F.xxhash64("ord"), F.coalesce("shares", F.lit(1)))).withColumn("member", F.col("member") & F.col("shares").isNotNull()).drop("own", "own_member", "shares")
     first = f.groupBy("key", "member", "share").agg(F.min("ord").alias("first"))
@@ -130,7 +130,7 @@ def contents(features: DataFrame, materials: list[dict], with_normals: bool = Tr
 
 
 def tileset_json(rows: list[dict], asset: dict | None = None) -> dict:
-    """The tileset of tile rows(tile, parent, geometric_error, box..., translation, uri): roots below one root that holds them all. Translations become relative to the parent's."""
+    """The tileset of tile rows(tile, parent, geometric_error[, refine], box..., translation, uri or None): roots below one root that holds them all. Translations become relative to the parent's."""
 
     def box(r: dict, moved: bool) -> list[float]:
         t = [r["tx"], r["ty"], r["tz"]] if moved else [0, 0, 0]
@@ -142,7 +142,7 @@ def tileset_json(rows: list[dict], asset: dict | None = None) -> dict:
     for r in rows:
         above = by_tile[r["parent"]] if r.get("parent") is not None else {"tx": 0, "ty": 0, "tz": 0}
         m = [1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, *(r["t" + k] - above["t" + k] for k in G.AXES), 1]
-        nodes[r["tile"]] = {"boundingVolume": {"box": box(r, False)}, "geometricError": r["geometric_error"], "refine": "REPLACE", "transform": m, "content": {"uri": r["uri"]}, "children": []}
+        nodes[r["tile"]] = {"boundingVolume": {"box": box(r, False)}, "geometricError": r["geometric_error"], "refine": r.get("refine") or "REPLACE", "transform": m, **({"content": {"uri": r["uri"]}} if r["uri"] else {}), "children": []}
     roots = []
     for r in rows:
         (nodes[r["parent"]]["children"] if r.get("parent") is not None else roots).append(nodes[r["tile"]])
@@ -157,10 +157,10 @@ def tileset_json(rows: list[dict], asset: dict | None = None) -> dict:
     return {"asset": {"version": "1.0", **(asset or {})}, "geometricError": grouping.ROOT_ERROR, "root": root}
 
 
-def write_tileset(layers: list[tuple[DataFrame, float]], folder: str, asset: dict | None = None, heads: dict[int, int] | None = None) -> dict:
+def write_tileset(layers: list[tuple[DataFrame, float]], folder: str, asset: dict | None = None, heads: dict[int, int] | None = None, tree: dict[tuple, dict] | None = None) -> dict:
     """Writes tiles/<n>.b3dm and tileset.json. layers: tile contents with their geometric error, from the coarsest down; tiles of equal number are one chain.
 
-    heads: tiles whose coarsest content is that of another tile, below which they go.
+    heads: tiles whose coarsest content is that of another tile, below which they go. tree: see linked().
 
     Tile files are written by the executors into the shared folder under names that only depend on the tile, so a task that runs twice writes the same; the driver gets the slim rows.
     """
@@ -190,13 +190,69 @@ def write_tileset(layers: list[tuple[DataFrame, float]], folder: str, asset: dic
     for r in rows:  # a tile without a coarser one is a root itself
         if r["parent"] is not None and r["parent"] not in known:
             r["parent"] = None
+    if tree is not None:
+        rows = linked(rows, tree, n)
     out = tileset_json(sorted(rows, key=lambda r: r["tile"]), asset)
     with open(f"{folder}/tileset.json", "w") as f:
         json.dump(out, f)
     return out
 
 
-DECODED = "tileset_id long, node_path string, batch_id int, id string, tri " + mesh.TRIANGLES + ", rgba array<double>, props map<string,string>"
+def linked(rows: list[dict], tree: dict[tuple, dict], n: int) -> list[dict]:
+    """Tile rows below each other as their nodes are: tree has (tileset, steps of the path) to (geometric_error, refine[, tile]).
+
+    Nodes without a tile that stand above some tile stay, with the box of what is below them; but for a root without one.
+    n: layers a tile has; the coarsest goes below the parent's finest.
+    """
+    by_tile = {r["tile"]: r for r in rows}
+    finest = {t: max((t * n + k for k in range(n) if t * n + k in by_tile), default=None) for t in {r["tile"] // n for r in rows}}
+    new, numbers = max(by_tile, default=0) + 1, {}
+    low = {}
+    for at in sorted(tree, key=lambda x: (-len(x[1]), x)):  # from the deepest up
+        v = tree[at]
+        own = finest.get(v.get("tile"))
+        if own is None:
+            if at not in low or len(at[1]) == 1:
+                continue
+            numbers[at], own, new = (new, new), new, new + 1
+            by_tile[own] = {"tile": own, "tx": 0.0, "ty": 0.0, "tz": 0.0, "uri": None, "parent": None} | low[at]
+        else:
+            numbers[at] = (min(v["tile"] * n + k for k in range(n) if v["tile"] * n + k in by_tile), own)
+        by_tile[own] |= {"geometric_error": v["geometric_error"], "refine": v["refine"]}
+        box = [{f"{k}{m}": by_tile[x][f"{k}{m}"] + by_tile[x]["t" + k] for k in G.AXES for m in ("min", "max")} for x in numbers[at]]
+        for b in [*box, *([low[at]] if at in low else [])]:
+            for i in range(1, len(at[1])):
+                up = low.setdefault((at[0], at[1][:i]), dict(b))
+                up |= {c: (min if c.endswith("min") else max)(up[c], b[c]) for c in b}
+    for at, (top, _) in numbers.items():
+        above = next((numbers[at[0], at[1][:i]][1] for i in range(len(at[1]) - 1, 0, -1) if (at[0], at[1][:i]) in numbers), None)
+        by_tile[top]["parent"] = above
+    return list(by_tile.values())
+
+
+def read_tree(tilesets: DataFrame, errors: tuple[float | None, ...] = ()) -> dict[tuple, dict]:
+    """(tileset_id, steps of the path) of every tile to its geometric error and refinement, which is the parent's where a tile has none.
+
+    errors: by height above the leaves instead of the tiles' own, the last one for all higher tiles; None keeps the own.
+    The driver gets a slim row a tile, as for writing.
+    """
+    cols = nested.tile_columns(tilesets)
+    t = nested.tiles(cols).join(nested.tile_fields(cols), ["record_id", "node_path"], "left").select("record_id", "node_path", F.col("geometric_error").try_cast("double").alias("geometric_error"), F.upper("refine").alias("refine"))
+    tree = {(r.record_id, tuple(map(int, r.node_path.split(".")))): {"geometric_error": r.geometric_error, "refine": r.refine, "height": 0} for r in t.toLocalIterator()}
+    for at in sorted(tree, key=lambda x: -len(x[1])):
+        above = tree.get((at[0], at[1][:-1]))
+        if above:
+            above["height"] = max(above["height"], tree[at]["height"] + 1)
+    for at in sorted(tree, key=lambda x: len(x[1])):
+        v, above = tree[at], tree.get((at[0], at[1][:-1]), {})
+        own = errors[min(v["height"], len(errors) - 1)] if errors else None
+        v["geometric_error"] = own if own is not None else grouping.LEAF_ERROR if v["geometric_error"] is None else v["geometric_error"]
+        v["refine"] = v["refine"] or above.get("refine") or "REPLACE"
+    return tree
+
+
+UVS = "array<struct<a:struct<u:double,v:double>,b:struct<u:double,v:double>,c:struct<u:double,v:double>>>"
+DECODED = "tileset_id long, node_path string, batch_id int, id string, tri " + mesh.TRIANGLES + ", uv " + UVS + ", rgba array<double>, props map<string,string>"
 
 
 def read_tiles(spark: SparkSession, tilesets: DataFrame) -> DataFrame:
@@ -225,15 +281,18 @@ def read_tiles(spark: SparkSession, tilesets: DataFrame) -> DataFrame:
                 found: dict = {}
                 for p in primitives:
                     pos = p["positions"].astype(float).reshape(-1, 3, 3) + np.array(move)
+                    uvs = None if p["uvs"] is None else p["uvs"].astype(float).reshape(-1, 3, 2)
                     for i in np.unique(p["batch_ids"].reshape(-1, 3)[:, 0]):
                         own = pos[p["batch_ids"].reshape(-1, 3)[:, 0] == i]
-                        tri, _ = found.setdefault(int(i), ([], materials[p["material"]]["rgba"]))
+                        tri, uv, _ = found.setdefault(int(i), ([], [], materials[p["material"]]["rgba"]))
+                        of = [] if uvs is None else uvs[p["batch_ids"].reshape(-1, 3)[:, 0] == i].tolist()
+                        uv += [dict(zip("abc", ({"u": q[0], "v": q[1]} for q in x), strict=True)) for x in of]
                         tri += [dict(zip("abc", ({"x": q[0], "y": q[1], "z": q[2]} for q in x), strict=True)) for x in own.tolist()]
-                for i, (tri, color) in sorted(found.items()):
+                for i, (tri, uv, color) in sorted(found.items()):
                     at = lambda k, i=i, table=table: table[k][i] if isinstance(table.get(k), list) and i < len(table[k]) else None
                     name = at("id")
-                    rows.append((rec, node, i, str(i) if name is None else str(name), tri, color, {k: str(at(k)) for k in table if k != "id" and at(k) is not None}))
-            yield pd.DataFrame(rows, columns=["tileset_id", "node_path", "batch_id", "id", "tri", "rgba", "props"])
+                    rows.append((rec, node, i, str(i) if name is None else str(name), tri, uv if len(uv) == len(tri) else None, color, {k: str(at(k)) for k in table if k != "id" and at(k) is not None}))
+            yield pd.DataFrame(rows, columns=["tileset_id", "node_path", "batch_id", "id", "tri", "uv", "rgba", "props"])
 
     return t.select("record_id", "node_path", "dir_name", "content_uri", "tx", "ty", "tz").mapInPandas(decode, DECODED)
 

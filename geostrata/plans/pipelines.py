@@ -96,15 +96,18 @@ def transformed(features: DataFrame, o: Options) -> DataFrame:
     return f
 
 
-def finish(features: DataFrame, palette: list[dict], o: Options, group: str | None = None, asset: dict | None = None, folder: str | None = None) -> dict:
-    """Filter by id, partition, transform, derive the levels of detail and write everything."""
+def finish(features: DataFrame, palette: list[dict], o: Options, group: str | None = None, asset: dict | None = None, folder: str | None = None, tree: dict[tuple, dict] | None = None) -> dict:
+    """Filter by id, partition, transform, derive the levels of detail and write everything.
+
+    tree: the nodes (tileset_id, path) that features with these columns come from; each is one tile again.
+    """
     f = features
     for ids, out in ((o.keep_ids, False), (o.exclude_ids, True)):
         if ids:
             f = grouping.keep_ids(f, list(ids), "id", exclude=out)
     spark = f.sparkSession
     zones = files.zones(spark, [o.loa]) if o.loa else None
-    f = stored(tiles.partitioned(f, zones, o.as_lods, group, o.kd_tree_max))
+    f = stored(tiles.partitioned(f, zones, o.as_lods, group, o.kd_tree_max, tree is not None))
     if not f.limit(1).count():
         raise ValueError("no feature with a geometry is left")
     f = stored(transformed(f, o))
@@ -122,7 +125,10 @@ def finish(features: DataFrame, palette: list[dict], o: Options, group: str | No
     if o.obj:
         tiles.write_obj(f, o.obj if o.obj.endswith(".obj") else o.obj + ".obj", (0.0, 0.0, 0.0) if shift == "centroid" else shift)
     heads = {r.tile: r.head for r in f.filter("head <> tile").select("tile", "head").distinct().toLocalIterator()} if o.loa else None
-    return tiles.write_tileset(layers, folder, asset, heads)
+    if tree is not None:
+        for r in f.select("tile", "tileset_id", "node_path").distinct().toLocalIterator():
+            tree[r.tileset_id, tuple(map(int, r.node_path.split(".")))]["tile"] = r.tile
+    return tiles.write_tileset(layers, folder, asset, heads, tree)
 
 
 def geojson_features(raw: DataFrame, o: Options) -> DataFrame:
@@ -254,7 +260,7 @@ def ifc(spark: SparkSession, objects: DataFrame, o: Options) -> dict:
 
 
 def reader(spark: SparkSession, folders: list[str], o: Options) -> dict:
-    """Tilesets read back, merged, transformed and written again, tile by tile."""
+    """Tilesets read back, merged, transformed and written again, tile by tile, each below the one it was below."""
     t = files.tilesets(spark, folders)
     f = tiles.read_tiles(spark, t)
     f = stored(f.withColumn("key", F.concat_ws("/", F.lpad(F.col("tileset_id").cast("string"), 9, "0"), "node_path")))
@@ -264,7 +270,7 @@ def reader(spark: SparkSession, folders: list[str], o: Options) -> dict:
         raise ValueError(f"more than {MAX_MATERIALS} materials")
     palette = [{"rgba": c, "metallic": 0.0, "roughness": 1.0, "double_sided": True} for c in sorted(colors)]
     numbers = spark.createDataFrame([(c["rgba"], i) for i, c in enumerate(palette)], "rgba array<double>, material_index int")
-    return finish(f.join(F.broadcast(numbers), "rgba"), palette, o, group="key")
+    return finish(f.join(F.broadcast(numbers), "rgba"), palette, o, group="key", tree=tiles.read_tree(t, o.geometric_error))
 
 
 def merger(folders: list[str], out: str) -> dict:

@@ -98,6 +98,22 @@ def test_reader_and_merger(spark, tmp_path):
     assert len(t["root"]["children"]) == 4
 
 
+def test_reader_keeps_the_tree(spark, tmp_path):
+    path = write_geojson(tmp_path / "a.json", [feature(0, 0), feature(1, 50)])
+    t = P.geojson(spark, [path], P.Options(output_dir=str(tmp_path / "a"), geometric_error=(7.0, 9.0), lod1=True, kd_tree_max=1))
+    top = t["root"]["children"][0]
+    top["refine"] = "ADD"
+    top["children"] = [{"boundingVolume": {"box": [0] * 12}, "geometricError": 8.0, "children": top["children"]}]  # a node without content
+    (tmp_path / "a" / "tileset.json").write_text(json.dumps(t))
+    shape = lambda x: (x["geometricError"], x["refine"], "content" in x, [shape(c) for c in x["children"]])
+    got = P.reader(spark, [str(tmp_path / "a")], P.Options(output_dir=str(tmp_path / "r")))
+    assert sorted(map(shape, got["root"]["children"])) == [(9.0, "ADD", True, [(8.0, "ADD", False, [(7.0, "REPLACE", True, [])])]), (9.0, "REPLACE", True, [(7.0, "REPLACE", True, [])])]
+    xs = lambda d: {r.id: round(min(p.x for x in r.tri for p in (x.a, x.b, x.c)), 2) for r in tiles.read_tiles(spark, files.tilesets(spark, [str(tmp_path / d)])).collect()}
+    assert xs("r") == xs("a") and len(xs("a")) == 4
+    tree = tiles.read_tree(files.tilesets(spark, [str(tmp_path / "a")]), (1.0, None, 3.0))
+    assert sorted(v["geometric_error"] for v in tree.values()) == [1.0, 1.0, 3.0, 3.0, 8.0, 9.0]
+
+
 def test_zones_group_features_and_give_blocks(spark, tmp_path):
     path = write_geojson(tmp_path / "a.geojson", [feature(i, 100 * i) for i in range(3)])
     zone = {"type": "Feature", "properties": {}, "geometry": {"type": "Polygon", "coordinates": [[[-5, -5], [200, -5], [200, 50], [-5, 50], [-5, -5]]]}}
