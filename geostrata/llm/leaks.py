@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -169,14 +170,14 @@ class Index:
 
 
 def item_blocks(items: DataFrame, block: int = ITEM_BLOCK) -> Iterator[list[tuple[int, str]]]:
-    """The test items on the driver, a bounded block at a time."""
-    t = items.select(F.col("item_id"), F.col("passage")).filter("item_id is not null").groupBy("item_id").agg(F.max("passage").alias("passage"))
+    """The distinct (item_id, passage) on the driver, a bounded block at a time. An id with several passages has an entry for each."""
+    t = items.select("item_id", "passage").distinct().withColumn("at", F.struct("item_id", "passage"))
     last = None
     while True:
-        own = (t if last is None else t.filter(F.col("item_id") > last)).orderBy("item_id").limit(block).collect()
+        own = (t if last is None else t.filter(F.col("at") > F.struct(F.lit(last.item_id).cast("bigint").alias("item_id"), F.lit(last.passage).cast("string").alias("passage")))).orderBy("at").limit(block).collect()
         if own:
             yield [(r.item_id, r.passage) for r in own]
-            last = own[-1].item_id
+            last = own[-1]
         if len(own) < block:
             return
 
@@ -212,16 +213,17 @@ def leaks(docs: DataFrame, items: DataFrame, item_block: int = ITEM_BLOCK) -> Da
     found = None
     for block in item_blocks(items, item_block):
         df: dict[int, int] = defaultdict(int)
-        for _, p in block:
-            for s in np.unique(shingles(word_hashes(latex.plain(p or ""))[0])).tolist():
+        for _, own in groupby(block, lambda x: x[0]):
+            for s in {int(s) for _, p in own for s in shingles(word_hashes(latex.plain(p or ""))[0])}:
                 df[s] += 1
+        total = len({i for i, _ in block})
         shared = docs.sparkSession.sparkContext.broadcast(block)
         rare = docs.sparkSession.sparkContext.broadcast(dict(df))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, rare=rare) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, rare=rare, total=total) -> Iterator[pa.RecordBatch]:
             index = None
             for batch in batches:
-                index = index or Index(shared.value, rare.value, len(shared.value))
+                index = index or Index(shared.value, rare.value, total)
                 out: dict = {}
                 held, size = [], 0
                 for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

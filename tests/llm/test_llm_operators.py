@@ -83,6 +83,15 @@ def test_long_texts_give_what_they_give_in_one_piece(spark, monkeypatch):
     assert find() == whole
 
 
+def test_all_passages_of_an_item_are_searched(spark):
+    p = {k: " ".join(f"{k}{i}" for i in range(15)) for k in "abcd"}
+    it = spark.createDataFrame([(1, p["a"]), (1, p["b"]), (1, p["b"]), (None, p["c"]), (None, p["d"]), (2, None), (None, None)], "item_id long, passage string")
+    d = docs(spark, [(i, p[k]) for i, k in enumerate("abcd")])
+    for block in (20_000, 1, 2):
+        got = [(r.doc_id, r.item_id, r.longest_run) for r in leaks.leaks(d, it, block).collect()]
+        assert sorted(got, key=str) == [(0, 1, 15), (1, 1, 15), (2, None, 15), (3, None, 15)]
+
+
 def test_fingerprints_within_the_radius_share_a_block():
     import numpy as np
 
