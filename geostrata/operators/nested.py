@@ -184,12 +184,32 @@ def _tile_of(at: Column, inner: int) -> Column:
     return _dotted(F.concat(F.array(F.lit(0)), F.slice(at, 1, F.size(at) - inner)))
 
 
+BOXES = "record_id bigint, node_path string, parent_path string, box array<double>"
+
+
 def boxes(columns: DataFrame) -> DataFrame:
-    """(record_id, node_path, parent_path, box) of tiles whose box has exactly 12 numbers."""
-    one = F.struct(F.element_at("at", -1).alias("k"), F.when(F.col("kind") == "number", F.col("value").try_cast("double")).alias("v"))
-    own = elements(columns, F.col("path").rlike(BOX)).groupBy("record_id", _tile_of(F.col("at"), 1).alias("node_path")).agg(F.sort_array(F.collect_list(one)).alias("e"))
-    own = own.filter((F.size("e") == 12) & ~F.exists("e", lambda x: x["v"].isNull()))
-    return own.select("record_id", "node_path", F.regexp_replace("node_path", r"\.?[^.]*$", "").alias("parent_path"), F.transform("e", lambda x: x["v"]).alias("box"))
+    """(record_id, node_path, parent_path, box) of tiles whose box has exactly 12 numbers.
+
+    All numbers of a record's boxes at one depth are one row, so each input row gives its own boxes, whatever its id.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [], [])
+            for i, full, levels, rep, dfn, kinds, values in zip(*(batch.column(c).to_pylist() for c in ("record_id", "max_definition", "max_repetition", "repetition", "definition", "kind", "value")), strict=True):
+                held: dict[tuple, list] = {}
+                for at, d, kind, v in zip(positions(rep, levels), dfn, kinds, values, strict=True):
+                    if d >= full - 1:
+                        held.setdefault(tuple(at[:-1]), []).append(float(v) if kind == "number" else None)
+                for at, box in held.items():
+                    if len(box) == 12 and None not in box:
+                        steps = ["0", *map(str, at)]
+                        for c, x in zip(out, (i, ".".join(steps), ".".join(steps[:-1]), box), strict=True):
+                            c.append(x)
+            types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["record_id", "node_path", "parent_path", "box"])
+
+    return columns.filter(F.col("path").rlike(BOX)).mapInArrow(run, BOXES)
 
 
 def tile_fields(columns: DataFrame) -> DataFrame:

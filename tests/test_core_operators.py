@@ -109,6 +109,15 @@ def test_nested_tables(spark):
     assert sorted((r.record_id, r.node_path, r.prop_name, r.prop_value, r.value_kind) for r in nested.prop_values(p).collect()) == [(1, "0.0", "p", "1", "number"), (1, "0.2", "q", None, "null"), (1, "3.0", "r", None, None), (4, "0.0", "p", None, "object")]
 
 
+def test_boxes_of_repeated_records_and_null_ids(spark):
+    doc = lambda x: json.dumps({"root": {"boundingVolume": {"box": [x] * 12}, "children": [{"boundingVolume": {"box": [x + 1] * 12}}, {"boundingVolume": {"box": [x] * 11}}]}})
+    cols = nested.tile_columns(spark.createDataFrame([(1, doc(1)), (1, doc(1)), (None, doc(3)), (None, doc(5))], "tileset_id long, tileset_json string"))
+    got = sorted((r.record_id or 0, r.node_path, r.parent_path, set(r.box)) for r in nested.boxes(cols).collect())
+    want = [(i, p, "0" if p == "0.0" else "", {float(x + (p == "0.0"))}) for i, x in ((1, 1), (1, 1), (0, 3), (0, 5)) for p in ("0", "0.0")]
+    key = lambda x: (x[0], x[1], min(x[3]))
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
 def test_near_pairs_and_zones(spark):
     r = random.Random(2)
     pts = [(i, r.choice("ab"), r.randrange(0, 300_000), r.randrange(0, 300_000)) for i in range(150)] + [(200, None, 5, 5), (201, None, 5, 5)]
