@@ -237,7 +237,7 @@ def read_tree(tilesets: DataFrame, errors: tuple[float | None, ...] = ()) -> dic
     The driver gets a slim row a tile, as for writing.
     """
     cols = nested.tile_columns(tilesets)
-    t = nested.tiles(cols).join(nested.tile_fields(cols), ["record_id", "node_path"], "left").select("record_id", "node_path", F.col("geometric_error").try_cast("double").alias("geometric_error"), F.upper("refine").alias("refine"))
+    t = nested.tiles(cols).select("record_id", "node_path", F.col("geometric_error").try_cast("double").alias("geometric_error"), F.upper("refine").alias("refine"))
     tree = {(r.record_id, tuple(map(int, r.node_path.split(".")))): {"geometric_error": r.geometric_error, "refine": r.refine, "height": 0} for r in t.toLocalIterator()}
     for at in sorted(tree, key=lambda x: -len(x[1])):
         above = tree.get((at[0], at[1][:-1]))
@@ -261,10 +261,8 @@ def read_tiles(spark: SparkSession, tilesets: DataFrame) -> DataFrame:
     The translation is the sum of those from the root child above a tile down to it.
     """
     cols = nested.tile_columns(tilesets)
-    t = nested.tiles(cols).join(nested.tile_fields(cols), ["record_id", "node_path"]).filter("content_uri like '%.b3dm%'")
-    moves = nested.elements(cols, F.col("path").rlike(r"^\$\.root(\.children\[\])*\.transform\[\]$"))
-    place = F.element_at("at", -1)
-    moves = moves.groupBy("record_id", nested._tile_of(F.col("at"), 1).alias("above")).agg(*[F.max(F.when(place == 12 + i, F.col("value").cast("double"))).alias("t" + k) for i, k in enumerate(G.AXES)])
+    t = nested.tiles(cols).filter("content_uri like '%.b3dm%'")
+    moves = nested.transforms(cols).select("record_id", F.col("node_path").alias("above"), *[F.col("matrix")[12 + i].alias("t" + k) for i, k in enumerate(G.AXES)])
     # the root's own transform holds for its own content only
     steps = F.split("node_path", r"\.")
     above = F.when(F.size(steps) == 1, F.array("node_path")).otherwise(F.transform(F.sequence(F.lit(2), F.greatest(F.size(steps), F.lit(2))), lambda n: F.array_join(F.slice(steps, 1, n), ".")))
