@@ -3,7 +3,7 @@
 Regions: SQL crossing parity. Region edges are cut into strips of equal height in y, candidate points meet the edges
 of their strip, and the crossings of the ray to +x are counted by point and region; odd is inside. Points on an edge
 are told apart by an exact test and are not inside. Distances and sides are computed on whole numbers of a tenth of a
-millimetre, so nothing depends on rounding.
+millimetre, in 64 bits or, for zones beyond 100 km, in whole decimals, so nothing depends on rounding.
 
 Near pairs: points meet in grid cells as wide as the distance, each against its own and four of the eight cells
 around, so a pair comes up once. Cells with many points are split: one side is dealt out over salts, the other is
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geostrata.runtime import BROADCAST_ROWS, bounded
+from geostrata.runtime import BROADCAST_ROWS, KEY_ROWS, salted_join, within
 
 #: Whole units in a metre.
 UNIT = 10_000
@@ -83,22 +83,64 @@ def edges(zones: DataFrame) -> DataFrame:
     return e.select("zone_id", F.col("e.a.x").alias("x1"), F.col("e.a.y").alias("y1"), F.col("e.b.x").alias("x2"), F.col("e.b.y").alias("y2"), low("x").alias("zx1"), high("x").alias("zx2"), low("y").alias("zy1"), high("y").alias("zy2")).filter("x1 <> x2 or y1 <> y2")
 
 
-def containing_zones(points: DataFrame, zones: DataFrame, strip_metres: float = 50.0) -> DataFrame:
-    """(zone_id, feature_id) of each point strictly inside a ring."""
+#: Strips that the longer side of a zone is cut into at most; larger zones have higher strips, by powers of four.
+ZONE_STRIPS = 64
+#: Width of a cell along a strip, in strip heights.
+CELL_STRIPS = 8
+
+
+def _strips(zones: DataFrame, height: int) -> DataFrame:
+    """The edges by level and strip: the strips of a level are four times as high as those of the level below."""
     e = edges(zones)
+    extent = F.greatest(F.col("zx2") - F.col("zx1"), F.col("zy2") - F.col("zy1"))
+    level = F.greatest(F.lit(0), F.ceil(F.log(4.0, F.greatest(extent / F.lit(float(height * ZONE_STRIPS)), F.lit(1.0))))).cast("int")
+    e = e.withColumn("level", level).withColumn("size", (F.lit(height) * F.pow(F.lit(4.0), "level")).cast("bigint"))
+    strip = lambda y: F.floor(y / F.col("size"))
+    return e.withColumn("strip", F.explode(F.sequence(strip(F.least("y1", "y2")), strip(F.greatest("y1", "y2")))))
+
+
+def _side() -> Column:
+    """On which side of its edge a point lies, as the sign of a product: in 64 bits where the zone is small enough for it, else in whole decimals."""
+
+    def product(t: str) -> Column:
+        c = lambda name: F.col(name).cast(t)
+        return F.signum(((c("x2") - c("x1")) * (c("y") - c("y1")) - (c("y2") - c("y1")) * (c("x") - c("x1"))).cast("double"))
+
+    small = F.greatest(F.col("zx2") - F.col("zx1"), F.col("zy2") - F.col("zy1")) < 2**30
+    return F.when(small, product("bigint")).otherwise(product("decimal(18,0)"))
+
+
+def containing_zones(points: DataFrame, zones: DataFrame, strip_metres: float = 50.0, broadcast_rows: int = BROADCAST_ROWS, key_rows: int = KEY_ROWS) -> DataFrame:
+    """(zone_id, feature_id) of each point strictly inside a ring.
+
+    Few edges are broadcast by strip. Beyond broadcast_rows points and edges meet by strip and cell: an edge stands in
+    the cells from its zone's left border to its own right end, so a point meets all edges right of it and only zones
+    around its cell; crowded cells are split.
+    """
     height = max(1, int(round(strip_metres * UNIT)))
-    strip = lambda y: F.floor(y / height)
-    cut = e.withColumn("strip", F.explode(F.sequence(strip(F.least("y1", "y2")), strip(F.greatest("y1", "y2")))))
-    cut = bounded(cut, BROADCAST_ROWS)
-    p = points.select("feature_id", "x", "y", strip(F.col("y")).alias("strip"))
-    # the ring's bounds keep far points out and the products below within 64 bits
+    cut = _strips(zones, height)
+    if within(cut, broadcast_rows):
+        cut, cells = F.broadcast(cut), False
+    else:
+        cells = True
+    # at most one level for each power of four that 64 bits hold
+    levels = sorted(r.level for r in cut.select("level").distinct().collect())
+    size = F.lit(height) * F.pow(F.lit(4.0), F.col("level")).cast("bigint")
+    p = points.select("feature_id", "x", "y", F.explode(F.array(*[F.lit(k) for k in levels])).alias("level") if levels else F.lit(0).alias("level"))
+    p = p.withColumn("strip", F.floor(F.col("y") / size))
+    if cells:
+        wide = F.col("size") * CELL_STRIPS
+        cut = cut.withColumn("cell", F.explode(F.sequence(F.floor(F.col("zx1") / wide), F.floor(F.greatest("x1", "x2") / wide)))).drop("size")
+        met = salted_join(p.withColumn("cell", F.floor(F.col("x") / (size * CELL_STRIPS))), cut, ["level", "strip", "cell"], "feature_id", key_rows=key_rows, broadcast_rows=0)
+    else:
+        met = p.join(cut.drop("size"), ["level", "strip"])
+    # the ring's bounds keep far points out and the products within their types
     hit = (F.col("x") > F.col("zx1")) & (F.col("x") < F.col("zx2")) & (F.col("y") > F.col("zy1")) & (F.col("y") < F.col("zy2"))
-    cross = (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) - (F.col("y2") - F.col("y1")) * (F.col("x") - F.col("x1"))
-    on_edge = (cross == 0) & F.col("x").between(F.least("x1", "x2"), F.greatest("x1", "x2")) & F.col("y").between(F.least("y1", "y2"), F.greatest("y1", "y2"))
+    met = met.filter(hit).withColumn("side", _side())
+    on_edge = (F.col("side") == 0) & F.col("x").between(F.least("x1", "x2"), F.greatest("x1", "x2")) & F.col("y").between(F.least("y1", "y2"), F.greatest("y1", "y2"))
     up = (F.col("y1") <= F.col("y")) & (F.col("y2") > F.col("y"))
     down = (F.col("y2") <= F.col("y")) & (F.col("y1") > F.col("y"))
-    crossing = (up & (cross > 0)) | (down & (cross < 0))
-    met = p.join(cut, "strip").filter(hit)
+    crossing = (up & (F.col("side") > 0)) | (down & (F.col("side") < 0))
     # partial sums first: the edges a point met in one task are one row
     counted = met.groupBy("feature_id", "zone_id").agg(F.sum(crossing.cast("int")).alias("crossings"), F.max(on_edge).alias("on_edge"))
     return counted.filter("crossings % 2 = 1 and not on_edge").select("zone_id", "feature_id")
