@@ -3,8 +3,8 @@
 Time-ordered filling per entity: numbers are interpolated between the observed neighbours in time, or carried within
 the gap limit; categories are carried within the gap limit. What an entity can't give comes from its group, from the
 narrowest group that has a value: kind, place and vintage; kind and place; kind and vintage; kind. An entity may hold
-any share of the rows: the ordered table is cut into parts of bounded size, and what each part carries to the next is
-worked out from one summary row a part.
+any share of the rows: a large one is cut into parts of bounded size in time order, and what its parts carry to each
+other is worked out from one summary row a part. All of it runs as column expressions and windows.
 
 Nulls: a null entity key makes the row an entity of its own; a row without a time comes first; a field that no record
 has gives method 'none' and null. Ties in time are in order of the row id. Repeated rows count as observations.
@@ -12,15 +12,14 @@ has gives method 'none' and null. Ties in time are in order of the row id. Repea
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from geostrata.functions import measures as M
-from geostrata.runtime import stored
+from geostrata.runtime import bounded, salted_join, stored
 
-#: Rows of the ordered table that one task takes.
+#: Rows of one entity and field that one task orders.
 PART_ROWS = 250_000
 #: Days over which a value is carried; interpolation has both neighbours and no limit.
 GAP_DAYS = 3 * 366.0
@@ -37,152 +36,112 @@ def observations(features: DataFrame) -> DataFrame:
     """One row per feature and field that its kind should have: (feature_id, kind, field_name, entity, place, vintage, at, num, cat); num and cat null where missing."""
     cols = []
     for layer, field, low, high in FIELDS:
-        raw = F.col(field) if layer is None else F.get_json_object("properties", f"$.{field}")
+        raw = F.col(field) if layer is None else F.col(f"j.{field}")
         own = F.lit(True) if layer is None else F.col("layer") == layer
         if low is None:
             num, cat = F.lit(None).cast("double"), F.when(~M.is_placeholder(raw), M.trimmed(raw))
         else:
-            num = M.let(M.measure(raw, F.lit("m")).cast("double"), _within(low, high))
+            num = M.let(M.measure(raw, F.lit("m"), 6).cast("double"), _within(low, high))
             cat = F.lit(None).cast("string")
         cols.append(F.when(own, F.struct(F.lit(field).alias("field_name"), F.lit(low is not None).alias("numeric"), num.alias("num"), cat.alias("cat"))))
-    src = features.filter("feature_id is not null").select(
+    # the properties are parsed once, for the fields wanted
+    wanted = ", ".join(f"{field} string" for layer, field, _, _ in FIELDS if layer is not None)
+    src = features.filter("feature_id is not null").withColumn("j", F.from_json("properties", wanted)).select(
         "feature_id", F.col("layer").alias("kind"), F.coalesce("feature_code", F.concat(F.lit("#"), F.col("feature_id").cast("string"))).alias("entity"),
         F.col("commune_code").alias("place"), "vintage", F.coalesce(F.unix_micros(F.col("captured_at").cast("timestamp")), F.lit(-(2**62))).alias("at"), F.array_compact(F.array(*cols)).alias("f"),
     )
     return src.select("feature_id", "kind", "entity", "place", "vintage", "at", F.explode("f").alias("f")).select("feature_id", "kind", "entity", "place", "vintage", "at", "f.*")
 
 
-ORDER = ["field_name", "entity", "at", "feature_id"]
-FILLED = "feature_id bigint, kind string, field_name string, entity string, place string, vintage int, numeric boolean, num double, cat string, method string, gap_days double"
-
-
-def _neighbours(t: pd.DataFrame, before: tuple | None, after: tuple | None):
-    """Per row the nearest observed row before and after it of the same field and entity, as (time, num, cat) arrays; before and after: what other parts hold for the first and last key."""
-    n = len(t)
-    key = (t["field_name"] + "\0" + t["entity"]).to_numpy()
-    new = np.ones(n, bool)
-    new[1:] = key[1:] != key[:-1]
-    group = np.cumsum(new)
-    seen = t["num"].notna().to_numpy() | t["cat"].notna().to_numpy()
-    where = np.where(seen, np.arange(n), -1)
-    last = np.maximum.accumulate(where)
-    last = np.where((last >= 0) & (group[last] == group), last, -1)
-    ahead = np.where(seen, np.arange(n), n)[::-1]
-    nxt = np.minimum.accumulate(ahead)[::-1]
-    nxt = np.where((nxt < n) & (group[np.minimum(nxt, n - 1)] == group), nxt, -1)
-    at, num, cat = t["at"].to_numpy(np.float64), t["num"].to_numpy(np.float64), t["cat"].to_numpy(object)
-
-    def take(index: np.ndarray, edge: np.ndarray, other: tuple | None):
-        out = [np.where(index >= 0, at[index], np.nan), np.where(index >= 0, num[index], np.nan), np.where(index >= 0, cat[index], None)]
-        if other is not None:
-            rows = (index < 0) & edge
-            out[0][rows], out[1][rows], out[2][rows] = other[0], np.nan if other[1] is None else other[1], other[2]
-        return out
-
-    return take(last, group == 1, before), take(nxt, group == group[-1], after)
-
-
-def _fill(t: pd.DataFrame, before: tuple | None, after: tuple | None) -> pd.DataFrame:
-    t = t.sort_values(ORDER, ignore_index=True)
-    (pt, pn, pc), (nt, nn, nc) = _neighbours(t, before, after)
-    at, day = t["at"].to_numpy(np.float64), 86_400e6
-    missing = t["num"].isna().to_numpy() & t["cat"].isna().to_numpy()
-    numeric = t["numeric"].to_numpy(bool)
-    back, ahead = (at - pt) / day, (nt - at) / day
-    near = np.fmin(back, ahead)
-    pick_back = np.isnan(ahead) | (back <= ahead)
-    both = missing & numeric & ~np.isnan(pn) & ~np.isnan(nn)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        share = np.where(nt > pt, (at - pt) / (nt - pt), 0.5)
-    num, cat = t["num"].to_numpy(np.float64).copy(), t["cat"].to_numpy(object).copy()
-    num[both] = np.round(pn + (nn - pn) * share, 3)[both]
-    carry = missing & ~both & (near <= GAP_DAYS)
-    num[carry & numeric] = np.where(pick_back, pn, nn)[carry & numeric]
-    cat[carry & ~numeric] = np.where(pick_back, pc, nc)[carry & ~numeric]
-    method = np.where(~missing, "observed", np.where(both, "interpolated", np.where(carry, "carried", None)))
-    gap = np.where(both | carry, near, np.where(missing, np.nan, 0.0))
-    out = t.assign(num=num, cat=cat, method=method, gap_days=np.round(gap, 3))
-    out["num"] = out["num"].astype(object).where(out["num"].notna(), None)
-    out["gap_days"] = out["gap_days"].astype(object).where(out["gap_days"].notna(), None)
-    return out
+KEYS = ["field_name", "entity"]
+ORDER = [*KEYS, "at", "feature_id"]
+DAY = 86_400e6
+
+
+def thousandths(x):
+    """Rounded to three places, halves up."""
+    return F.floor(x * 1000 + 0.5) / 1000.0
+
+
+def _parts(obs: DataFrame, part_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """The observations with 'part', and (keys, part, before, after): what parts of one entity carry to each other, or None.
+
+    Only entities with more than part_rows rows have more than one part; the row id ends their order, so equal times are cut, too.
+    """
+    hot = obs.groupBy(*KEYS).count().filter(F.col("count") > part_rows).select(*KEYS)
+    if not hot.limit(1).count():
+        return obs.withColumn("part", F.lit(0)), None
+    hot = bounded(hot)  # at most one row for each part_rows observations
+    own = obs.join(hot, KEYS, "left_semi")
+    own = stored(own.repartitionByRange(2 * -(-own.count() // part_rows), *ORDER).withColumn("part", F.spark_partition_id()))
+    seen = F.when(F.col("num").isNotNull() | F.col("cat").isNotNull(), F.struct("at", "feature_id", "num", "cat"))
+    ends = own.groupBy(*KEYS, "part").agg(F.min(seen).alias("first"), F.max(seen).alias("last"))
+    w = Window.partitionBy(*KEYS).rowsBetween(Window.unboundedPreceding, -1)
+    slim = lambda c: F.struct(c["at"].alias("at"), c["num"].alias("num"), c["cat"].alias("cat"))
+    before = F.last(F.when(F.col("last").isNotNull(), slim(F.col("last"))), ignorenulls=True).over(w.orderBy("part"))
+    after = F.last(F.when(F.col("first").isNotNull(), slim(F.col("first"))), ignorenulls=True).over(w.orderBy(F.col("part").desc()))
+    carried = stored(ends.select(*KEYS, "part", before.alias("before"), after.alias("after")))
+    return obs.join(hot, KEYS, "left_anti").withColumn("part", F.lit(0)).unionByName(own), carried
 
 
 def by_time(obs: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """The observations with gaps filled from the same entity (see FILLED); rows it can't fill have a null method."""
-    n = obs.count()
-    parts = max(1, -(-n // part_rows))
-    # the row id ends the order, so equal entities and times are cut too
-    ordered = stored(obs.repartitionByRange(parts, *ORDER).withColumn("part", F.spark_partition_id()))
-    columns = [c.split()[0] for c in FILLED.split(", ")]
-
-    def ends(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(ORDER, ignore_index=True)
-        seen = t["num"].notna() | t["cat"].notna()
-        rows = []
-        for side, first in (("first", True), ("last", False)):
-            edge = t.iloc[0 if first else -1]
-            own = t[(t["field_name"] == edge["field_name"]) & (t["entity"] == edge["entity"])]
-            held = own[seen[own.index]]
-            x = None if held.empty else held.iloc[0 if first else -1]
-            rows.append({"part": int(edge["part"]), "side": side, "field_name": edge["field_name"], "entity": edge["entity"], "whole": len(own) == len(t), "at": None if x is None else int(x["at"]), "num": None if x is None or pd.isna(x["num"]) else float(x["num"]), "cat": None if x is None else x["cat"]})
-        return pd.DataFrame(rows)
-
-    before, after = {}, {}
-    if parts > 1:
-        # two rows a part: bounded by the number of parts
-        rows = ordered.groupBy("part").applyInPandas(ends, "part int, side string, field_name string, entity string, whole boolean, at bigint, num double, cat string").collect()
-        first = {r.part: r for r in rows if r.side == "first"}
-        last = {r.part: r for r in rows if r.side == "last"}
-        order = sorted(first)
-        for numbers, start, stop, out in ((order, first, last, before), (order[::-1], last, first, after)):
-            held = None
-            for p in numbers:
-                key = (start[p].field_name, start[p].entity)
-                if held is not None and held[0] == key:
-                    out[p] = held[1]
-                x = stop[p]
-                if x.at is not None:
-                    held = ((x.field_name, x.entity), (x.at, x.num, x.cat))
-                elif held is None or held[0] != (x.field_name, x.entity):
-                    held = None
-
-    def fill(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
-        return _fill(t, before.get(int(key[0])), after.get(int(key[0])))[columns]
-
-    return ordered.groupBy("part").applyInPandas(fill, FILLED)
+    """The observations with gaps filled from the same entity, with method and gap_days; rows it can't fill have a null method."""
+    cut, carried = _parts(obs, part_rows)
+    seen = F.when(F.col("num").isNotNull() | F.col("cat").isNotNull(), F.struct("at", "num", "cat"))
+    # two orders, as a frame that runs to the end of its partition is summed up anew for every row
+    near = lambda *order: F.last(seen, ignorenulls=True).over(Window.partitionBy(*KEYS, "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    t = cut.withColumn("p", near("at", "feature_id")).withColumn("n", near(F.col("at").desc(), F.col("feature_id").desc()))
+    if carried is not None:
+        t = t.join(bounded(carried), [*KEYS, "part"], "left").withColumn("p", F.coalesce("p", "before")).withColumn("n", F.coalesce("n", "after")).drop("before", "after")
+    missing = F.col("num").isNull() & F.col("cat").isNull()
+    back, ahead = (F.col("at") - F.col("p.at")) / DAY, (F.col("n.at") - F.col("at")) / DAY
+    gap = F.least(back, ahead)
+    both = missing & F.col("numeric") & F.col("p.num").isNotNull() & F.col("n.num").isNotNull()
+    carry = missing & ~both & F.coalesce(gap <= GAP_DAYS, F.lit(False))
+    pick = F.when(ahead.isNull() | F.coalesce(back <= ahead, F.lit(False)), F.col("p")).otherwise(F.col("n"))
+    share = F.when(F.col("n.at") > F.col("p.at"), (F.col("at") - F.col("p.at")) / (F.col("n.at") - F.col("p.at"))).otherwise(0.5)
+    method = F.when(~missing, "observed").when(both, "interpolated").when(carry, "carried")
+    between = thousandths(F.col("p.num") + (F.col("n.num") - F.col("p.num")) * share)
+    return t.select(
+        "feature_id", "kind", "field_name", "entity", "place", "vintage", "numeric",
+        F.when(both, between).when(carry & F.col("numeric"), pick["num"]).otherwise(F.col("num")).alias("num"), F.when(carry & ~F.col("numeric"), pick["cat"]).otherwise(F.col("cat")).alias("cat"),
+        method.alias("method"), F.when(both | carry, thousandths(gap)).when(~missing, F.lit(0.0)).alias("gap_days"),
+    )
 
 
+GROUP = ["kind", "place", "vintage", "field_name"]
 LEVELS = [("group_place_vintage", ["kind", "place", "vintage"]), ("group_place", ["kind", "place"]), ("group_vintage", ["kind", "vintage"]), ("group_kind", ["kind"])]
 
 
-def by_group(filled: DataFrame, obs: DataFrame) -> DataFrame:
-    """Rows still open take the mean (numbers, to 0.1) or the most frequent value (categories; ties: the smallest) of the narrowest group."""
+def group_values(asked: DataFrame, obs: DataFrame) -> DataFrame:
+    """asked(kind, place, vintage, field_name), each once, with num, cat and method of the narrowest group that has a value."""
     seen = obs.filter("num is not null or cat is not null").filter("field_name <> 'commune_code' or place is not null")
-    # counts by value first, so that a group of any size is a few rows per task
-    counts = seen.groupBy("kind", "place", "vintage", "field_name", "numeric", "cat").agg(F.count("*").alias("n"), F.sum(F.col("num").cast("decimal(20,6)")).alias("s"))
-    counts = stored(counts)
-    done = filled.filter("method is not null")
-    rest = filled.filter("method is null").drop("num", "cat", "method", "gap_days")
+    # counts by value first, so that a group of any size is a few rows per task; numbers are summed as whole millionths
+    counts = stored(seen.groupBy(*GROUP, "numeric", "cat").agg(F.count("*").alias("n"), F.sum(F.round(F.col("num") * 1e6).cast("bigint")).alias("s")))
     for name, keys in LEVELS:
-        sums = counts.filter("numeric").groupBy(*keys, "field_name").agg(F.round(F.sum("s") / F.sum("n"), 1).cast("double").alias("g_num"))
-        modes = counts.filter("not numeric").groupBy(*keys, "field_name", "cat").agg(F.sum("n").alias("n")).groupBy(*keys, "field_name").agg(F.min_by("cat", F.struct(-F.col("n"), "cat")).alias("g_cat"))
-        stats = sums.withColumn("g_cat", F.lit(None).cast("string")).unionByName(modes.withColumn("g_num", F.lit(None).cast("double")))
-        stats = stats.withColumnsRenamed({"g_num": f"num_{name}", "g_cat": f"cat_{name}"} | {k: f"own_{k}" for k in [*keys, "field_name"]})
+        sums = counts.filter("numeric").groupBy(*keys, "field_name").agg((F.floor(F.sum("s").cast("double") / F.sum("n") / 100_000 + 0.5) / 10.0).alias("num"))
+        modes = counts.filter("not numeric").groupBy(*keys, "field_name", "cat").agg(F.sum("n").alias("n")).groupBy(*keys, "field_name").agg(F.min_by("cat", F.struct(-F.col("n"), "cat")).alias("cat"))
+        stats = sums.withColumn("cat", F.lit(None).cast("string")).unionByName(modes.withColumn("num", F.lit(None).cast("double")))
+        stats = stats.select(*[F.col(k).alias(f"own_{k}") for k in [*keys, "field_name"]], F.struct("num", "cat").alias(name))
         on = [F.col(k).eqNullSafe(F.col(f"own_{k}")) if k == "kind" else F.col(k) == F.col(f"own_{k}") for k in [*keys, "field_name"]]
-        rest = rest.join(stats, on, "left").drop(*[f"own_{k}" for k in [*keys, "field_name"]])
-    has = [(name, F.col(f"num_{name}").isNotNull() | F.col(f"cat_{name}").isNotNull()) for name, _ in LEVELS]
-    method = F.coalesce(*[F.when(c, F.lit(name)) for name, c in has], F.lit("none"))
-    rest = rest.select(
-        "feature_id", "kind", "field_name", "entity", "place", "vintage", "numeric",
-        F.coalesce(*[F.col(f"num_{name}") for name, _ in LEVELS]).alias("num"), F.coalesce(*[F.col(f"cat_{name}") for name, _ in LEVELS]).alias("cat"),
-        method.alias("method"), F.lit(None).cast("double").alias("gap_days"),
-    )
+        asked = asked.join(stats, on, "left").drop(*[f"own_{k}" for k in [*keys, "field_name"]])
+    names = [name for name, _ in LEVELS]
+    value = F.coalesce(*names)
+    method = F.coalesce(*[F.when(F.col(n).isNotNull(), F.lit(n)) for n in names], F.lit("none"))
+    return asked.select(*GROUP, value["num"].alias("num"), value["cat"].alias("cat"), method.alias("method"))
+
+
+def by_group(filled: DataFrame, obs: DataFrame) -> DataFrame:
+    """Rows still open take the mean (numbers, to 0.1) or the most frequent value (categories; ties: the smallest) of the narrowest group."""
+    done = filled.filter("method is not null")
+    rest = filled.filter("method is null").drop("num", "cat", "method", "gap_days").withColumn("group", F.struct(*GROUP))
+    # what a group gives is looked up once a group; the rows of a group of any size then meet one row
+    found = stored(group_values(rest.select(*GROUP).distinct(), obs)).select(F.struct(*GROUP).alias("group"), "num", "cat", "method")
+    rest = salted_join(rest, found, ["group"], "feature_id").drop("group").withColumn("gap_days", F.lit(None).cast("double"))
     return done.unionByName(rest)
 
 
 def fill(features: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """features to one row per feature and field: its value, method ('observed' or how it was filled) and distance in days."""
-    obs = stored(observations(features))  # read four times from here on, the properties are parsed once
+    obs = stored(observations(features))  # read several times from here on, the properties are parsed once
     return by_group(stored(by_time(obs, part_rows)), obs)
-
-
