@@ -2,9 +2,9 @@
 
 A weighted disjoint-set forest: every partition first joins the links it holds (find with path compression, each node
 keeping its offset, the number of links, to its root). Only roots whose parent lies in another partition go on, as one
-weighted link each; these are merged again, in one task while they are few and by weighted pointer doubling beyond
-that. What never comes to an end is on a closed chain or below one. Paths come from traversal of the parent index:
-inside the partition, then along the merged links.
+weighted link each; forests of neighbouring partitions are then merged level by level, each level with the roots that
+its groups left open. What never comes to an end is on a closed chain or below one. Paths come from traversal of the
+parent index: inside the partition, then along the merged links.
 
 Nulls: a null parent is a top, a null id is no node. A parent that is no node ends the chain there (orphan). Repeated
 ids must be resolved before (see latest). Ties: the smallest id names a closed chain. An empty table gives an empty
@@ -112,70 +112,115 @@ def partition_forests(links: DataFrame, hint: str | None, paths: bool, task_rows
         spread = links.select("id", "parent").coalesce(1)
     else:
         key = F.coalesce(F.col(hint), F.col("parent"), F.col("id")) if hint else F.col("id")
-        own = links.select("id", "parent", key.alias("key"))
-        hot = own.groupBy("key").count().filter(F.col("count") > task_rows // 4)
-        own = own.join(hot, "key", "left").withColumn("salt", F.when(F.col("count").isNotNull(), F.pmod(F.xxhash64("id"), F.lit(8 * parts))).otherwise(0))
-        spread = own.repartition(4 * parts, "key", "salt").select("id", "parent")
+        # by ranges of the key and then of the id: a hot tree becomes several partitions of neighbouring ids
+        spread = links.select("id", "parent", key.alias("key")).repartitionByRange(2 * parts, "key", "id").select("id", "parent")
     return spread.mapInPandas(_local(paths), NODE + (", path array<bigint>" if paths else ""))
 
 
 def resolve(links: DataFrame, hint: str | None = None, paths: bool = False, task_rows: int = TASK_ROWS) -> DataFrame:
     """links(id, parent, ...) to (id, parent, top_id, links_up, fault[, path]); fault: null, orphan, cycle or below_cycle."""
-    nodes = stored(partition_forests(links, hint, paths, task_rows))
-    extra = ["path"] if paths else []
+    nodes = stored(partition_forests(links, hint, paths, task_rows).withColumn("part", F.spark_partition_id()))
+    seg = ["seg"] if paths else []
     empty = F.array().cast("array<bigint>")
-    # one weighted link for each local root whose parent lies elsewhere
-    roots = nodes.filter("state = 'open' and id = rep").select(F.col("id").alias("root"), F.col("parent").alias("goal"))
+    # one weighted link for each local root whose parent lies elsewhere: to the root of the parent's own forest
+    roots = nodes.filter("state = 'open' and id = rep").select(F.col("id").alias("root"), F.col("parent").alias("goal"), "part")
     target = nodes.select(F.col("id").alias("goal"), F.col("rep").alias("next"), (F.col("links") + 1).alias("w"), F.col("state").alias("next_state"), *([F.col("path").alias("seg")] if paths else []))
-    merged = roots.join(target, "goal", "left").select(
-        "root", "next", "w", F.coalesce("next_state", F.lit("orphan")).alias("next_state"), *(["seg"] if paths else [])
-    )
-    merged = stored(merged)
-    # an orphan root is its own end
-    fixed = merged.filter("next is null").select("root", F.col("root").alias("end"), F.lit(0).alias("w"), F.lit("orphan").alias("fault"), *([empty.alias("seg")] if paths else []))
-    going = merged.filter("next is not null").select("root", "next", "w", "next_state", *(["seg"] if paths else []))
-    if going.limit(1).count():
-        fixed, going = _merge(fixed, going, paths, task_rows)
-    else:
-        going = None
-    ends = fixed.withColumnsRenamed({"root": "rep", "w": "more", "seg": "before"})
-    out = nodes.join(ends, "rep", "left")
+    merged = stored(roots.join(target, "goal", "left"))
+    none, open_ = F.col("next").isNull(), F.col("next_state") == "open"
+    # an orphan root is its own end; a next root that is no open one is the end
+    end = F.when(none, F.col("root")).when(~open_, F.col("next"))
+    fault = F.when(none, "orphan").when(F.col("next_state").isin("cycle", "below_cycle"), "below_cycle")
+    state = merged.select("root", "part", F.when(open_, F.col("next")).alias("next"), end.alias("end"), fault.alias("fault"), F.when(none, 0).otherwise(F.col("w")).cast("int").alias("w"), *([F.coalesce("seg", empty).alias("seg")] if paths else []))
+    state = stored(state)
+    some = state.filter("next is not null").limit(1).count()
+    ends = _merge(state, paths, task_rows) if some else state.select("root", "end", "w", "fault", *seg)
+    out = nodes.join(ends.withColumnsRenamed({"root": "rep", "w": "more", "seg": "before"}), "rep", "left")
     fault = F.when(F.col("state") == "open", F.col("fault")).otherwise(F.when(F.col("state") != "top", F.col("state")))
-    # below a closed chain that another partition found, the node itself is never on it
-    out = out.withColumn("fault", F.when((F.col("state") == "open") & (F.col("fault") == "cycle"), F.lit("below_cycle")).otherwise(fault))
-    done = out.select("id", "parent", F.coalesce("end", "rep").alias("top_id"), (F.col("links") + F.coalesce("more", F.lit(0))).alias("links_up"), "fault", *([F.concat(F.coalesce("before", empty), "path").alias("path")] if paths else []), (F.col("state") == "open").alias("was_open"), F.col("end").isNotNull().alias("ended"))
+    done = out.withColumn("fault", fault).select("id", "parent", F.coalesce("end", "rep").alias("top_id"), (F.col("links") + F.coalesce("more", F.lit(0))).alias("links_up"), "fault", *([F.concat(F.coalesce("before", empty), "path").alias("path")] if paths else []), (F.col("state") == "open").alias("was_open"), F.col("end").isNotNull().alias("ended"))
     settled = done.filter("ended or not was_open").drop("was_open", "ended")
-    if going is None:
+    if not some:
         return settled
     # chains that close across partitions, or run into one that does: these nodes alone, link by link
     rest = done.filter("was_open and not ended").select("id", "parent")
-    return settled.select("id", "parent", "top_id", "links_up", "fault", *extra).unionByName(_closed(rest, paths, task_rows))
+    return settled.unionByName(_closed(rest, paths, task_rows))
+
+
+def _level(paths: bool):
+    """The links of a group of partitions joined: each root with the last root of its chain inside the group and the links to it."""
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("root", ignore_index=True)
+        ids, has = t["root"].to_numpy(np.int64), t["next"].notna().to_numpy()
+        goal = t["next"].fillna(0).to_numpy(np.int64)
+        root, links, closed, _ = forest(ids, goal, has, t["w"].to_numpy(np.int64))
+        out = pd.DataFrame({"root": ids, "rep": ids[root], "acc": links.astype(np.int32), "endless": closed[root]})
+        if paths:
+            made: dict[int, list] = {}
+            segs = t["seg"].tolist()
+            inner = dict(zip(ids.tolist(), range(len(ids)), strict=True))
+            for k in np.argsort(links, kind="stable"):
+                above = made.get(int(goal[k])) if root[k] != k and not closed[root[k]] and int(goal[k]) in inner else None
+                made[int(ids[k])] = [] if above is None else [*above, *segs[k]]
+            out["way"] = [made[i] for i in ids.tolist()]
+        return out
 
+    return run
+
+
+def _merge(state: DataFrame, paths: bool, task_rows: int) -> DataFrame:
+    """state(root, part, next, end, fault, w[, seg]) to (root, end, w, fault[, seg]) of the roots that end.
 
-def _merge(fixed: DataFrame, going: DataFrame, paths: bool, task_rows: int) -> tuple[DataFrame, DataFrame | None]:
-    """Ends of the roots' links: (ends found, links of roots that never end or None)."""
+    Groups of neighbouring partitions are joined into one, level by level, and each level hands on the last roots of its
+    groups only. Where a level joins too little (chains that leave every group at once), a round of doubling comes between.
+    """
     seg = ["seg"] if paths else []
-    ended = F.when(F.col("next_state") != "open", F.col("next"))
-    fault = F.when(F.col("next_state").isin("cycle", "below_cycle"), F.lit("below_cycle"))
-    first = going.filter("next_state <> 'open'").select("root", ended.alias("end"), "w", fault.alias("fault"), *seg)
-    fixed = stored(fixed.unionByName(first))
-    going = stored(going.filter("next_state = 'open'").select("root", "next", "w", *seg))
-    while True:
-        # links whose next root has ended take its end
-        e = fixed.select(F.col("root").alias("next"), "end", F.col("w").alias("w2"), "fault", *([F.col("seg").alias("seg2")] if paths else []))
-        now = going.join(e, "next").select("root", "end", (F.col("w") + F.col("w2")).alias("w"), "fault", *([F.concat("seg2", "seg").alias("seg")] if paths else []))
-        rest = going.join(e.select("next"), "next", "left_anti")
-        # the others take their next root's link: weighted pointer doubling
-        g = going.select(F.col("root").alias("next"), F.col("next").alias("next2"), F.col("w").alias("w2"), *([F.col("seg").alias("seg2")] if paths else []))
-        rest = rest.join(g, "next").select("root", F.col("next2").alias("next"), (F.col("w") + F.col("w2")).alias("w"), *([F.concat("seg2", "seg").alias("seg")] if paths else []))
-        now, rest = stored(now), stored(rest)
-        moved, left = now.count(), rest.count()
-        fixed = stored(fixed.unionByName(now))
-        if not left:
-            return fixed, None
-        if not moved:  # chains that end lose a node each round, so what is left never ends
-            return fixed, rest
-        going = rest
+    known = stored(state.filter("end is not null").select("root", "end", "w", "fault", *seg))
+    ways: list[DataFrame] = []
+    # roots that have an end stand for it: they lead nowhere
+    t = stored(state.select("root", "part", "next", F.when(F.col("next").isNull(), 0).otherwise(F.col("w")).alias("w"), *([F.when(F.col("next").isNull(), F.array().cast("array<bigint>")).otherwise(F.col("seg")).alias("seg")] if paths else [])))
+    n, parts = t.filter("next is not null").count(), t.agg(F.max("part")).first()[0] + 1
+    schema = "root bigint, rep bigint, acc int, endless boolean" + (", way array<bigint>" if paths else "")
+    level = 0
+    while n:
+        groups = -(-2 * n // task_rows) if n > task_rows else 1
+        own = t.withColumn("group", F.floor(F.col("part") * groups / parts))
+        joined = stored(own.groupBy("group").applyInPandas(_level(paths), schema))
+        ways.append(joined.filter("rep <> root and not endless"))
+        if groups == 1:
+            break
+        t, left, level = *_next_level(t, joined, paths), level + 1
+        if left > 0.8 * n:
+            t, way = _doubled(t, paths, level)
+            ways.append(way)
+        n = left
+    for way in reversed(ways):
+        e = known.select(F.col("root").alias("rep"), "end", "w", "fault", *seg)
+        more = way.join(e, "rep").select("root", "end", (F.col("acc") + F.col("w")).alias("w"), "fault", *([F.concat("seg", "way").alias("seg")] if paths else []))
+        known = stored(known.unionByName(more))
+    return known
+
+
+def _next_level(t: DataFrame, joined: DataFrame, paths: bool) -> tuple[DataFrame, int]:
+    """The last roots of the groups, each with the last root of the group its link leads into, and their number; those that never end are left out, and ends that no link leads to."""
+    tops = t.join(joined.filter("rep = root and not endless").select("root"), "root")
+    goal = joined.select(F.col("root").alias("next"), F.col("rep").alias("next2"), "acc", "endless", *(["way"] if paths else []))
+    out = tops.join(goal, "next", "left").filter("endless is null or not endless")
+    out = stored(out.select("root", "part", F.col("next2").alias("next"), (F.col("w") + F.coalesce("acc", F.lit(0))).alias("w"), *([F.concat(F.coalesce("way", F.array().cast("array<bigint>")), "seg").alias("seg")] if paths else [])))
+    going = out.filter("next is not null")
+    n = going.count()
+    needed = going.select(F.col("next").alias("root")).distinct()
+    return stored(going.unionByName(out.filter("next is null").join(needed, "root", "left_semi").select(*going.columns))), n
+
+
+def _doubled(t: DataFrame, paths: bool, level: int) -> tuple[DataFrame, DataFrame]:
+    """A round of weighted pointer doubling: every second root of a chain is passed over. (the roots that stay, ways of those passed over)"""
+    # a root is passed over when it and its next draw (1, 0): no two neighbours are, and about a quarter of all
+    draw = lambda c: F.xxhash64(F.lit(level), c) % 2 == 0
+    way = t.filter("next is not null").filter(draw("root") & ~draw("next"))
+    way = stored(way.select("root", F.col("next").alias("rep"), F.col("w").alias("acc"), *([F.col("seg").alias("way")] if paths else [])))
+    goal = way.select(F.col("root").alias("next"), F.col("rep").alias("next2"), "acc", *(["way"] if paths else []))
+    stay = t.join(way.select("root"), "root", "left_anti").join(goal, "next", "left")
+    return stored(stay.select("root", "part", F.coalesce("next2", "next").alias("next"), (F.col("w") + F.coalesce("acc", F.lit(0))).alias("w"), *([F.concat(F.coalesce("way", F.array().cast("array<bigint>")), "seg").alias("seg")] if paths else []))), way
 
 
 def _closed(rest: DataFrame, paths: bool, task_rows: int) -> DataFrame:
