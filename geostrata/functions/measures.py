@@ -54,7 +54,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def number(text: Column) -> Column:
-    """Decimal(26,12) of a number in any usual notation, else null. With both marks the last is the decimal mark."""
+    """Decimal(38,12) of a number in any usual notation, else null: up to 26 digits before the point. With both marks the last is the decimal mark."""
 
     def plain(t: Column) -> Column:
         dots = F.regexp_replace(t, ",", ".")
@@ -64,22 +64,28 @@ def number(text: Column) -> Column:
     simple = text.rlike(SIMPLE)
     grouped = F.when(text.rlike(rf"^{BLANK}*{NUMBER}{BLANK}*$"), F.regexp_replace(trimmed(text), GROUP, ""))
     cut = let(grouped, lambda t: F.regexp_replace(plain(t), r"\.(?=$|[eE])", ""))
-    full = let(cut, lambda t: F.when(t.rlike(r"^[+\-]?(\d+(\.\d+)?|\.\d+)([eE][+\-]?\d+)?$"), t.try_cast("decimal(26,12)")))
-    return F.when(simple, text.try_cast("decimal(26,12)")).otherwise(full)
+    full = let(cut, lambda t: F.when(t.rlike(r"^[+\-]?(\d+(\.\d+)?|\.\d+)([eE][+\-]?\d+)?$"), t.try_cast("decimal(38,12)")))
+    return F.when(simple, text.try_cast("decimal(38,12)")).otherwise(full)
 
 
-def measure(text: Column, base_unit: Column) -> Column:
-    """Decimal(38,18) in the base unit, else null; a unit that doesn't belong to the base unit makes it unreadable."""
+def measure(text: Column, base_unit: Column, places: int = 9) -> Column:
+    """Decimal(38,places) in the base unit, rounded half up, else null; a unit that doesn't belong to the base unit makes it unreadable."""
     table = F.create_map(*[F.lit(x) for b, us in UNIT_FACTORS.items() for u, f in us.items() for x in (f"{b}|{u}", f)])
     split = rf"^({NUMBER}){BLANK}*(.*)$"
+    kind = f"decimal(38,{places})"
 
     def factor(key: Column) -> Column:
         own = F.when(F.element_at(F.split(key, r"\|"), 1) == F.element_at(F.split(key, r"\|"), 2), F.lit("1"))
         return F.coalesce(F.try_element_at(table, key), own).cast("decimal(11,6)")
 
+    def product(n: Column, f: Column) -> Column:
+        # up to 14 digits before the point the product is exact; beyond that it has six places
+        exact = F.round(n.try_cast("decimal(26,12)") * f, places).cast(kind)
+        return F.when(F.abs(n) < F.lit("100000000000000").cast("decimal(38,12)"), exact).otherwise(F.round(F.try_multiply(n, f), min(places, 6)).try_cast(kind))
+
     base = F.coalesce(unit_key(base_unit), F.lit(""))
-    full = let(trimmed(text), lambda t: number(F.regexp_extract(t, split, 1)) * let(F.concat(base, F.lit("|"), unit_key(F.regexp_extract(t, split, 2))), factor))
-    return F.when(text.rlike(SIMPLE), text.try_cast("decimal(26,12)").cast("decimal(38,18)")).otherwise(full)
+    full = let(trimmed(text), lambda t: let(F.struct(number(F.regexp_extract(t, split, 1)).alias("n"), let(F.concat(base, F.lit("|"), unit_key(F.regexp_extract(t, split, 2))), factor).alias("f")), lambda x: product(x["n"], x["f"])))
+    return F.when(text.rlike(SIMPLE), F.round(text.try_cast("decimal(26,12)"), places).cast(kind)).otherwise(full)
 
 
 def boolean(text: Column) -> Column:

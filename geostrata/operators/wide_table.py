@@ -5,7 +5,8 @@ chunks of a range are put side by side by position. No pivot over the whole tabl
 
 Nulls: rows without an entity are dropped; rows whose name, value or time is null hold no value (a null time loses to
 any other). Empty tables give an empty result with the same columns. Of rows that tie on time the one loaded last
-counts, then the larger row number. Repeated rows change nothing. Other columns of the input are ignored.
+counts, then the larger row number. Repeated rows change nothing. Other columns of the input are ignored. Integers are
+64 bits, reals have up to 26 digits before the point; what doesn't fit counts as unreadable.
 """
 
 from __future__ import annotations
@@ -18,13 +19,13 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from geostrata.functions import measures as M
-from geostrata.runtime import bounded
+from geostrata.runtime import bounded, stored
 
 #: Entities in an ordinal range: the unit that one task assembles at a time.
 RANGE = 8192
 #: Attributes are columns of the result, so their number is bounded.
 MAX_ATTRIBUTES = 5000
-KINDS = {"boolean": ("b", T.BooleanType()), "integer": ("i", T.LongType()), "real": ("r", T.DecimalType(20, 3)), "text": ("s", T.StringType())}
+KINDS = {"boolean": ("b", T.BooleanType()), "integer": ("i", T.LongType()), "real": ("r", T.DecimalType(38, 3)), "text": ("s", T.StringType())}
 
 
 def catalogue(attributes: DataFrame) -> list[dict]:
@@ -51,7 +52,7 @@ def typed_cells(rows: DataFrame, attrs: list[dict]) -> DataFrame:
         return F.struct(
             F.when(some & (kind == "boolean"), M.boolean(bare)).alias("b"),
             F.when(some & (kind == "integer"), M.let(M.number(bare), lambda x: F.when(x == F.floor(x), x.try_cast("bigint")))).alias("i"),
-            F.when(some & (kind == "real"), F.round(M.measure(bare, F.col("unit")), 3).try_cast("decimal(20,3)")).alias("r"),
+            F.when(some & (kind == "real"), M.measure(bare, F.col("unit"), 3)).alias("r"),
             F.when(some & (kind == "text"), bare).alias("s"),
         )
 
@@ -63,10 +64,10 @@ def typed_cells(rows: DataFrame, attrs: list[dict]) -> DataFrame:
 
 
 def ordinals(entities: DataFrame, key: str = "guid") -> DataFrame:
-    """Dense global ordinals from 0: order within hash buckets, plus the sizes of the buckets before."""
-    n = entities.agg(F.approx_count_distinct(key)).first()[0]
-    buckets = max(8, n // (2 * RANGE) + 1)
-    own = entities.select(key).distinct().withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    """Dense global ordinals from 0 of distinct entities: order within hash buckets, plus the sizes of the buckets before."""
+    own = stored(entities.select(key).distinct())  # few columns; read three times
+    buckets = max(8, own.count() // (2 * RANGE) + 1)
+    own = own.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
     sizes = own.groupBy("bucket").count()
     # one row per bucket, n / 16384 of them
     before = sizes.select("bucket", (F.sum("count").over(Window.orderBy("bucket")) - F.col("count")).alias("before"))
@@ -82,7 +83,7 @@ def stitch(cells: DataFrame, attrs: list[dict]) -> DataFrame:
     """Typed chunks by ordinal range, put side by side by position."""
     names = column_names(attrs)
     schema = T.StructType([T.StructField("entity_ordinal", T.LongType()), T.StructField("guid", T.StringType()), *(T.StructField(n, KINDS[a["kind"]][1]) for n, a in zip(names, attrs, strict=True))])
-    arrow = {"b": pa.bool_(), "i": pa.int64(), "r": pa.decimal128(20, 3), "s": pa.string()}
+    arrow = {"b": pa.bool_(), "i": pa.int64(), "r": pa.decimal128(38, 3), "s": pa.string()}
     plan = [(n, a["no"], KINDS[a["kind"]][0]) for n, a in zip(names, attrs, strict=True)]
 
     def assemble(chunk: pa.Table) -> pa.Table:

@@ -25,44 +25,44 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p1_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The wide table itself, one row per object."""
+    """The wide table itself, one row per object; reals as doubles."""
     wide, _ = wide_table.widen(read(spark, sf_dir, "ifc_property"), read(spark, sf_dir, "ifc_attribute"))
-    return wide.drop("entity_ordinal")
-
-
-def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # each record is parsed once
-    t = stored(nested.tile_columns(read(spark, sf_dir, "tileset"), nested.TILE, nested.BOX))
-    p = stored(nested.property_columns(read(spark, sf_dir, "ifcobjectgeom"), nested.SET, nested.MEMBER))
-    parts = [("tile", nested.tiles(t)), ("box", nested.boxes(t)), ("pset", nested.psets(p)), ("prop", nested.props(p))]
-    keys = ["record_id", "node_path", "parent_path"]
-    out = [df.select(F.lit(kind).alias("rec_kind"), *keys) for kind, df in parts]
-    return out[0].union(out[1]).union(out[2]).union(out[3])
+    return wide.select("guid", *[F.col(c).cast("double") if t.startswith("decimal") else F.col(c) for c, t in wide.dtypes if c not in ("guid", "entity_ordinal")])
 
 
 @query
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles, boxes, property sets and properties with the link to their parent."""
-    return _kinds(spark, sf_dir).distinct()
+    t = nested.tiles_and_boxes(nested.tile_columns(read(spark, sf_dir, "tileset"), nested.BOXED))
+    p = nested.sets_and_props(nested.property_columns(read(spark, sf_dir, "ifcobjectgeom"), nested.SETS))
+    return t.unionByName(p).distinct()
 
 
 @query
 def p4_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = nested.tile_columns(read(spark, sf_dir, "tileset"))
-    return nested.tiles(t).join(nested.tile_fields(t), ["record_id", "node_path"], "left")
+    """Every tile with depth, geometric error, refinement and content."""
+    return nested.tiles(nested.tile_columns(read(spark, sf_dir, "tileset"))).withColumn("geometric_error", F.col("geometric_error").try_cast("double"))
 
 
 @query
 def p4_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Center and half axes of every box of 12 numbers."""
     b = nested.boxes(nested.tile_columns(read(spark, sf_dir, "tileset")))
     return b.select("record_id", "node_path", *[F.col("box")[i].alias(n) for i, n in enumerate(["cx", "cy", "cz", "ux", "uy", "uz", "vx", "vy", "vz", "wx", "wy", "wz"])])
 
 
 @query
 def p4_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every property with name, value and the value's kind."""
     return nested.prop_values(nested.property_columns(read(spark, sf_dir, "ifcobjectgeom")))
 
 
+@query
+def p4_psets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every property set with its name."""
+    return nested.psets(nested.property_columns(read(spark, sf_dir, "ifcobjectgeom"))).drop("parent_path")
+
+
 def _building_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = hierarchy.buildings(read(spark, sf_dir, "building"))
     r = hierarchy.resolve(b, "root").join(b.select("id", "root"), "id")
@@ -72,7 +72,7 @@ def _building_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _tileset_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = read(spark, sf_dir, "tileset")
-    return hierarchy.tileset_links(t, nested.contents(nested.tile_columns(t, nested.CONTENT)))
+    return hierarchy.tileset_links(t, nested.contents(nested.tile_columns(t, nested.NAMING)))
 
 
 @query
@@ -91,6 +91,14 @@ def p3_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.filter("fault is null or fault = 'orphan'").select("id", "top_id", F.col("links_up").cast("int").alias("depth"), F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"))
 
 
+@query
+def p3_merged_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, by many small partition forests that are merged level by level."""
+    b = hierarchy.buildings(read(spark, sf_dir, "building"))
+    r = hierarchy.resolve(b, "root", paths=True, task_rows=max(50, b.count() // 20))
+    return r.filter("fault is null or fault = 'orphan'").select("id", "top_id", F.col("links_up").cast("int").alias("depth"), F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"))
+
+
 @query
 def p3_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node with every ancestor, itself included, of the trees that end."""
@@ -116,7 +124,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every filled value with method and distance."""
     f = fill.fill(read(spark, sf_dir, "geojson"))
-    return f.filter("method <> 'observed'").select("feature_id", "field_name", F.round("num", 3).alias("num"), "cat", "method", "gap_days")
+    return f.filter("method <> 'observed'").select("feature_id", "field_name", "num", "cat", "method", "gap_days")
 
 
 @query
@@ -128,6 +136,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.union(zones.select(F.lit("zone").alias("rel"), F.col("zone_id").alias("low_id"), F.col("feature_id").alias("high_id")))
 
 
+@query
+def p5_zones_in_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The zones around each feature, the way that more edges than fit a broadcast take: by strip and cell, crowded cells split."""
+    p = stored(near.locations(read(spark, sf_dir, "geojson")))
+    return near.containing_zones(p, read(spark, sf_dir, "loa_zone"), broadcast_rows=0, key_rows=100)
+
+
 @query
 def p5_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The location of each feature in metres."""
@@ -169,32 +184,63 @@ SELECT guid, attr_name, cell_text FROM typed WHERE cell_text IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY guid, attr_name ORDER BY exported_at DESC NULLS LAST, loaded_at DESC NULLS LAST, row_no DESC) = 1
 """
 
-SQL["p4_found"] = r"""
+# The attribute list of the test tables with the type of each column.
+_ATTRIBUTES = {
+    "text": ["FireRating", "MaterialName", "Reference", "AcousticRating", "FinishColour", "SecurityRating", "Status"],
+    "boolean": ["LoadBearing", "IsExternal", "Combustible", "SmokeStop", "HandicapAccessible"],
+    "real": ["ThermalTransmittance", "Width", "Height", "Length", "GrossArea", "NetVolume", "GrossWeight", "PitchAngle"],
+    "integer": ["NumberOfRiser", "NumberOfTreads", "StoreyCount", "GlazingLayers", "Occupancy"],
+}
+_TYPES = {"text": "VARCHAR", "boolean": "BOOLEAN", "real": "DOUBLE", "integer": "BIGINT"}
+SQL["p1_wide"] = (
+    "WITH cells AS (" + SQL["p1_found"] + ") SELECT e.guid, "
+    + ", ".join(f"CAST(max(CASE WHEN attr_name = '{n}' THEN cell_text END) AS {_TYPES[k]}) AS {n}" for k, names in _ATTRIBUTES.items() for n in names)
+    + " FROM (SELECT DISTINCT guid FROM ifc_property WHERE guid IS NOT NULL) e LEFT JOIN cells c ON c.guid = e.guid GROUP BY 1"
+)
+
+_NESTED = r"""
 WITH RECURSIVE j AS (
   SELECT tileset_id AS record_id, CASE WHEN json_valid(tileset_json) THEN CASE WHEN json_type(tileset_json) = 'VARCHAR' THEN tileset_json::JSON ->> '$' ELSE tileset_json END END AS t FROM tileset),
 ok AS (SELECT record_id, t::JSON AS t FROM j WHERE t IS NOT NULL AND json_valid(t)),
 tile AS (
-  SELECT record_id, '0' AS node_path, '' AS parent_path, json_extract(t, '$.root') AS t FROM ok WHERE json_type(json_extract(t, '$.root')) = 'OBJECT'
+  SELECT record_id, '0' AS node_path, '' AS parent_path, 0 AS depth, json_extract(t, '$.root') AS t FROM ok WHERE json_type(json_extract(t, '$.root')) = 'OBJECT'
   UNION ALL
-  SELECT record_id, node_path || '.' || (unnest(range(len(kids))))::VARCHAR, node_path, unnest(kids)
-  FROM (SELECT record_id, node_path, CASE json_type(json_extract(t, '$.children')) WHEN 'ARRAY' THEN (json_extract(t, '$.children[*]')) WHEN 'OBJECT' THEN [json_extract(t, '$.children')] END AS kids FROM tile WHERE json_type(t) = 'OBJECT')
+  SELECT record_id, node_path || '.' || (unnest(range(len(kids))))::VARCHAR, node_path, depth + 1, unnest(kids)
+  FROM (SELECT record_id, node_path, depth, CASE json_type(json_extract(t, '$.children')) WHEN 'ARRAY' THEN (json_extract(t, '$.children[*]')) WHEN 'OBJECT' THEN [json_extract(t, '$.children')] END AS kids FROM tile WHERE json_type(t) = 'OBJECT')
   WHERE kids IS NOT NULL),
+tiles AS (SELECT * FROM tile WHERE json_type(t) = 'OBJECT'),
+boxes AS (
+  SELECT * FROM tile WHERE json_type(json_extract(t, '$.boundingVolume.box')) = 'ARRAY' AND json_array_length(json_extract(t, '$.boundingVolume.box')) = 12
+  AND len(list_filter(json_extract(t, '$.boundingVolume.box[*]'), lambda x: json_type(x) IN ('DOUBLE', 'UBIGINT', 'BIGINT'))) = 12),
 p AS (
   SELECT object_id AS record_id, CASE WHEN json_valid(properties) THEN CASE WHEN json_type(properties) = 'VARCHAR' THEN properties::JSON ->> '$' ELSE properties END END AS t FROM ifcobjectgeom),
 sets AS (
   SELECT record_id, unnest(range(len(s))) AS k, unnest(s) AS s FROM (SELECT record_id, json_extract(t::JSON, '$[*]') AS s FROM p WHERE t IS NOT NULL AND json_valid(t) AND json_type(t) = 'ARRAY')),
-pset AS (SELECT * FROM sets WHERE json_type(s) = 'ARRAY'),
-prop AS (SELECT record_id, k, unnest(range(len(e))) AS m, unnest(e) AS e FROM (SELECT record_id, k, json_extract(s, '$[*]') AS e FROM pset))
+pset AS (SELECT *, k::VARCHAR AS node_path FROM sets WHERE json_type(s) = 'ARRAY'),
+prop AS (SELECT *, k::VARCHAR || '.' || (m - 1)::VARCHAR AS node_path FROM (SELECT record_id, k, unnest(range(len(e))) AS m, unnest(e) AS e FROM (SELECT record_id, k, json_extract(s, '$[*]') AS e FROM pset)) WHERE m > 0 AND json_type(e) = 'ARRAY')
+"""
+SQL["p4_found"] = _NESTED + r"""
 SELECT DISTINCT * FROM (
-SELECT 'tile' AS rec_kind, record_id, node_path, parent_path FROM tile WHERE json_type(t) = 'OBJECT'
+SELECT 'tile' AS rec_kind, record_id, node_path, parent_path FROM tiles
 UNION ALL
-SELECT 'box', record_id, node_path, parent_path FROM tile
-WHERE json_type(json_extract(t, '$.boundingVolume.box')) = 'ARRAY' AND json_array_length(json_extract(t, '$.boundingVolume.box')) = 12
-  AND len(list_filter(json_extract(t, '$.boundingVolume.box[*]'), lambda x: json_type(x) IN ('DOUBLE', 'UBIGINT', 'BIGINT'))) = 12
+SELECT 'box', record_id, node_path, parent_path FROM boxes
 UNION ALL
-SELECT 'pset', record_id, k::VARCHAR, '' FROM pset
+SELECT 'pset', record_id, node_path, '' FROM pset
 UNION ALL
-SELECT 'prop', record_id, k::VARCHAR || '.' || (m - 1)::VARCHAR, k::VARCHAR FROM prop WHERE m > 0 AND json_type(e) = 'ARRAY')
+SELECT 'prop', record_id, node_path, k::VARCHAR FROM prop)
+"""
+_SCALAR = "CASE WHEN json_type({0}) IN ('OBJECT', 'ARRAY', 'NULL') THEN NULL ELSE {0} ->> '$' END"
+SQL["p4_tiles"] = _NESTED + rf"""
+SELECT record_id, node_path, parent_path, depth, TRY_CAST({_SCALAR.format("json_extract(t, '$.geometricError')")} AS DOUBLE) AS geometric_error, {_SCALAR.format("json_extract(t, '$.refine')")} AS refine,
+  coalesce({_SCALAR.format("json_extract(t, '$.content.uri')")}, {_SCALAR.format("json_extract(t, '$.content.url')")}) AS content_uri
+FROM tiles
+"""
+SQL["p4_boxes"] = _NESTED + " SELECT record_id, node_path, " + ", ".join(f"CAST(json_extract(t, '$.boundingVolume.box[{i}]') AS DOUBLE) AS {n}" for i, n in enumerate(["cx", "cy", "cz", "ux", "uy", "uz", "vx", "vy", "vz", "wx", "wy", "wz"])) + " FROM boxes"
+SQL["p4_psets"] = _NESTED + " SELECT record_id, node_path, CASE WHEN json_type(json_extract(s, '$[0]')) = 'VARCHAR' THEN json_extract(s, '$[0]') ->> '$' END AS pset_name FROM pset"
+SQL["p4_props"] = _NESTED + rf"""
+SELECT record_id, node_path, k::VARCHAR AS parent_path, {_SCALAR.format("json_extract(e, '$[0]')")} AS prop_name, {_SCALAR.format("json_extract(e, '$[1]')")} AS prop_value,
+  CASE json_type(json_extract(e, '$[1]')) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' WHEN 'DOUBLE' THEN 'number' WHEN 'BIGINT' THEN 'number' WHEN 'UBIGINT' THEN 'number' END AS value_kind
+FROM prop
 """
 
 _CHAINS = r"""
@@ -211,6 +257,7 @@ fin AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY id ORDER BY l
 SQL["p3_paths"] = _CHAINS + r"""
 SELECT id, pos AS top_id, links AS depth, array_to_string(list_reverse(seen), '/') AS path FROM fin WHERE NOT closed
 """
+SQL["p3_merged_paths"] = SQL["p3_paths"]
 SQL["p3_descendants"] = _CHAINS + r"""
 SELECT w.pos AS ancestor_id, w.id AS node_id, w.links AS distance FROM walk w JOIN fin f ON f.id = w.id WHERE NOT f.closed
 """
@@ -247,6 +294,47 @@ SELECT feature_id, field_name FROM n
 WHERE x IS NULL OR NOT (CASE field_name WHEN 'HAUTEUR' THEN x BETWEEN 2 AND 120 ELSE x BETWEEN 1.5 AND 40 END)
 """
 
+SQL["p2_filled"] = r"""
+WITH src AS (
+  SELECT feature_id, layer AS kind, coalesce(feature_code, '#' || feature_id) AS entity, commune_code AS place, vintage, coalesce(epoch_us(captured_at), -4611686018427387904) AS moment, properties AS p,
+  commune_code FROM geojson WHERE feature_id IS NOT NULL),
+raw AS (
+  SELECT * EXCLUDE (p, commune_code), unnest(CASE kind WHEN 'BATIMENT' THEN [{'field_name': 'HAUTEUR', 'v': p ->> '$.HAUTEUR'}, {'field_name': 'NATURE', 'v': p ->> '$.NATURE'}, {'field_name': 'commune_code', 'v': commune_code}]
+    WHEN 'TRONCON_ROUTE' THEN [{'field_name': 'LARGEUR', 'v': p ->> '$.LARGEUR'}, {'field_name': 'IMPORTANCE', 'v': p ->> '$.IMPORTANCE'}, {'field_name': 'NB_VOIES', 'v': p ->> '$.NB_VOIES'}, {'field_name': 'commune_code', 'v': commune_code}]
+    ELSE [{'field_name': 'commune_code', 'v': commune_code}] END, recursive := true) FROM src),
+num AS (SELECT *, field_name IN ('HAUTEUR', 'LARGEUR') AS is_number, TRY_CAST(replace(regexp_extract(trim(v), '^([+-]?[0-9]+([.,][0-9]+)?)( *m)?$', 1), ',', '.') AS DOUBLE) AS x FROM raw),
+o AS (
+  SELECT feature_id, kind, entity, place, vintage, moment, field_name, is_number,
+    CASE WHEN field_name = 'HAUTEUR' AND x BETWEEN 2 AND 120 OR field_name = 'LARGEUR' AND x BETWEEN 1.5 AND 40 THEN x END AS num,
+    CASE WHEN NOT is_number AND lower(trim(v)) NOT IN ('', 'n/a', 'na', 'n.a.', '#n/a', 'nan', 'null', 'none', 'nil', '*', '$', '-', '--', '---', 'unset', '?', '??', 'nc', 'inconnu', 'undefined', 'notdefined') THEN trim(v) END AS cat
+  FROM num),
+s AS (SELECT *, num IS NULL AND cat IS NULL AS missing, CASE WHEN num IS NOT NULL OR cat IS NOT NULL THEN {'moment': moment, 'num': num, 'cat': cat} END AS seen FROM o),
+w AS (
+  SELECT *, last_value(seen IGNORE NULLS) OVER (PARTITION BY field_name, entity ORDER BY moment, feature_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p,
+    first_value(seen IGNORE NULLS) OVER (PARTITION BY field_name, entity ORDER BY moment, feature_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS n FROM s),
+d AS (SELECT *, (moment - p.moment) / 86400e6 AS back, (n.moment - moment) / 86400e6 AS ahead, is_number AND p.num IS NOT NULL AND n.num IS NOT NULL AS two FROM w WHERE missing),
+e AS (SELECT *, least(back, ahead) AS gap, CASE WHEN ahead IS NULL OR coalesce(back <= ahead, false) THEN p ELSE n END AS pick FROM d),
+f AS (
+  SELECT *, CASE WHEN two THEN 'interpolated' WHEN gap <= 1098 THEN 'carried' END AS method FROM e),
+g AS (SELECT kind, place, vintage, field_name, is_number, cat, count(*) AS n, sum(CAST(round(num * 1e6) AS BIGINT)) AS s FROM o WHERE (num IS NOT NULL OR cat IS NOT NULL) AND (field_name <> 'commune_code' OR place IS NOT NULL) GROUP BY ALL),
+"""
+_GROUPS = [("group_place_vintage", "kind, place, vintage"), ("group_place", "kind, place"), ("group_vintage", "kind, vintage"), ("group_kind", "kind")]
+for _k, (_name, _keys) in enumerate(_GROUPS):
+    SQL["p2_filled"] += f"""
+n{_k} AS (SELECT {_keys}, field_name, floor(CAST(sum(s) AS DOUBLE) / sum(n) / 100000 + 0.5) / 10.0 AS num FROM g WHERE is_number GROUP BY ALL),
+c{_k} AS (SELECT {_keys}, field_name, cat FROM (SELECT {_keys}, field_name, cat, sum(n) AS n FROM g WHERE NOT is_number GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY {_keys}, field_name ORDER BY n DESC, cat) = 1),"""
+SQL["p2_filled"] += """
+r AS (SELECT f.feature_id, f.field_name, f.method AS m, f.gap, f.two, f.is_number, f.p, f.n, f.pick, f.moment, """ + ", ".join(f"n{k}.num AS num{k}, c{k}.cat AS cat{k}" for k in range(4)) + " FROM f " + " ".join(
+    f"LEFT JOIN {x}{k} ON " + " AND ".join(f"f.{c} IS NOT DISTINCT FROM {x}{k}.{c}" if c == "kind" else f"f.{c} = {x}{k}.{c}" for c in [*keys.split(", "), "field_name"]) for k, (_, keys) in enumerate(_GROUPS) for x in "nc"
+) + """)
+SELECT feature_id, field_name,
+  CASE WHEN two THEN floor((p.num + (n.num - p.num) * CASE WHEN n.moment > p.moment THEN (moment - p.moment) / (n.moment - p.moment) ELSE 0.5 END) * 1000 + 0.5) / 1000.0 WHEN m = 'carried' AND is_number THEN pick.num WHEN m IS NULL THEN coalesce(num0, num1, num2, num3) END AS num,
+  CASE WHEN m = 'carried' AND NOT is_number THEN pick.cat WHEN m IS NULL THEN coalesce(cat0, cat1, cat2, cat3) END AS cat,
+  coalesce(m, """ + ", ".join(f"CASE WHEN num{k} IS NOT NULL OR cat{k} IS NOT NULL THEN '{name}' END" for k, (name, _) in enumerate(_GROUPS)) + """, 'none') AS method,
+  CASE WHEN m IS NOT NULL THEN floor(gap * 1000 + 0.5) / 1000.0 END AS gap_days
+FROM r
+"""
+
 _LOCATIONS = r"""
 WITH f AS (
   SELECT feature_id, feature_code, geometry.geom_type AS g, geometry.coordinates AS c FROM geojson WHERE json_valid(geometry.coordinates)),
@@ -256,7 +344,7 @@ xy AS (SELECT feature_id, feature_code, CASE WHEN a > 4e6 THEN b ELSE a END AS x
 loc AS (SELECT feature_id, any_value(feature_code) AS code, CAST(round((min(x) + max(x)) / 2 * 10000) AS BIGINT) AS x, CAST(round((min(y) + max(y)) / 2 * 10000) AS BIGINT) AS y FROM xy GROUP BY 1)
 """
 SQL["p5_locations"] = _LOCATIONS + "SELECT feature_id, round(x / 10000, 4) AS x, round(y / 10000, 4) AS y FROM loc"
-SQL["p5_found"] = _LOCATIONS.rstrip() + r""",
+_AROUND = _LOCATIONS.rstrip() + r""",
 cells AS (SELECT *, x // 50000 AS cx, y // 50000 AS cy FROM loc),
 around AS (SELECT c.*, c.cx + dx.v AS nx, c.cy + dy.v AS ny FROM cells c, (SELECT unnest([-1, 0, 1]) AS v) dx, (SELECT unnest([-1, 0, 1]) AS v) dy),
 ring AS (SELECT zone_id, list_transform(ring, lambda p: {'x': CAST(round(p.x * 10000) AS BIGINT), 'y': CAST(round(p.y * 10000) AS BIGINT)}) AS r FROM loa_zone),
@@ -270,9 +358,18 @@ counted AS (
     sum(CASE WHEN (a.y <= y AND b.y > y AND z > 0) OR (b.y <= y AND a.y > y AND z < 0) THEN 1 ELSE 0 END) AS n,
     bool_or(z = 0 AND x BETWEEN least(a.x, b.x) AND greatest(a.x, b.x) AND y BETWEEN least(a.y, b.y) AND greatest(a.y, b.y)) AS rim
   FROM side GROUP BY 1, 2)
+"""
+SQL["p5_zones_in_cells"] = _AROUND + "SELECT zone_id, feature_id FROM counted WHERE n % 2 = 1 AND NOT rim"
+SQL["p5_found"] = _AROUND + r"""
 SELECT 'near' AS rel, a.feature_id AS low_id, b.feature_id AS high_id
 FROM cells a JOIN around b ON a.cx = b.nx AND a.cy = b.ny AND a.feature_id < b.feature_id AND a.code <> b.code
 WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < 50000 * 50000::BIGINT
 UNION ALL
 SELECT 'zone', zone_id, feature_id FROM counted WHERE n % 2 = 1 AND NOT rim
 """
+
+_T = SQL["p3_found"].index("SELECT 'building' AS hier")
+SQL["p3_tileset_paths"] = SQL["p3_found"][:_T] + """
+, tf AS (SELECT * FROM tw QUALIFY row_number() OVER (PARTITION BY id ORDER BY len(seen) DESC) = 1)
+SELECT id, pos AS top_id, CAST(len(seen) - 1 AS INTEGER) AS depth, array_to_string(list_reverse(seen), '/') AS path FROM tf WHERE NOT closed
+"""

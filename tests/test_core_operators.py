@@ -26,12 +26,13 @@ def test_wide_table_takes_the_newest_readable_value(spark):
     rows = [
         ("a", "WIDTH", "1,5 m", 1), ("a", "bre-ite", "20 cm", 2), ("a", "Width", "x", 3), ("a", "width", "n/a", 4), ("a", "flag", "IFCBOOLEAN(.T.)", None), ("a", "count", "7.0", 1), ("a", "Count", "2.5", 2),
         ("a", "name", "IFCLABEL(' it''s ')", 1), ("a", "guid", "own", 1), ("b", "other", "1", 1), ("b", None, "1", 1), ("c", "Name", None, 1), (None, "Name", "x", 1), ("a", "name", "", 9), ("d", "Name", "x" * 200_000, 1), ("d", "Name", "x" * 200_000, 1),
+        ("d", "Count", "900000000000000001", 1), ("d", "Width", "12345678901234567890,5", 1), ("d", "Count", "9" * 25, 2), ("d", "Width", "9" * 40, 3),
     ]
     wide, a = wide_table.widen(props(spark, rows), attrs(spark))
     got = {r.guid: r for r in wide.collect()}
     assert set(got) == {"a", "b", "c", "d"} and sorted(r.entity_ordinal for r in got.values()) == [0, 1, 2, 3]
     assert (str(got["a"].Width), got["a"].Flag, got["a"].Count, got["a"].Name, got["a"].guid_attr) == ("0.200", True, 7, "it''s", "own")
-    assert got["b"].Width is None and got["c"].Name is None and len(got["d"].Name) == 200_000
+    assert (got["d"].Count, str(got["d"].Width)) == (900000000000000001, "12345678901234567890.500") and got["b"].Width is None and got["c"].Name is None and len(got["d"].Name) == 200_000
     cells = {tuple(r) for r in wide_table.filled_cells(wide, a).collect() if r.guid == "a"}
     assert ("a", "Width", "0.200") in cells and ("a", "Flag", "true") in cells and ("a", "Count", "7") in cells
 
@@ -51,7 +52,7 @@ def test_wide_table_across_ordinal_ranges(spark, monkeypatch):
     assert sorted(r.entity_ordinal for r in got) == list(range(60)) and all(r.guid == f"g{r.Count:03d}" for r in got)
 
 
-@pytest.mark.parametrize(("text", "unit", "want"), [("1 048,574", "m3", 1048.574), ("1.234,5", "m", 1234.5), ("1,234.5", "m", 1234.5), ("1.32e-01", "m", 0.132), ("12 apples", "m", None), ("1.2.3", "m", None), ("0.5 W/(m²K)", "W/m2K", 0.5), ("0.011198 t", "kg", 11.198), ("", "m", None), (None, "m", None), ("-", None, None), ("7°", None, 7.0), ("+3", "m", 3.0)])
+@pytest.mark.parametrize(("text", "unit", "want"), [("1 048,574", "m3", 1048.574), ("1.234,5", "m", 1234.5), ("1,234.5", "m", 1234.5), ("1.32e-01", "m", 0.132), ("12 apples", "m", None), ("1.2.3", "m", None), ("0.5 W/(m²K)", "W/m2K", 0.5), ("0.011198 t", "kg", 11.198), ("", "m", None), (None, "m", None), ("-", None, None), ("7°", None, 7.0), ("+3", "m", 3.0), ("123456789012345", "m", 123456789012345.0), ("900000000000000001 mm", "m", 900000000000000.0), ("1e15", "m", 1e15), ("0.0000005 km", "m", 0.0005), ("1e40", "m", None)])
 def test_measures(spark, text, unit, want):
     got = spark.createDataFrame([(text, unit)], "t string, u string").select(M.measure(F.col("t"), F.col("u")).cast("double")).first()[0]
     assert got == want
@@ -82,31 +83,63 @@ def test_fill_is_the_same_in_parts_of_any_size(spark):
     rows = [(i, "BATIMENT", r.choice(["hot", "hot", "hot", f"c{i % 9}"]), 2012, "x", {"HAUTEUR": r.choice([None, r.randrange(3, 60)]), "NATURE": r.choice(["", "Silo", "Serre"])}, r.randrange(50)) for i in range(120)]
     obs = fill.observations(geo(spark, rows))
     key = lambda df: sorted((x.feature_id, x.field_name, x.num, x.cat, x.method, x.gap_days) for x in df.filter("field_name <> 'commune_code'").collect() if x.method)
-    assert key(fill.by_time(obs)) == key(fill.by_time(obs, 7))
+    for rows in (7, 30):
+        assert key(fill.by_time(obs)) == key(fill.by_time(obs, rows))
     assert fill.fill(geo(spark, [])).count() == 0
 
 
 def test_shredding_round_trip_positions():
     doc = {"root": {"children": [None, {"children": {"v": 1}}, {"children": []}, {"boundingVolume": {"box": [1, None, 2]}}]}}
-    cols = nested.shred(doc, frozenset({"children"}))
-    full, entries = cols["$.root.children[].children[].v"]
-    at = [p for p, e in zip(nested.positions([e[0] for e in entries], 2), entries, strict=True) if e[1] == full]
-    assert at == [[1, 0]]
+    cols = {c.path: c for c, _ in nested.shred([{"root": 7}, doc, doc], lists=frozenset({"children"}))}
+    c = cols["$.root.children[].children[].v"]
+    at = [*zip(*nested.positions(c.r, 2), strict=True)]
+    assert [(int(nested.owners(c, 0)[k]), *map(int, at[k])) for k in range(len(c.r)) if c.d[k] == c.full] == [(1, 1, 0), (2, 1, 0)]
+    box = cols["$.root.children[].boundingVolume.box[]"]
+    assert box.v == [1, 2, 1, 2] and (box.d == box.full - 1).sum() == 2
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_positions_against_walking(seed):
+    r = random.Random(seed)
+    make = lambda k: None if r.random() < 0.2 else r.randrange(9) if k == 0 else [make(k - 1) for _ in range(r.randrange(4))]
+    docs = [make(3) for _ in range(30)]
+    want = [(n, i, j, k, x) for n, a in enumerate(docs) for i, b in enumerate(a or []) for j, c in enumerate(b or []) for k, x in enumerate(c or [])]
+    cols = {c.path: c for c, _ in nested.shred(docs)}
+    c = cols["$[][][]"]
+    value = dict(zip(c.at.tolist(), c.v, strict=True))
+    at = [*zip(nested.owners(c, 0).tolist(), *(p.tolist() for p in nested.positions(c.r, 3)), map(value.get, range(len(c.r))), strict=True)]
+    assert [x for x, d in zip(at, c.d, strict=True) if d >= c.full - 1] == want
 
 
 def test_nested_tables(spark):
     docs = [
-        (1, json.dumps({"root": {"boundingVolume": {"box": list(range(12))}, "children": [None, {"children": {"content": {"url": "b/tileset.json"}}}, {"boundingVolume": {"box": [1.0] * 11 + [None]}}]}})),
-        (2, json.dumps(json.dumps({"root": {"boundingVolume": {"box": [1] * 11 + [True]}}}))), (3, None), (4, "{"), (5, "[]"), (6, "5"), (7, '{"root": null}'), (8, "[" * 5000), (9, "")
+        (1, json.dumps({"root": {"boundingVolume": {"box": list(range(12))}, "children": [None, {"children": {"content": {"url": "b/tileset.json"}}}, {"boundingVolume": {"box": [1.0] * 11 + [None]}, "geometricError": 2, "refine": "ADD"}]}})),
+        (2, json.dumps(json.dumps({"root": {"boundingVolume": {"box": [1] * 11 + [True]}}}))), (3, None), (4, "{"), (5, "[]"), (6, "5"), (7, '{"root": null}'), (8, "[" * 50_000), (9, ""), (None, '{"root": {}}'),
     ]
     cols = nested.tile_columns(spark.createDataFrame(docs, "tileset_id long, tileset_json string"))
-    assert sorted((r.record_id, r.node_path, r.parent_path) for r in nested.tiles(cols).collect()) == [(1, "0", ""), (1, "0.1", "0"), (1, "0.1.0", "0.1"), (1, "0.2", "0"), (2, "0", "")]
+    got = sorted(((r.record_id or 0, r.node_path, r.parent_path, r.depth, r.geometric_error, r.refine) for r in nested.tiles(cols).collect()), key=str)
+    assert got == [(0, "0", "", 0, None, None), (1, "0", "", 0, None, None), (1, "0.1", "0", 1, None, None), (1, "0.1.0", "0.1", 2, None, None), (1, "0.2", "0", 1, "2", "ADD"), (2, "0", "", 0, None, None)]
     assert [(r.record_id, r.node_path, r.box) for r in nested.boxes(cols).collect()] == [(1, "0", [float(i) for i in range(12)])]
     assert [tuple(r) for r in nested.contents(cols).collect()] == [(1, "b/tileset.json")]
-    objs = [(1, json.dumps([["A", ["p", 1], None, ["q", None]], None, [], [None, ["r"]], "x"])), (2, None), (3, '[["A"'), (4, json.dumps("[[\"B\", [\"p\", {\"v\": 1}]]]"))]
+    objs = [(1, json.dumps([["A", ["p", 1], None, ["q", None]], None, [], [None, ["r"]], "x"])), (2, None), (3, '[["A"'), (4, json.dumps("[[\"B\", [\"p\", {\"v\": 1}]]]")), (5, "[]"), (6, "[[]]")]
     p = nested.property_columns(spark.createDataFrame(objs, "object_id long, properties string"))
-    assert sorted((r.record_id, r.node_path, r.pset_name) for r in nested.psets(p).collect()) == [(1, "0", "A"), (1, "2", None), (1, "3", None), (4, "0", "B")]
+    assert sorted((r.record_id, r.node_path, r.pset_name) for r in nested.psets(p).collect()) == [(1, "0", "A"), (1, "2", None), (1, "3", None), (4, "0", "B"), (6, "0", None)]
     assert sorted((r.record_id, r.node_path, r.prop_name, r.prop_value, r.value_kind) for r in nested.prop_values(p).collect()) == [(1, "0.0", "p", "1", "number"), (1, "0.2", "q", None, "null"), (1, "3.0", "r", None, None), (4, "0.0", "p", None, "object")]
+    empty = nested.tile_columns(spark.createDataFrame([], "tileset_id long, tileset_json string"))
+    assert nested.tiles(empty).count() == 0 and nested.boxes(empty).count() == 0
+
+
+def test_records_of_any_depth_are_read(spark):
+    deep = 6000
+    text = '{"root": ' + '{"children": [1, ' * deep + '{"a": "\\u00e9\\"", "b": [-1.5e3, true, null, {}, []]}' + "]}" * deep + "}"
+    t = nested.tiles(nested.tile_columns(spark.createDataFrame([(1, text), (2, text[:-1]), (3, '{"root": {}}')], "tileset_id long, tileset_json string")))
+    got = {(r.record_id, r.depth): r.n for r in t.selectExpr("record_id", "depth", "length(node_path) as n").collect()}
+    assert len(got) == deep + 2 and got[1, deep] == 2 * deep + 1
+    value = nested._read_deep('{"a": [1, {"b": "x\\n"}, [], {}, -2.5e1, true, null], "": ""}')
+    assert value == {"a": [1, {"b": "x\n"}, [], {}, -25.0, True, None], "": ""}
+    for bad in ("", "[1,]", '{"a" 1}', "[1] 2", '{"a": 1', "{1: 2}", "nul"):
+        with pytest.raises(ValueError):
+            nested._read_deep(bad)
 
 
 def test_boxes_of_repeated_records_and_null_ids(spark):
@@ -133,6 +166,31 @@ def test_near_pairs_and_zones(spark):
     assert sorted(tuple(x) for x in near.containing_zones(p, zones, 3.0).collect()) == [(1, 1), (1, 6)]
 
 
+def inside(x, y, ring):
+    odd = False
+    for (ax, ay), (bx, by) in zip(ring, [*ring[1:], ring[0]], strict=True):
+        z = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+        if z == 0 and min(ax, bx) <= x <= max(ax, bx) and min(ay, by) <= y <= max(ay, by):
+            return False
+        odd ^= (ay <= y < by and z > 0) or (by <= y < ay and z < 0)
+    return odd
+
+
+def test_zones_of_any_size_and_crowded_cells(spark):
+    r = random.Random(4)
+    rings = [[(r.randrange(-s, s), r.randrange(-s, s)) for _ in range(r.randrange(3, 7))] for s in (5, 40, 3000, 3000, 400_000, 400_000, 9_000_000)]
+    ring = "array<struct<x:double,y:double>>"
+    zones = spark.createDataFrame([(i, [(float(x), float(y)) for x, y in z]) for i, z in enumerate(rings)], f"zone_id long, ring {ring}")
+    at = [(i, r.randrange(-s, s), r.randrange(-s, s)) for i, s in enumerate([4] * 60 + [40, 3000, 400_000, 9_000_000] * 20)]
+    p = spark.createDataFrame([(i, x * 10_000, y * 10_000) for i, x, y in at], "feature_id long, x long, y long")
+    want = {(k, i) for i, x, y in at for k, z in enumerate(rings) if inside(x, y, z)}
+    assert len(want) > 50
+    for rows in (100_000, 0):
+        got = [tuple(x) for x in near.containing_zones(p, zones, broadcast_rows=rows, key_rows=5).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert near.containing_zones(p, zones.limit(0)).count() == 0 and near.containing_zones(p.limit(0), zones).count() == 0
+
+
 def test_locations(spark):
     rows = [
         (1, "MultiPolygon", "[[[[2300000,6100000],[2300010,6100000],[2300010,6100020]]],[[[0,0]]]]"), (2, "LineString", "[[6.1e6,2.3e6,1],[6100004,2300002]]"), (3, "Point", "[2300001, 6100001]"), (4, "MultiPolygon", "[[],[[[1,2]]]]"),
