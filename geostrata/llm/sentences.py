@@ -1,11 +1,13 @@
 """Sentences of articles in many languages and scripts.
 
 Text is separated from markup first: positions are kept, everything that isn't running text becomes a placeholder of
-its kind. Every mark that may end a sentence is a candidate. A maximum-entropy model decides from the tokens beside
-it, their case, length, figures and script, the mark and what closes after it. It is trained on reliable boundaries:
-what stands before paragraph ends and after paragraph starts is known to end and to start sentences, so a token that
-is frequent before marks inside paragraphs but never ends one (an abbreviation), or is frequent after marks but
-never starts one, gives reliable examples of no boundary, and tokens that do both give reliable boundaries.
+its kind. Every mark that may end a sentence is a candidate, and so is every gap beside Thai script, which has no
+marks. A maximum-entropy model decides from the tokens beside it, their case, length, figures and script, the mark and
+what closes after it. It is trained on reliable boundaries: what stands before paragraph ends and after paragraph
+starts is known to end and to start sentences, so a token that is frequent before marks inside paragraphs but never
+ends one (an abbreviation), or is frequent after marks but never starts one, gives reliable examples of no boundary,
+and tokens that do both give reliable boundaries. Gaps between Thai letters are reliable boundaries; gaps beside
+figures, formulas, references and Latin words are reliable examples of none. The counts are made in tasks.
 
 Nulls: a null or empty text has no sentences; a null id is kept. Each row is cut by itself, so repeated rows give
 repeated ends unless the caller drops them. Texts of any length are read whole. An empty table gives an empty result.
@@ -37,9 +39,9 @@ MARKUP = re.compile(
     %(?P<comment>[^\n]*\n?[ \t]*)
   | \\(?:
       (?P<off>iffalse(?![A-Za-z]).*?(?:\\fi(?![A-Za-z])|\Z))
-    | (?P<display>begin\{{(?P<math>equation|align|gather|multline|eqnarray|displaymath|flalign|alignat)(?P<star>\*?)\}}.*?(?:\\end\{{(?P=math)(?P=star)\}}|\Z)|\[.*?(?:\\\]|\Z))
     | (?P<edge>(?:begin|end)\{{(?:abstract|document)\}}(?:\[[^\]]*\])?)
-    | (?P<env>begin\{{(?P<name>[A-Za-z]+\*?)\}}.*?(?:\\end\{{(?P=name)\}}|\Z))
+    | (?P<env>begin\{{(?P<name>[A-Za-z]+\*?)\}})
+    | (?P<display>\[(?:.*?\\\]|(?:(?!\n[ \t\r]*\n).)*))
     | (?P<heading>(?:(?:sub)*section|(?:sub)?paragraph|chapter|part|title|author|date|thanks|documentclass|usepackage|input|include|bibliography(?:style)?|maketitle|tableofcontents|appendix|end|item|caption|centering|includegraphics|affiliation|keywords)\*?(?![A-Za-z])[ \t]*(?:\[[^\]]*\])?[ \t]*(?:{_ARG})?(?:\s*\\label\{{[^{{}}]*\}})?)
     | (?P<own>(?:(?:re)?newcommand|providecommand)\*?\s*\{{?\\[A-Za-z]+\}}?(?:\[[^\]]*\])*\s*{_ARG}|def\s*\\[A-Za-z]+(?:\#\d)*\s*{_ARG}|label\{{[^{{}}]*\}})
     | (?P<formula>\(.*?\\\))
@@ -48,26 +50,46 @@ MARKUP = re.compile(
     | (?P<word>[A-Za-z]+\*?(?:\{{\}})?)
     | (?P<symbol>.)
     )
-  | \$(?:(?P<dollars>\$.*?(?:\$\$|\Z))|(?P<inline>(?:\\.|[^$\\])*\$))
+  | \$(?:(?P<dollars>\$(?:.*?\$\$|(?:(?!\n[ \t\r]*\n).)*))|(?P<inline>(?:\\.|[^$\\])*\$))
   | \{{(?P<brace>)
     """,
     re.X | re.S,
 )
 KIND = {"inline": "formula", "dollars": "display"}
 FILLER = {"own": " ", "off": " ", "comment": " ", "edge": BREAK, "env": BREAK, "heading": BREAK, "reference": REFERENCE, "opening": OPEN, "word": WORD, "brace": OPEN}
+MATH = re.compile(r"(?:equation|align|gather|multline|eqnarray|displaymath|flalign|alignat)\*?\Z")
+#: Where an environment without an end stops at the latest.
+OPEN_END = re.compile(r"\n[ \t\r]*\n|\\(?:sub)*section(?![A-Za-z])|\\end\{document\}")
 BLANK_BEFORE, BLANK_AFTER = re.compile(r"\n[ \t\r]*\n[ \t\r\n]*\Z"), re.compile(r"[ \t\r]*\n[ \t\r]*\n|\s*\Z")
 PARAGRAPH = re.compile(rf"\n[ \t\r]*\n\s*|{BREAK}[\s{BREAK}]*")
 CLOSER = r"""["'”’»)\]}」』）】〉》""" + SIGN + "]"
 #: “ closes a German quotation, but opens one after the marks of scripts without blanks.
 MARK = re.compile(rf"(?:[.!?]+(?:(?:{CLOSER}|“|\s»)+[.!?]*)*)(?![…。！？])|[.!?…。．！？।॥؟۔;;|]+(?:(?:{CLOSER}|\s»)+[.!?…。！？।؟]*)*")
+THAI_SIDE = "Tl"
 LETTER, THAI = re.compile(rf"[^\W_]|{FORMULA}"), re.compile("[฀-๿]")
 WIDE = frozenset("。．！？")
 OPENERS = "([{«“„‘`\"'「『（【¿¡‹" + OPEN
 SUFFIX = "\"'”’“»)]}」』）】〉》" + SIGN + OPEN
-THAI_GAP = re.compile(rf"(?<=[\u0e00-\u0e7f])([}}\)”’\"']*)(\s+)(?=[“\"'(]?{OPEN}*[\u0e00-\u0e7f])")
+GAP = re.compile(r"(?<=\S)\s+(?=\S)")
+MARKS = frozenset(".!?…。．！？।॥؟۔")
 SPACE = re.compile(r"\s+")
 
 
+def _env_end(text: str, name: str, at: int, stop: int) -> int:
+    """Where the environment ends whose \\begin ends at 'at': at its own \\end, others of the name inside it counted; without one before the next blank line or heading."""
+    open_ = 1
+    for m in re.compile(r"\\(begin|end)\{" + re.escape(name) + r"\}").finditer(text, at, stop):
+        open_ += 1 if m[1] == "begin" else -1
+        if not open_:
+            return m.end()
+    # one that is missing somewhere: the next \\end, unless another begins before it
+    begin, end = text.find(f"\\begin{{{name}}}", at, stop), text.find(f"\\end{{{name}}}", at, stop)
+    if end >= 0 and (begin < 0 or end < begin):
+        return end + len(name) + 6
+    m = OPEN_END.search(text, at, stop)
+    return m.start() if m else stop
+
+
 def masked(text: str) -> str:
     """The text with markup as placeholders; as long as the text."""
     start = text.find("\\begin{document}")
@@ -77,9 +99,12 @@ def masked(text: str) -> str:
         out.append(BREAK * last)
     stop = text.find("\\end{document}", last)
     stop = len(text) if stop < 0 else stop
-    for m in MARKUP.finditer(text, last, stop):
+    while m := MARKUP.search(text, last, stop):
         a, b = m.span()
         kind = KIND.get(m.lastgroup, m.lastgroup)
+        if m["name"]:
+            kind = "display" if MATH.match(m["name"]) else "env"
+            b = _env_end(text, m["name"], b, stop)
         if a > last:
             out.append(text[last:a])
         n = b - a
@@ -148,6 +173,8 @@ def _left(mask: str, lo: int, at: int) -> tuple[str, str]:
     script = _script(c)
     if script == "J":
         return token[-2:], "J"
+    if script == "T":
+        return token[-2:], "T"
     if c.isdigit():
         head = token.lstrip("-+")
         if head.isdigit():
@@ -204,7 +231,7 @@ def _mark(run: str) -> tuple[str, str]:
 class Cut:
     """A paragraph's candidates: (end, key, right) and where it ends; key is what the model sees."""
 
-    __slots__ = ("candidates", "last", "start", "sure")
+    __slots__ = ("candidates", "last", "start")
 
 
 def cuts(text: str) -> Iterator[Cut]:
@@ -218,7 +245,7 @@ def cuts(text: str) -> Iterator[Cut]:
         if not LETTER.search(body):
             continue
         p = Cut()
-        p.last, p.start, p.candidates, p.sure = hi - 1, _right(mask, lo, hi), [], []
+        p.last, p.start, p.candidates = hi - 1, _right(mask, lo, hi), []
         for m in MARK.finditer(mask, lo, hi):
             a, b = m.span()
             run = m.group()
@@ -238,8 +265,12 @@ def cuts(text: str) -> Iterator[Cut]:
             else:
                 p.candidates.append((b - 1, (*_left(mask, lo, a), *_mark(run)), _right(mask, after, hi)))
         if not body.isascii() and THAI.search(body):
-            for m in THAI_GAP.finditer(mask, lo, hi):
-                p.sure.append(m.end(1) - 1)
+            for m in GAP.finditer(mask, lo, hi):
+                a, b = m.span()
+                bare = mask[max(lo, a - 24) : a].rstrip(SUFFIX)
+                left, right = _left(mask, lo, a), _right(mask, b, hi)
+                if bare and bare[-1] not in MARKS and (left[1] == "T" or THAI_SIDE in right[2]):
+                    p.candidates.append((a - 1, (*left, "gap", ""), right))
         yield p
 
 
@@ -272,35 +303,56 @@ class Model:
         out = []
         for p in cuts(text):
             own = {e for e, key, right in p.candidates if right is not None and self.ends(key, right)}
-            own.update(p.sure)
             own.add(p.last)
             out += sorted(own)
         return out
 
 
-def reliable(texts: list[str], seen: int = SEEN) -> list[tuple[tuple, tuple, int, float]]:
-    """(key, right, is boundary, weight) of the candidates that are told apart by paragraph ends and starts."""
-    inner: Counter = Counter()
-    ends, starts, n_left, n_right = Counter(), Counter(), Counter(), Counter()
-    n_par = 0
+#: Examples that hold in any table, so that a table without Thai, or without reliable boundaries, has a model, too.
+ALWAYS = [
+    *((("", "T", "gap", ""), ("", "", o + THAI_SIDE), 1, 1.0) for o in ("", "q", "(")),
+    *((("", shape, "gap", ""), ("", "", kind), 0, 1.0) for shape, kind in (("T", "digit"), ("T", "formula"), ("T", "display"), ("T", "reference"), ("T", "macro"), ("T", "Ll"), ("T", "LU"), ("T", "sign"))),
+    *((("", shape, "gap", ""), ("", "", THAI_SIDE), 0, 1.0) for shape in ("int1", "int2", "int3", "int4", "number", "formula", "reference", "macro", "none", "Ll1", "Ll2", "Ll3", "Ll5", "LU1", "LU2", "LU3", "LU5", "Ldotted")),
+    *((("", "", mark, ""), ("", "", ""), 1, 1.0) for mark in sorted(MARKS)),
+]
+PARTS = ("left", "shape", "mark", "close", "one", "two", "kind")
+COUNTED = "what string, " + ", ".join(f"{c} string" for c in PARTS) + ", n bigint"
+
+
+def counts(texts: Iterator[str]) -> Counter:
+    """How often each candidate, paragraph end and paragraph start occurs: (what, left, shape, mark, close, one, two, kind)."""
+    out: Counter = Counter()
     for t in texts:
         for p in cuts(t):
-            n_par += 1
-            starts.update(("t" + p.start[0], "t" + p.start[1], "s" + p.start[2]))
+            out["start", "", "", "", "", *p.start] += 1
             for _, key, right in p.candidates:
-                left = (key[0] + key[2] + key[3], key[1] + key[2] + key[3])
-                if right is None:
-                    ends.update(("t" + left[0], "s" + left[1]))
-                else:
-                    inner[key, right] += 1
-    for (key, right), n in inner.items():
+                out[("end", *key, "", "", "") if right is None else ("inner", *key, *right)] += 1
+    return out
+
+
+def reliable(counted: dict[tuple, int], seen: int = SEEN) -> list[tuple[tuple, tuple, int, float]]:
+    """(key, right, is boundary, weight) of the candidates that are told apart by paragraph ends and starts, and of gaps."""
+    inner = {(k[1:5], k[5:]): n for k, n in counted.items() if k[0] == "inner"}
+    ends, starts, n_left, n_right = Counter(), Counter(), Counter(), Counter()
+    n_par = 0
+    for (what, *k), n in counted.items():
+        if what == "start":
+            n_par += n
+            starts["t" + k[4]] += n
+            starts["t" + k[5]] += n  # figures and signs, whose two tokens are one, count twice: they start few paragraphs
+            starts["s" + k[6]] += n
+        elif what == "end":
+            ends["t" + k[0] + k[2] + k[3]] += n
+            ends["s" + k[1] + k[2] + k[3]] += n
+    marked = {x: n for x, n in inner.items() if x[0][2] != "gap"}
+    for (key, right), n in marked.items():
         n_left["t" + key[0] + key[2] + key[3]] += n
         n_left["s" + key[1] + key[2] + key[3]] += n
         n_right["t" + right[1]] += n
         n_right["t" + right[0]] += n if right[0] != right[1] else 0
         n_right["s" + right[2]] += n
     n_ends, n_starts = max(1, sum(v for k, v in ends.items() if k[0] == "s")), max(1, n_par)
-    total = max(1, sum(inner.values()))
+    total = max(1, sum(marked.values()))
 
     def standing(tokens: tuple, known: Counter, inside: Counter, n_known: int) -> int:
         """By the first of the tokens that is known: 1 if it is met there, -1 if not, 0 in between."""
@@ -316,6 +368,9 @@ def reliable(texts: list[str], seen: int = SEEN) -> list[tuple[tuple, tuple, int
 
     out = []
     for (key, right), n in inner.items():
+        if key[2] == "gap":
+            out.append((key, right, int(key[1] == "T" and right[2].endswith(THAI_SIDE)), float(n)))
+            continue
         tail = key[2] + key[3]
         left = standing(("t" + key[0] + tail, "s" + key[1] + tail), ends, n_left, n_ends)
         r = standing(("t" + right[1], "t" + right[0], "s" + right[2]), starts, n_right, n_starts)
@@ -326,36 +381,54 @@ def reliable(texts: list[str], seen: int = SEEN) -> list[tuple[tuple, tuple, int
     return out
 
 
-def fit(texts: list[str], rounds: int = 200, ridge: float = 1e-4) -> Model:
-    """The maximum-entropy model of the reliable boundaries among texts."""
-    examples = sorted(reliable(texts), key=repr)
+def fit(counted: dict[tuple, int], rounds: int = 200, ridge: float = 1e-4, least: int = 3) -> Model:
+    """The maximum-entropy model of the reliable boundaries. Tokens met fewer than 'least' times are no features, so examples that differ in them alone are one."""
+    examples = reliable(counted)
+    met: Counter = Counter()
+    for key, right, _, n in examples:
+        for k in (("l", key[0]), ("r", right[0]), ("2", right[1])):
+            met[k] += n
+    known = lambda k, x: x if met[k, x] >= least else ""
+    merged: Counter = Counter()
+    for key, right, y, n in examples:
+        merged[(known("l", key[0]), *key[1:]), (known("r", right[0]), known("2", right[1]), right[2]), y] += n ** 0.5
+    for key, right, y, n in ALWAYS:
+        merged[key, right, y] += n
     names: dict[str, int] = {}
-    rows = [[names.setdefault(f, len(names)) for f in features(k, r)] for k, r, _, _ in examples]
-    if not rows:
-        return Model({"b": 1.0})
-    x, y = np.array(rows), np.array([e[2] for e in examples], float)
-    weight = np.sqrt(np.array([e[3] for e in examples]))
+    rows = sorted(merged.items(), key=repr)
+    x = np.array([[names.setdefault(f, len(names)) for f in features(k, r)] for (k, r, _), _ in rows])
+    y, weight = np.array([e[2] for e, _ in rows], float), np.array([n for _, n in rows])
     weight /= weight.sum()
     w, past = np.zeros(len(names)), np.full(len(names), 1e-8)
+    flat = x.ravel()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(w[x].sum(1), -30, 30)))
-        g = np.bincount(x.ravel(), np.repeat(weight * (p - y), x.shape[1]), len(names)) + ridge * w / len(names)
+        g = np.bincount(flat, np.repeat(weight * (p - y), x.shape[1]), len(names)) + ridge * w / len(names)
         past += g * g
         w -= 0.5 * g / np.sqrt(past)
     return Model({f: float(w[i]) for f, i in names.items() if abs(w[i]) > 1e-4})
 
 
-def sample(docs: DataFrame, size: int = FIT_DOCS) -> list[str]:
-    """About size texts, the same ones each time, spread over the table."""
-    n = docs.count()
-    share = max(1, n // size)
+def fitted(docs: DataFrame, size: int = FIT_DOCS) -> Model:
+    """The model of about size documents, the same ones each time, spread over the table. Counts are made in tasks; the driver gets them added up."""
+    share = max(1, docs.count() // size)
     t = docs.filter(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(share)) == 0) if share > 1 else docs
-    return [r.text for r in t.select("text").filter("text is not null").limit(2 * size).collect()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in COUNTED.split(", ")]
+        for batch in batches:
+            own = counts(x for x in batch.column(0).to_pylist() if x)
+            if own:
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in zip(*own, strict=True)), pa.array(list(own.values()), pa.int64())], names=names)
+
+    counted = t.select("text").mapInArrow(run, COUNTED).groupBy("what", *PARTS).agg(F.sum("n").alias("n")).toArrow()
+    columns = [c.to_pylist() for c in counted.columns]
+    return fit(dict(zip(zip(*columns[:-1], strict=True), columns[-1], strict=True)))
 
 
 def sentence_ends(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """docs(doc_id, text) to (doc_id, sent_no, sent_end): the position of each sentence's last character."""
-    weights = (model or fit(sample(docs))).weights
+    weights = (model or fitted(docs)).weights
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
