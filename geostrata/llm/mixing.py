@@ -21,9 +21,8 @@ from pyspark.sql.window import Window
 from geostrata.llm.tokens import with_token_counts
 from geostrata.runtime import stored
 
-#: Documents that a bin should hold; bins per source are bounded by MAX_BINS.
+#: Documents that a bin should hold: a source of 10^11 documents has five million bins, one row each.
 BIN_DOCS = 20_000
-MAX_BINS = 65_536
 
 
 def source_key(source: Column) -> Column:
@@ -37,12 +36,28 @@ def quality_weight(tokens: Column) -> Column:
     return F.lit(1.0) + F.exp(-far)
 
 
-def sizes(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """(doc_id, source_key, tokens, key): the token count and sampling key of every document, stored."""
-    t = with_token_counts(docs.select("doc_id", "source", "text"))
-    bits = F.shiftright(F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(0))), 11).cast("double")
-    u = (bits + F.lit(2.0**52) + 0.5) / F.lit(2.0**53)
-    return stored(t.select("doc_id", source_key(F.col("source")).alias("source_key"), "tokens", (-F.ln(u) / quality_weight(F.col("tokens"))).alias("key")))
+def drawn(doc_id: Column, seed: int = 7) -> Column:
+    """A number between 0 and 1 from the id."""
+    bits = F.shiftright(F.xxhash64(F.lit(seed), F.coalesce(doc_id, F.lit(0))), 11).cast("double")
+    return (bits + F.lit(2.0**52) + 0.5) / F.lit(2.0**53)
+
+
+def sizes(docs: DataFrame, seed: int = 7, weight: Column | None = None, size: Column | None = None, draw: Column | None = None) -> DataFrame:
+    """(doc_id, source_key, tokens, key): the size and sampling key of every document, stored.
+
+    weight: a quality weight above 0 over the columns of docs and 'tokens' (by length if none is given; other values count as 1);
+    size: another measure than tokens; draw: another draw than by the id's hash.
+    """
+    if size is not None:
+        t = docs.withColumn("tokens", size)
+    elif weight is None:
+        t = with_token_counts(docs.select("doc_id", "source", "text"))
+    else:
+        t = with_token_counts(docs)
+    w = quality_weight(F.col("tokens")) if weight is None else weight.cast("double")
+    w = F.when(w > 0, w).otherwise(1.0)
+    u = drawn(F.col("doc_id"), seed) if draw is None else draw
+    return stored(t.select("doc_id", source_key(F.col("source")).alias("source_key"), F.coalesce(F.col("tokens"), F.lit(0)).cast("int").alias("tokens"), (-F.ln(u) / w).alias("key")))
 
 
 def budgets(sized: DataFrame, targets: DataFrame) -> DataFrame:
@@ -64,8 +79,8 @@ def budgets(sized: DataFrame, targets: DataFrame) -> DataFrame:
 def prefix_sums(sized: DataFrame) -> DataFrame:
     """The documents with 'before': tokens of the documents of the same source with a smaller key."""
     docs = sized.filter("tokens > 0")
-    n = docs.groupBy("source_key").agg(F.least(F.lit(MAX_BINS), F.floor(F.count("*") / BIN_DOCS) + 1).alias("bins"))
-    # exp(-key) is near uniform for weights from 1 to 2: the densest bin has twice the mean
+    n = docs.groupBy("source_key").agg((F.floor(F.count("*") / BIN_DOCS) + 1).alias("bins"))
+    # exp(-key) is near uniform for weights from 1 to 2: the densest bin has twice the mean; other weights only make bins less even
     d = docs.join(F.broadcast(n) if n.limit(10_001).count() <= 10_000 else n, "source_key").withColumn("bin", F.floor((1 - F.exp(-F.col("key"))) * F.col("bins")))
     sums = d.groupBy("source_key", "bin").agg(F.sum(F.col("tokens").cast("bigint")).alias("s"))
     up = sums.select("source_key", "bin", (F.sum("s").over(Window.partitionBy("source_key").orderBy("bin")) - F.col("s")).alias("bin_before"))

@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("geostrata.llm")
 from geostrata.llm import latex, leaks, mixing, sentences  # noqa: E402
@@ -92,6 +93,52 @@ def test_all_passages_of_an_item_are_searched(spark):
         assert sorted(got, key=str) == [(0, 1, 15), (1, 1, 15), (2, None, 15), (3, None, 15)]
 
 
+def test_weights_are_counted_over_all_items(spark):
+    r = random.Random(8)
+    common = " ".join(f"c{i}" for i in range(15))
+    items = [(i, common + " " + " ".join(f"w{r.randrange(10**6)}" for _ in range(15))) for i in range(9)]
+    it = spark.createDataFrame(items, "item_id long, passage string")
+    d = docs(spark, [(0, common), (1, items[3][1])])
+    find = lambda *b: sorted((x.doc_id, x.item_id, x.longest_run, round(x.similarity, 9)) for x in leaks.leaks(d, it, *b).collect())
+    assert find() == find(2) == find(20_000, 100) and {x[1] for x in find() if x[3] == 1.0} == {3}
+
+
+def test_altered_passages_are_found(spark):
+    r = random.Random(11)
+    new = lambda k: " ".join(f"{k}{r.randrange(3000)}" for _ in range(r.randrange(20, 90)))
+    items = [(i, new("w")) for i in range(60)] + [(900, None), (901, "too short"), (902, "")]
+    texts, want = [], set()
+    for d in range(240):
+        w = items[d % 60][1].split()
+        for k in r.sample(range(len(w)), max(1, len(w) // r.choice([15, 25, 40]))):
+            w[k] = f"new{r.randrange(10**6)}"
+        five = lambda x: {tuple(x[k : k + 5]) for k in range(len(x) - 4)}
+        own = five(items[d % 60][1].split())
+        if len(own & five(w)) >= 0.8 * len(own):  # shingles of these items are all of one weight
+            want.add((d, d % 60))
+        texts.append((d, f"{new('x')} {' '.join(w)} {new('y')}"))
+    texts += [(500, None), (501, ""), (502, new("x"))]
+    it, dd = spark.createDataFrame(items, "item_id long, passage string"), docs(spark, texts)
+    for block in (20_000, 25):
+        got = {(x.doc_id, x.item_id) for x in leaks.altered(dd, it, item_block=block).collect()}
+        assert got <= want and len(got) >= 0.9 * len(want) > 50
+    assert leaks.altered(dd, it.limit(0)).count() == 0 and leaks.altered(docs(spark, []), it).count() == 0
+
+
+def test_wide_blocks_guarantee_their_radius():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    index = leaks.WideIndex([(1, " ".join(f"w{i}" for i in range(20)), {})], 1, str, 20)
+    for _ in range(100):
+        flip = sum(1 << int(b) for b in rng.choice(64, leaks.WIDE_RADIUS, replace=False))
+        rows, hits = index.candidates(np.array([int(index.prints[0]) ^ flip], np.uint64))
+        assert rows.tolist() == [0] and hits.tolist() == [0]
+    words = leaks.word_hashes(" ".join(f"w{i % 97}" for i in range(700)))[0]
+    for n in (12, 60, 300):
+        assert (leaks.fingerprints(words, n) == leaks.fingerprints(words, n, np.arange(len(words) - n + 1))).all()
+
+
 def test_fingerprints_within_the_radius_share_a_block():
     import numpy as np
 
@@ -131,6 +178,8 @@ def test_mixing_reaches_the_shares(spark):
     picks = mixing.select(sized, t)
     counts = {x.c for x in picks.filter("mix_id = 3").selectExpr("copies as c").distinct().collect()}
     e = rep[3, "big"].epochs
+    one = mixing.select(mixing.sizes(d.withColumn("w", F.when(F.col("doc_id") % 2 == 0, 50.0)), weight=F.col("w")), t.filter("mix_id = 1 and source_name = 'big'")).collect()
+    assert sum(x.doc_id is not None and x.doc_id % 2 == 0 for x in one) > 0.9 * len(one)
     assert counts <= {e, e + 1} and picks.count() == mixing.select(mixing.sizes(d), t).count()
     assert mixing.report(mixing.sizes(d.limit(0)), t).filter("selected_tokens > 0").count() == 0 and mixing.report(sized, t.limit(0)).count() == 0
 
@@ -165,7 +214,7 @@ where $x = 3.$ Then it stops
 
 
 def test_sentences_keep_out_of_markup():
-    m = sentences.fit([TEXT.replace("2.5", f"{k}.5") for k in range(3)])
+    m = sentences.fit(sentences.counts(TEXT.replace("2.5", f"{k}.5") for k in range(3)))
     ends = m.sentence_ends(TEXT)
     said = {TEXT[max(0, e - 5) : e + 1] for e in ends}
     assert "ends.}" in said and any(s.endswith("stops") for s in said)
@@ -192,5 +241,20 @@ def test_sentence_model_learns_abbreviations(spark):
 
 @pytest.mark.parametrize(("text", "count"), [("สวัสดี 12 ครับ ผมไป\nเธอมา", 3), ("他说：“好。”我走了。", 2), ("क्या है? वह है।", 2)])
 def test_scripts(text, count):
-    m = sentences.Model({"b": 1.0})
+    m = sentences.fit(sentences.counts([]))
     assert len(m.sentence_ends(text)) == count
+
+
+def test_environments_without_an_end_stop_at_a_blank_line():
+    m = sentences.Model({"b": 1.0})
+    ends = lambda t: [t[max(0, e - 4) : e + 1] for e in m.sentence_ends(t)]
+    assert ends("One two.\n\n\\begin{figure}\n\\includegraphics{x}\n\nThree four. Five six.\n") == [" two.", "four.", " six."]
+    assert ends("\\begin{itemize}\n\\item A b.\n\\begin{itemize}\n\\item C d.\n\\end{itemize}\nE f.\n\\end{itemize}\n\nG hij.") == [" hij."]
+    assert ends("\\begin{figure} a.\n\\section{B}\nThree four.\n\n\\begin{figure} c. \\end{figure}\n\nFive six.") == ["four.", " six."]
+    assert ends("So\n\\[ a = b.\n\nThree four.\n\n$$ x. \n\nFive six.")[-2:] == ["four.", " six."]
+
+
+def test_thai_gaps_are_classified():
+    text = "ระบบนี้ทำงานได้ดี ผลลัพธ์อยู่ใน 25 ตัวอย่าง การทดลองใช้ LaTeX และ $x$ ซึ่งดีมาก\nเราสรุปผล"
+    m = sentences.fit(sentences.counts([text] * 5))
+    assert [text[e - 2 : e + 1] for e in m.sentence_ends(text)] == [text[text.index(" ผลลัพธ์") - 3 : text.index(" ผลลัพธ์")], text[text.index(" การทดลอง") - 3 : text.index(" การทดลอง")], text[text.index("\nเรา") - 3 : text.index("\nเรา")], text[-3:]]
