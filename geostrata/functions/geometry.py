@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 AXES = ("x", "y", "z")
+TRIANGLES = "array<struct<a:struct<x:double,y:double,z:double>,b:struct<x:double,y:double,z:double>,c:struct<x:double,y:double,z:double>>>"
 
 
 def point(x, y, z) -> Column:
@@ -84,7 +85,9 @@ def normal(t: Column) -> Column:
 
 
 def signed_area(ring: Column) -> Column:
-    """Shoelace over a ring given without its closing point; positive when counter-clockwise."""
+    """Shoelace over a ring given without its closing point; positive when counter-clockwise. Taken relative to the first point, as map coordinates are large."""
+    first = F.get(ring, F.lit(0))
+    ring = F.transform(ring, lambda p: F.struct((p["x"] - first["x"]).alias("x"), (p["y"] - first["y"]).alias("y")))
     after = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
     parts = F.zip_with(ring, after, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])
     return F.aggregate(parts, F.lit(0.0), lambda a, b: a + b) / 2
@@ -207,45 +210,66 @@ def grid_cell(value: Column, size: float = 1000.0) -> Column:
     return F.bround(value / size, 0) * size + 0.0
 
 
-# The GRS80 ellipsoid and the conic conformal zone CC46 (EPSG:3946).
+# The GRS80 ellipsoid and the conic conformal zones CC46 (EPSG:3946) and Lambert-93 (EPSG:2154).
 GRS80_A, GRS80_F = 6378137.0, 1 / 298.257222101
 CC46 = {"lat0": 46.0, "lon0": 3.0, "sp1": 45.25, "sp2": 46.75, "fe": 1700000.0, "fn": 5200000.0}
+LAMBERT93 = {"lat0": 46.5, "lon0": 3.0, "sp1": 44.0, "sp2": 49.0, "fe": 700000.0, "fn": 6600000.0}
+ZONES = {"EPSG:3946": CC46, "EPSG:2154": LAMBERT93}
 E2 = GRS80_F * (2 - GRS80_F)
 E = math.sqrt(E2)
 
 
-def _conic() -> tuple[float, float, float]:
+def _conic(zone: dict) -> tuple[float, float, float]:
     """(cone constant, radius factor, radius of the origin)."""
     m = lambda d: math.cos(math.radians(d)) / math.sqrt(1 - E2 * math.sin(math.radians(d)) ** 2)
     t = lambda d: math.tan(math.pi / 4 - math.radians(d) / 2) / ((1 - E * math.sin(math.radians(d))) / (1 + E * math.sin(math.radians(d)))) ** (E / 2)
-    n = (math.log(m(CC46["sp1"])) - math.log(m(CC46["sp2"]))) / (math.log(t(CC46["sp1"])) - math.log(t(CC46["sp2"])))
-    f = m(CC46["sp1"]) / (n * t(CC46["sp1"]) ** n)
-    return n, f, GRS80_A * f * t(CC46["lat0"]) ** n
+    n = (math.log(m(zone["sp1"])) - math.log(m(zone["sp2"]))) / (math.log(t(zone["sp1"])) - math.log(t(zone["sp2"])))
+    f = m(zone["sp1"]) / (n * t(zone["sp1"]) ** n)
+    return n, f, GRS80_A * f * t(zone["lat0"]) ** n
 
 
-CONE, FACTOR, RADIUS0 = _conic()
+CONE, FACTOR, RADIUS0 = _conic(CC46)
 
 
-def cc46_to_geographic(x: Column, y: Column) -> tuple[Column, Column]:
+def conic_to_geographic(x: Column, y: Column, zone: dict = CC46) -> tuple[Column, Column]:
     """(latitude, longitude) in degrees of conic coordinates, by six rounds of the inverse's fixed point."""
-    dx, dy = x - F.lit(CC46["fe"]), F.lit(RADIUS0) - (y - F.lit(CC46["fn"]))
+    cone, factor, radius0 = _conic(zone)
+    dx, dy = x - F.lit(zone["fe"]), F.lit(radius0) - (y - F.lit(zone["fn"]))
     r = F.sqrt(dx * dx + dy * dy)
-    t = F.pow(r / F.lit(GRS80_A * FACTOR), F.lit(1 / CONE))
-    lon = F.atan2(dx, dy) / F.lit(CONE)
+    t = F.pow(r / F.lit(GRS80_A * factor), F.lit(1 / cone))
+    lon = F.atan2(dx, dy) / F.lit(cone)
     lat = F.lit(math.pi / 2) - 2 * F.atan(t)
     for _ in range(6):
         s = F.lit(E) * F.sin(lat)
         lat = F.lit(math.pi / 2) - 2 * F.atan(t * F.pow((1 - s) / (1 + s), F.lit(E / 2)))
-    return F.degrees(lat), F.degrees(lon) + F.lit(CC46["lon0"])
+    return F.degrees(lat), F.degrees(lon) + F.lit(zone["lon0"])
 
 
-def geographic_to_cc46(lat: Column, lon: Column) -> tuple[Column, Column]:
+def geographic_to_conic(lat: Column, lon: Column, zone: dict = CC46) -> tuple[Column, Column]:
+    cone, factor, radius0 = _conic(zone)
     p = F.radians(lat)
     s = F.lit(E) * F.sin(p)
     t = F.tan(F.lit(math.pi / 4) - p / 2) / F.pow((1 - s) / (1 + s), F.lit(E / 2))
-    r = F.lit(GRS80_A * FACTOR) * F.pow(t, F.lit(CONE))
-    a = F.lit(CONE) * F.radians(lon - F.lit(CC46["lon0"]))
-    return F.lit(CC46["fe"]) + r * F.sin(a), F.lit(CC46["fn"]) + F.lit(RADIUS0) - r * F.cos(a)
+    r = F.lit(GRS80_A * factor) * F.pow(t, F.lit(cone))
+    a = F.lit(cone) * F.radians(lon - F.lit(zone["lon0"]))
+    return F.lit(zone["fe"]) + r * F.sin(a), F.lit(zone["fn"]) + F.lit(radius0) - r * F.cos(a)
+
+
+def geocentric_to_geographic(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
+    """(latitude, longitude, height), by six rounds of the latitude's fixed point."""
+    flat = F.sqrt(x * x + y * y)
+    lat = F.atan2(z, flat * F.lit(1 - E2))
+    for _ in range(6):
+        n = F.lit(GRS80_A) / F.sqrt(1 - F.lit(E2) * F.sin(lat) * F.sin(lat))
+        lat = F.atan2(z + F.lit(E2) * n * F.sin(lat), flat)
+    n = F.lit(GRS80_A) / F.sqrt(1 - F.lit(E2) * F.sin(lat) * F.sin(lat))
+    # along the axis or across it, whichever is longer
+    h = F.when(F.abs(F.cos(lat)) > 0.5, flat / F.cos(lat) - n).otherwise(z / F.sin(lat) - n * F.lit(1 - E2))
+    return F.degrees(lat), F.degrees(F.atan2(y, x)), h
+
+
+def mercator_to_geographic(x: Column, y: Column) -> tuple[Column, Column]:
+    return F.degrees(2 * F.atan(F.exp(y / F.lit(GRS80_A))) - F.lit(math.pi / 2)), F.degrees(x / F.lit(GRS80_A))
 
 
 def geographic_to_geocentric(lat: Column, lon: Column, h: Column) -> tuple[Column, Column, Column]:
@@ -260,19 +284,23 @@ def geographic_to_mercator(lat: Column, lon: Column) -> tuple[Column, Column]:
 
 
 def reproject(x: Column, y: Column, z: Column, crs_in: str, crs_out: str) -> tuple[Column, Column, Column]:
-    """From EPSG:3946 or 4171 to EPSG:3946, 4171, 4978 or 3857; axis order is each system's own (4171: latitude first)."""
+    """Between EPSG:3946, 2154, 4171, 4326, 4978 and 3857; axis order is each system's own (4171: latitude first)."""
     if crs_in == crs_out:
         return x, y, z
-    if crs_in == "EPSG:3946":
-        lat, lon = cc46_to_geographic(x, y)
+    if crs_in in ZONES:
+        lat, lon = conic_to_geographic(x, y, ZONES[crs_in])
     elif crs_in in ("EPSG:4171", "EPSG:4326"):
         lat, lon = x, y
+    elif crs_in == "EPSG:4978":
+        lat, lon, z = geocentric_to_geographic(x, y, z)
+    elif crs_in == "EPSG:3857":
+        lat, lon = mercator_to_geographic(x, y)
     else:
         raise ValueError(f"no way from {crs_in}")
     if crs_out in ("EPSG:4171", "EPSG:4326"):
         return lat, lon, z
-    if crs_out == "EPSG:3946":
-        return (*geographic_to_cc46(lat, lon), z)
+    if crs_out in ZONES:
+        return (*geographic_to_conic(lat, lon, ZONES[crs_out]), z)
     if crs_out == "EPSG:4978":
         return geographic_to_geocentric(lat, lon, z)
     if crs_out == "EPSG:3857":

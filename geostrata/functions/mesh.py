@@ -72,11 +72,34 @@ def _joined(outer: list[Point], holes: list[list[Point]]) -> list[Point]:
             if not any(_cross(start, ring[i], a, b) or _between(a, start, ring[i]) for a, b in edges):
                 ring = [*ring[: i + 1], *hole[k:], *hole[: k + 1], *ring[i:]]
                 break
-    return ring
+    return ring  # a hole that no bridge reaches is missing: the area tells
+
+
+def _slabs(rings: list[list[Point]]) -> list[tuple[Point, Point, Point]]:
+    """Any rings by the even-odd rule: cut at the heights of all points and crossings into trapezoids, at the height of the first point."""
+    edges = [(p, q) if p[1] < q[1] else (q, p) for r in rings for p, q in zip(r, [*r[1:], r[0]], strict=True) if p[1] != q[1]]
+    levels = {p[1] for r in rings for p in r}
+    for i, (a, b) in enumerate(edges):
+        for c, d in edges[:i]:
+            if _cross(a, b, c, d):
+                s, t = _turn(c, d, a), _turn(c, d, b)
+                levels.add(a[1] + (b[1] - a[1]) * s / (s - t))
+    order, z, out = sorted(levels), rings[0][0][2], []
+    at = lambda e, y: e[0][0] + (e[1][0] - e[0][0]) * (y - e[0][1]) / (e[1][1] - e[0][1])
+    for low, high in zip(order, order[1:], strict=False):
+        mid = (low + high) / 2
+        own = sorted((e for e in edges if e[0][1] <= low and e[1][1] >= high), key=lambda e: at(e, mid))
+        for left, right in zip(own[::2], own[1::2], strict=False):
+            a, b, c, d = ((at(e, y), y, z) for e, y in ((left, low), (right, low), (right, high), (left, high)))
+            out += [t for t in ((a, b, c), (a, c, d)) if _turn(*t) > 0]
+    return out
+
 
+def triangulate(exterior: list[Point], holes: list[list[Point]] | None = None, own_points: bool = False) -> list[tuple[Point, Point, Point]]:
+    """Ear clipping of a polygon with holes; nothing for fewer than three points.
 
-def triangulate(exterior: list[Point], holes: list[list[Point]] | None = None) -> list[tuple[Point, Point, Point]]:
-    """Ear clipping of a polygon with holes; nothing for fewer than three points."""
+    Rings that touch or cross themselves or each other are cut into trapezoids instead, unless only own_points may be corners.
+    """
     outer = opened(exterior)
     if len(outer) < 3:
         return []
@@ -102,6 +125,9 @@ def triangulate(exterior: list[Point], holes: list[list[Point]] | None = None) -
         at %= len(left)
     if len(left) == 3 and _turn(*(ring[m] for m in left)) > 0:
         out.append(tuple(ring[m] for m in left))
+    whole = area2(outer) - sum(abs(area2(h)) for h in inner)
+    if not own_points and abs(sum(_turn(*t) for t in out) - whole) > 1e-6 * abs(area2(outer)):
+        return _slabs([outer, *(h for h in inner if len(h) >= 3)])
     return out
 
 
@@ -250,7 +276,7 @@ def wkb_triangles(data: bytes | None) -> list[tuple[Point, Point, Point]] | None
         for r in rings:
             place.append(flat(list(enumerate(r, start))))
             start += len(r)
-        out += [tuple(every[int(q[2])] for q in t) for t in triangulate(place[0], place[1:])]
+        out += [tuple(every[int(q[2])] for q in t) for t in triangulate(place[0], place[1:], own_points=True)]
     return out
 
 

@@ -56,11 +56,29 @@ def encode_glb(primitives: list[dict], materials: list[dict]) -> bytes:
         "nodes": [{"matrix": Y_UP, "mesh": i} for i in range(len(meshes))], "meshes": meshes, "accessors": accessors, "bufferViews": views, "buffers": [{"byteLength": len(body)}],
         "materials": [{"pbrMetallicRoughness": {"baseColorFactor": list(m["rgba"]), "metallicFactor": m["metallic"], "roughnessFactor": m["roughness"]}, "doubleSided": bool(m["double_sided"]), "alphaMode": "BLEND" if m["rgba"][3] < 1 else "OPAQUE"} for m in materials],
     }
+    images = list(dict.fromkeys(m["texture"] for m in materials if m.get("texture")))
+    if images:
+        head |= {"images": [{"uri": x} for x in images], "textures": [{"source": i, "sampler": 0} for i in range(len(images))], "samplers": [{"magFilter": 9729, "minFilter": 9987, "wrapS": 10497, "wrapT": 10497}]}
+        for own, m in zip(head["materials"], materials, strict=True):
+            if m.get("texture"):
+                own["pbrMetallicRoughness"]["baseColorTexture"] = {"index": images.index(m["texture"])}
     text = _pad(json.dumps(head, separators=(",", ":")).encode(), 4, b" ")
     chunks = struct.pack("<II", len(text), GLB_JSON) + text + struct.pack("<II", len(body), GLB_BIN) + body
     return struct.pack("<4sII", b"glTF", 2, 12 + len(chunks)) + chunks
 
 
+def hierarchy(instances: list[tuple]) -> dict:
+    """The batch table's hierarchy of (id, parent id, class name, properties) in order: classes by first use, instances by position, parents that are instances, too."""
+    place = {x[0]: i for i, x in enumerate(instances)}
+    names = list(dict.fromkeys(x[2] for x in instances))
+    classes = []
+    for n in names:
+        own = [x[3] for x in instances if x[2] == n]
+        classes.append({"name": n, "length": len(own), "instances": {k: [p.get(k) for p in own] for k in dict.fromkeys(k for p in own for k in p)}})
+    parents = [[place[x[1]]] if x[1] in place and x[1] != x[0] else [] for x in instances]
+    return {"classes": classes, "instancesLength": len(instances), "classIds": [names.index(x[2]) for x in instances], "parentCounts": [len(p) for p in parents], "parentIds": [i for p in parents for i in p]}
+
+
 def encode_b3dm(glb: bytes, batch_length: int, batch_table: dict) -> bytes:
     feature = json.dumps({"BATCH_LENGTH": batch_length}, separators=(",", ":")).encode()
     feature += b" " * (-(B3DM_HEADER + len(feature)) % 8)
@@ -112,5 +130,34 @@ def decode_b3dm(data: bytes) -> tuple[int, dict, list[dict], list[dict]]:
     materials = []
     for m in head.get("materials", []):
         pbr = m.get("pbrMetallicRoughness", {})
-        materials.append({"rgba": list(pbr.get("baseColorFactor", [1.0, 1.0, 1.0, 1.0])), "metallic": pbr.get("metallicFactor", 1.0), "roughness": pbr.get("roughnessFactor", 1.0), "double_sided": m.get("doubleSided", False)})
+        texture = None
+        if "baseColorTexture" in pbr:
+            texture = head["images"][head["textures"][pbr["baseColorTexture"]["index"]]["source"]].get("uri")
+        materials.append({"texture": texture, "rgba": list(pbr.get("baseColorFactor", [1.0, 1.0, 1.0, 1.0])), "metallic": pbr.get("metallicFactor", 1.0), "roughness": pbr.get("roughnessFactor", 1.0), "double_sided": m.get("doubleSided", False)})
     return feature.get("BATCH_LENGTH", 0), batch, primitives, materials or [DEFAULT_MATERIAL]
+
+
+def _head(data: bytes) -> tuple[int, dict, bytes]:
+    """(where the glTF starts, its JSON, its binary chunk with header) of a B3DM."""
+    fj, fb, bj, bb = struct.unpack_from("<IIII", data, 12)
+    at = B3DM_HEADER + fj + fb + bj + bb
+    n = struct.unpack_from("<I", data, at + 12)[0]
+    length = struct.unpack_from("<I", data, at + 8)[0]
+    return at, json.loads(data[at + 20 : at + 20 + n]), data[at + 20 + n : at + length]
+
+
+def pictures(data: bytes) -> list[str]:
+    """The picture files that a B3DM names; none for other content."""
+    return [x["uri"] for x in _head(data)[1].get("images", []) if x.get("uri") and not x["uri"].startswith("data:")] if data[:4] == b"b3dm" else []
+
+
+def renamed(data: bytes, old: str, new: str) -> bytes:
+    """The B3DM with a picture's name changed; nothing else of it is decoded."""
+    at, head, rest = _head(data)
+    for x in head.get("images", []):
+        if x.get("uri") == old:
+            x["uri"] = new
+    text = _pad(json.dumps(head, separators=(",", ":")).encode(), 4, b" ")
+    chunks = struct.pack("<II", len(text), GLB_JSON) + text + rest
+    glb = _pad(struct.pack("<4sII", b"glTF", 2, 12 + len(chunks)) + chunks, 8, b"\0")
+    return data[:8] + struct.pack("<I", at + len(glb)) + data[12:at] + glb

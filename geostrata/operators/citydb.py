@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from geostrata.functions import geometry as G
+from geostrata.runtime import row_numbers
 
 
 def objects(own: DataFrame, cityobject: DataFrame, root: str | None = None, gmlids: list[str] | None = None) -> DataFrame:
@@ -85,27 +85,56 @@ def texture_images(wanted: DataFrame, tex_image: DataFrame) -> DataFrame:
     return wanted.select("tex_image_uri").distinct().join(own, "tex_image_uri")
 
 
+def _nearest(t, cx, cy) -> tuple:
+    """(square of the distance in the plane, height) of the point of a triangle nearest to the upright line through (cx, cy)."""
+    inside = []
+    for p, q in (("a", "b"), ("b", "c"), ("c", "a")):
+        inside.append((t[q]["x"] - t[p]["x"]) * (cy - t[p]["y"]) - (t[q]["y"] - t[p]["y"]) * (cx - t[p]["x"]))
+    whole = inside[0] + inside[1] + inside[2]
+    within = (whole != 0) & (((inside[0] >= 0) & (inside[1] >= 0) & (inside[2] >= 0)) | ((inside[0] <= 0) & (inside[1] <= 0) & (inside[2] <= 0)))
+    height = (inside[1] * t["a"]["z"] + inside[2] * t["b"]["z"] + inside[0] * t["c"]["z"]) / F.when(whole != 0, whole)
+    ends = []
+    for p, q in (("a", "b"), ("b", "c"), ("c", "a")):
+        dx, dy, dz = (t[q][k] - t[p][k] for k in G.AXES)
+        size = dx * dx + dy * dy
+        share = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((cx - t[p]["x"]) * dx + (cy - t[p]["y"]) * dy) / size))).otherwise(0.0)
+        fx, fy = t[p]["x"] + share * dx - cx, t[p]["y"] + share * dy - cy
+        ends.append(F.struct((fx * fx + fy * fy).alias("far"), (t[p]["z"] + share * dz).alias("z")))
+    return F.when(within, F.struct(F.lit(0.0).alias("far"), height.alias("z"))).otherwise(F.least(*ends))
+
+
 def centroids(surfaces: DataFrame, root: str) -> DataFrame:
-    """(id, x, y, z): area-weighted middle in the plane, at the height of the nearest triangle's middle. Objects without area take the mean of corners."""
+    """(id, x, y, z): area-weighted middle in the plane, at the height of the geometry's point nearest to the upright line through it.
+
+    Of points equally near (to a thousandth of a millimetre) the lowest counts. Objects without area take the mean of corners.
+    """
     t = surfaces.select(F.col(root).alias("id"), F.explode("tri").alias("t"))
     third = lambda k: (F.col("t.a")[k] + F.col("t.b")[k] + F.col("t.c")[k]) / 3
     n = G.cross(F.col("t"))
-    t = t.select("id", *[third(k).alias(k) for k in G.AXES], (F.sqrt(n["x"] * n["x"] + n["y"] * n["y"] + n["z"] * n["z"]) / 2).alias("area"))
+    t = t.select("id", "t", *[third(k).alias(k) for k in "xy"], (F.sqrt(n["x"] * n["x"] + n["y"] * n["y"] + n["z"] * n["z"]) / 2).alias("area"))
     m = t.groupBy("id").agg(F.sum("area").alias("a"), *[F.sum(F.col(k) * F.col("area")).alias("s" + k) for k in "xy"], *[F.avg(k).alias("m" + k) for k in "xy"])
     m = m.select("id", *[F.when(F.col("a") > 0, F.col("s" + k) / F.col("a")).otherwise(F.col("m" + k)).alias("c" + k) for k in "xy"])
-    far = (F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")) + (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy"))
-    return t.join(m, "id").groupBy("id").agg(F.first("cx").alias("x"), F.first("cy").alias("y"), F.min_by("z", F.struct(far, "z")).alias("z"))
+    near = t.join(m, "id").withColumn("n", _nearest(F.col("t"), F.col("cx"), F.col("cy")))
+    return near.groupBy("id").agg(F.first("cx").alias("x"), F.first("cy").alias("y"), F.min(F.struct(F.round(F.sqrt("n.far"), 6).alias("far"), F.col("n.z").alias("z")))["z"].alias("z"))
 
 
-def hierarchy_instances(building: DataFrame, cityobject: DataFrame, thematic_surface: DataFrame, objectclass: DataFrame, root_ids: DataFrame | None = None) -> DataFrame:
-    """Surfaces and building parts with their position: (position, id, parent_id, gmlid, classname); geometric instances first."""
-    b = building if root_ids is None else building.join(root_ids.select(F.col("id").alias("building_root_id")).distinct(), "building_root_id", "left_semi")
-    c = cityobject.select("id", "gmlid")
-    parts = b.select("id", F.col("building_parent_id").alias("parent_id"), "objectclass_id").join(c, "id").withColumn("kind", F.lit(1))
-    s = thematic_surface.join(b.select(F.col("id").alias("building_id")), "building_id", "left_semi").select("id", F.col("building_id").alias("parent_id"), "objectclass_id").join(c, "id").withColumn("kind", F.lit(0))
-    all_ = s.unionByName(parts).join(objectclass.select(F.col("id").alias("objectclass_id"), "classname"), "objectclass_id", "left")
-    # positions are those of one tile's table, whose features are bounded by the kd-tree
-    return all_.select((F.row_number().over(Window.orderBy("kind", "id")) - 1).alias("position"), "id", "parent_id", "gmlid", "classname")
+def hierarchy_surfaces(t: dict[str, DataFrame], root_ids: DataFrame | None = None) -> DataFrame:
+    """(id, parent_id, gmlid, objectclass_id) of the surfaces of buildings and their parts that have a geometry, each once; root_ids: of these top buildings only."""
+    b = _of_roots(t["building"], root_ids)
+    g = t["surface_geometry"].filter("tri is not null").select(F.col("root_id").alias("lod2_multi_surface_id"))
+    s = t["thematic_surface"].join(b.select(F.col("id").alias("building_id")), "building_id", "left_semi").join(g, "lod2_multi_surface_id", "left_semi")
+    return s.select("id", F.col("building_id").alias("parent_id"), "objectclass_id").join(t["cityobject"].select("id", "gmlid"), "id").distinct()
+
+
+def _of_roots(building: DataFrame, root_ids: DataFrame | None) -> DataFrame:
+    return building if root_ids is None else building.join(root_ids.select(F.col("id").alias("building_root_id")).distinct(), "building_root_id", "left_semi")
+
+
+def hierarchy_instances(building: DataFrame, cityobject: DataFrame, surfaces: DataFrame, objectclass: DataFrame, root_ids: DataFrame | None = None) -> DataFrame:
+    """Surfaces (see hierarchy_surfaces) and building parts with their position: (position, id, parent_id, gmlid, classname); geometric instances first."""
+    parts = _of_roots(building, root_ids).select("id", F.col("building_parent_id").alias("parent_id"), "objectclass_id").join(cityobject.select("id", "gmlid"), "id").withColumn("kind", F.lit(1))
+    all_ = surfaces.withColumn("kind", F.lit(0)).unionByName(parts).join(objectclass.select(F.col("id").alias("objectclass_id"), "classname"), "objectclass_id", "left")
+    return row_numbers(all_, ["kind", "id"], "position").select("position", "id", "parent_id", "gmlid", "classname")
 
 
 def hierarchy_parents(instances: DataFrame) -> DataFrame:
@@ -114,6 +143,12 @@ def hierarchy_parents(instances: DataFrame) -> DataFrame:
     return instances.select("position", "parent_id").join(p, "parent_id").select("position", "parent_position")
 
 
+def class_materials(surfaces: DataFrame, classname: str, order: str) -> DataFrame:
+    """(classname, material_index) of each class, numbered from 1 by first use in the order; 0 is the default material."""
+    first = surfaces.filter(F.col(classname).isNotNull()).groupBy(F.col(classname).alias("classname")).agg(F.min(order).alias("first"))
+    return row_numbers(first, ["first", "classname"], "no").select("classname", (F.col("no") + 1).cast("int").alias("material_index"))
+
+
 def reattach(objects_: DataFrame, results: DataFrame) -> DataFrame:
     """Query results matched back to the objects by gmlid."""
     return objects_.join(results, "gmlid")

@@ -134,7 +134,7 @@ def batch_table(features: DataFrame, tile: str, properties: str, order: str) ->
     return cells.groupBy(tile, "key", "first_use").agg(F.sort_array(F.collect_list(F.struct("_at", "v"))).alias("c")).select(tile, "key", F.row_number().over(Window.partitionBy(tile).orderBy("first_use")).alias("key_no"), F.transform("c", lambda x: x["v"]).alias("values"))
 
 
-def vertex_index(vertices: DataFrame, order: str = "ord", keys: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
-    """Equal vertices are one; numbered from 1 in order of first occurrence: (x, y, z, vertex_no)."""
-    first = vertices.groupBy(*keys).agg(F.min(order).alias("_first"))
-    return row_numbers(first, ["_first"], "_no").select(*keys, (F.col("_no") + 1).alias("vertex_no"))
+def vertex_index(vertices: DataFrame, order: str = "ord", keys: tuple[str, ...] = ("x", "y", "z"), carry: tuple[str, ...] = ()) -> DataFrame:
+    """Equal vertices are one; numbered from 1 in order of first occurrence: (x, y, z, vertex_no[, carry of the first occurrence])."""
+    first = vertices.groupBy(*keys).agg(F.min(order).alias("_first"), *[F.min_by(c, order).alias(c) for c in carry])
+    return row_numbers(first, ["_first"], "_no").select(*keys, *carry, (F.col("_no") + 1).alias("vertex_no"))

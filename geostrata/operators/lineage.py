@@ -94,7 +94,7 @@ def contract(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
     return v, distinct_edges(kept)
 
 
-def _stamps(vertices: DataFrame) -> list[int]:
+def stamps(vertices: DataFrame) -> list[int]:
     """The time stamps: one a snapshot, so they are few."""
     rows = vertices.select("ts").distinct().orderBy("ts").limit(MAX_STAMPS + 1).collect()
     if len(rows) > MAX_STAMPS:
@@ -104,7 +104,8 @@ def _stamps(vertices: DataFrame) -> list[int]:
 
 def collapse_fusions(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A vertex all of whose two or more ancestors fused into it and lived at the same time takes their start; they vanish."""
-    for ts in _stamps(vertices):
+    for ts in stamps(vertices):
+        # the edges into this time stamp alone; the rest of the graph isn't joined
         a = vertices.select(F.col("globalid").alias("src"), "start_date", "end_date")
         here = vertices.filter(F.col("ts") == ts).select(F.col("globalid").alias("dst"))
         g = edges.join(here, "dst").join(a, "src").groupBy("dst").agg(
@@ -125,7 +126,7 @@ def collapse_subdivisions(vertices: DataFrame, edges: DataFrame) -> tuple[DataFr
 
     With one ancestor, reached by a modified edge, the parts become modified descendants of that; with more it stays.
     """
-    for ts in _stamps(vertices):
+    for ts in stamps(vertices):
         d = vertices.select(F.col("globalid").alias("dst"), "start_date", "end_date")
         here = vertices.filter(F.col("ts") == ts).select(F.col("globalid").alias("src"), F.col("start_date").alias("own_start"))
         g = edges.join(here, "src").join(d, "dst").groupBy("src", "own_start").agg(
@@ -198,6 +199,6 @@ def joined_buildings(vertices: DataFrame, buildings: DataFrame) -> DataFrame:
     return vertices.join(buildings.select("ts", F.col("gmlid").alias("local_id"), "id"), ["ts", "local_id"])
 
 
-def missing_stamps(vertices: DataFrame, stamps: list[int]) -> list[int]:
+def missingstamps(vertices: DataFrame, stamps: list[int]) -> list[int]:
     """Time stamps of the graph that weren't named."""
-    return [t for t in _stamps(vertices) if t not in set(stamps)]
+    return [t for t in stamps(vertices) if t not in set(stamps)]

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geostrata.functions import geometry as G
-from geostrata.operators import citydb, hierarchy, lineage
+from geostrata.operators import citydb, lineage
 from geostrata.queries import views as V
 from geostrata.queries.tiles import rounded
-from geostrata.runtime import read
+from geostrata.runtime import read, stored
 
 QUERIES = {}
 SQL = {}
@@ -102,6 +102,16 @@ def relief_geometry_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _size(citydb.merged(citydb.relief_surfaces(_tables(spark, sf_dir)), "relief_feature_id", "classname"), "id", "classname")
 
 
+@query(RELIEF + " SELECT id + 1000000000 AS id, 'ReliefFeature' AS classname, CAST(2 AS BIGINT) AS n_tri, x0 AS xmin, y0 + h AS ymax, h AS zmax FROM k")
+def relief_geometry_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _size(citydb.split(citydb.relief_surfaces(_tables(spark, sf_dir)), "classname"), "id", "classname")
+
+
+@query(S + " SELECT id + 1000000000 AS id, 'Bridge' AS classname, CAST(2 AS BIGINT) AS n_tri, x0 AS xmin, y0 + h AS ymax, h AS zmax FROM v_surface")
+def bridge_geometry_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _size(citydb.split(citydb.bridge_surfaces(_tables(spark, sf_dir)), "classname"), "id", "classname")
+
+
 @query(RELIEF + " SELECT fid AS id, 'WaterBody' AS classname, count(*) * 2 AS n_tri, min(x0) AS xmin, max(y0 + h) AS ymax, max(h) AS zmax FROM k GROUP BY 1")
 def water_geometry_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _size(citydb.merged(citydb.water_surfaces(_tables(spark, sf_dir)), "waterbody_id", "body_class"), "id", "classname")
@@ -117,15 +127,33 @@ def bridge_geometry_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _size(citydb.merged(citydb.bridge_surfaces(_tables(spark, sf_dir)), "bridge_root_id", "classname"), "id", "classname")
 
 
-@query(
-    S
-    + """ SELECT j.surface_id, concat('img_', r.r_name) AS tex_image_uri, CAST(1 AS DOUBLE) AS v_low, round(1 - j.h / 10, 6) AS v_high
-  FROM j JOIN v_surface s ON s.id + 1000000000 = j.surface_id JOIN nation n ON n.n_nationkey = s.building_id % 25 JOIN region r ON r.r_regionkey = n.n_regionkey"""
-)
-def city_textured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _tables(spark, sf_dir)
-    x = citydb.textured(citydb.building_surfaces(t), t["textureparam"], t["surface_data"], t["tex_image"])
-    return rounded(x.select("surface_id", "tex_image_uri", F.col("uv")[0]["a"]["v"].alias("v_low"), F.col("uv")[0]["c"]["v"].alias("v_high")))
+_UV = """, u AS (SELECT id + 1000000000 AS surface_id, building_id % 25 AS data_id, w / 50 AS u1, h / 10 AS v1 FROM v_surface),
+uv AS (SELECT surface_id, concat('img_', r_name) AS tex_image_uri, tri_no, corner, round(CASE WHEN corner = 0 THEN 0.0 ELSE u1 END, 6) AS u, round(CASE WHEN corner = 2 THEN 1 - v1 ELSE 1.0 END, 6) AS v
+  FROM u JOIN nation ON n_nationkey = data_id JOIN region ON r_regionkey = n_regionkey, (SELECT unnest(range(2)) AS tri_no), (SELECT unnest(range(3)) AS corner))"""
+_UV_OUT = "uv.surface_id, tex_image_uri, CAST(tri_no AS INTEGER) AS tri_no, CAST(corner AS INTEGER) AS corner, u, v FROM uv"
+
+
+def _corners(x: DataFrame) -> DataFrame:
+    """Every corner's texture coordinates."""
+    t = x.select("surface_id", "tex_image_uri", F.posexplode("uv").alias("tri_no", "t")).select("surface_id", "tex_image_uri", "tri_no", F.posexplode(F.array("t.a", "t.b", "t.c")).alias("corner", "p"))
+    return rounded(t.select("surface_id", "tex_image_uri", "tri_no", "corner", "p.u", "p.v"))
+
+
+def _textured(surfaces, sql: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = _tables(spark, sf_dir)
+        return _corners(citydb.textured(surfaces(t), t["textureparam"], t["surface_data"], t["tex_image"]))
+
+    return run, sql
+
+
+for _name, _surfaces, _text in (
+    ("city_textured", citydb.building_surfaces, S + _UV + f" SELECT {_UV_OUT} JOIN j ON j.surface_id = uv.surface_id"),
+    ("relief_textured", citydb.relief_surfaces, RELIEF + _UV + f" SELECT {_UV_OUT} JOIN k ON k.id + 1000000000 = uv.surface_id"),
+    ("water_textured", citydb.water_surfaces, RELIEF + _UV + f" SELECT {_UV_OUT} JOIN k ON k.id + 1000000000 = uv.surface_id"),
+    ("bridge_textured", citydb.bridge_surfaces, S + _UV + f" SELECT {_UV_OUT}"),
+):
+    QUERIES[_name], SQL[_name] = _textured(_surfaces, _text)
 
 
 @query("SELECT DISTINCT concat('img_', r_name) AS tex_image_uri, CAST(length(r_name) AS INTEGER) AS n_bytes FROM region JOIN nation ON n_regionkey = r_regionkey")
@@ -138,38 +166,61 @@ def texture_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     S
     + """, t AS (SELECT building_root_id AS id, x0 + w * 2 / 3 AS x, y0 + h / 3 AS y, h AS z, w * h / 2 AS a FROM j UNION ALL SELECT building_root_id, x0 + w / 3, y0 + h * 2 / 3, h, w * h / 2 FROM j),
-  m AS (SELECT id, sum(x * a) / sum(a) AS cx, sum(y * a) / sum(a) AS cy FROM t GROUP BY id)
-  SELECT id, round(cx, 3) AS x, round(cy, 3) AS y FROM m"""
+  m AS (SELECT id, sum(x * a) / sum(a) AS cx, sum(y * a) / sum(a) AS cy FROM t GROUP BY id),
+  n AS (SELECT m.id, cx, cy, j.h AS z, round(sqrt(power(greatest(x0 - cx, 0, cx - x0 - w), 2) + power(greatest(y0 - cy, 0, cy - y0 - j.h), 2)), 6) AS far FROM m JOIN j ON j.building_root_id = m.id)
+  SELECT id, round(any_value(cx), 3) AS x, round(any_value(cy), 3) AS y, min(z) AS z FROM (SELECT *, min(far) OVER (PARTITION BY id) AS least FROM n) WHERE far = least GROUP BY id"""
 )
 def city_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = citydb.centroids(citydb.building_surfaces(V.surfaces(spark, sf_dir)), "building_root_id")
-    return rounded(c.select("id", "x", "y"), 3)
+    return rounded(c.select("id", "x", "y", "z"), 3)
+
+
+@query(S + ", c AS (SELECT building_class, surface_class, min(surface_id) AS first FROM j GROUP BY 1, 2), f AS (SELECT surface_class, min(first) AS first FROM c GROUP BY 1) SELECT surface_class AS classname, CAST(row_number() OVER (ORDER BY first, surface_class) AS INTEGER) AS material_index FROM f WHERE surface_class IS NOT NULL")
+def city_class_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A material for each class of surfaces, by first use."""
+    return citydb.class_materials(citydb.building_surfaces(V.surfaces(spark, sf_dir)), "surface_class", "surface_id")
 
 
 # --- hierarchies
 
-B = """WITH b AS (SELECT id, building_parent_id AS parent_id, objectclass_id FROM building
-  QUALIFY row_number() OVER (PARTITION BY id ORDER BY last_modified_at DESC NULLS LAST, loaded_at DESC NULLS LAST) = 1),
-c AS (SELECT id, min(gmlid) AS gmlid FROM cityobject GROUP BY 1),
-i AS (SELECT CAST(row_number() OVER (ORDER BY b.id) - 1 AS INTEGER) AS position, b.id, b.parent_id, c.gmlid, o.classname FROM b JOIN c ON c.id = b.id LEFT JOIN objectclass o ON o.id = b.objectclass_id)"""
+B = S + """, p AS (SELECT 0 AS kind, s.id + 2000000000 AS id, s.building_id AS parent_id, concat('SRF_', s.id) AS gmlid, s.class_id AS objectclass_id FROM ts s JOIN v_building b ON b.id = s.building_id
+  UNION ALL SELECT 1, id, building_parent_id, gmlid, objectclass_id FROM v_building),
+i AS (SELECT CAST(row_number() OVER (ORDER BY kind, p.id) - 1 AS INTEGER) AS position, p.id, parent_id, gmlid, o.classname FROM p LEFT JOIN objectclass o ON o.id = p.objectclass_id)"""
+
+
+def _hierarchy_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    t = V.surfaces(spark, sf_dir)
+    return t | {"thematic_surface": t["thematic_surface"].withColumn("id", F.col("id") + 2_000_000_000)}
+
+
+@query(B + " SELECT id, parent_id, gmlid, objectclass_id FROM p WHERE kind = 0")
+def bth_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return citydb.hierarchy_surfaces(_hierarchy_tables(spark, sf_dir))
 
 
 def _instances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = read(spark, sf_dir, "building").select("id", "last_modified_at", "loaded_at", "building_parent_id", "building_root_id", "objectclass_id")
-    b = hierarchy.latest(raw, "id", "last_modified_at", "loaded_at")
-    c = read(spark, sf_dir, "cityobject").groupBy("id").agg(F.min("gmlid").alias("gmlid"))
-    none = b.limit(0).select("id", F.col("id").alias("building_id"), "objectclass_id")
-    return citydb.hierarchy_instances(b, c, none, read(spark, sf_dir, "objectclass"))
+    t = _hierarchy_tables(spark, sf_dir)
+    return citydb.hierarchy_instances(t["building"], t["cityobject"], citydb.hierarchy_surfaces(t), t["objectclass"]).withColumn("position", F.col("position").cast("int"))
 
 
 @query(B + " SELECT * FROM i")
 def bth_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surfaces, then buildings and parts, with their positions."""
     return _instances(spark, sf_dir)
 
 
 @query(B + " SELECT a.position, p.position AS parent_position FROM i a JOIN i p ON p.id = a.parent_id")
 def bth_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return citydb.hierarchy_parents(_instances(spark, sf_dir))
+    return citydb.hierarchy_parents(stored(_instances(spark, sf_dir)))
+
+
+@query("SELECT DISTINCT c.id, c.gmlid, b.building_root_id FROM building b JOIN cityobject c ON c.id = b.id WHERE c.gmlid IS NOT NULL")
+def objects_reattached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a query found for buildings, matched back to the objects by gmlid."""
+    c = read(spark, sf_dir, "cityobject")
+    b = read(spark, sf_dir, "building").select("id", "building_root_id")
+    found = b.join(c.select("id", "gmlid"), "id").select("gmlid", "building_root_id", F.col("id").alias("own"))
+    return citydb.reattach(c.select("id", "gmlid").distinct(), found.distinct()).filter("id = own").select("id", "gmlid", "building_root_id")
 
 
 # --- lineage
@@ -239,18 +290,55 @@ def contract_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.contract(v, lineage.distinct_edges(e))[0].select("globalid", "start_date", "end_date")
 
 
-@query()
+#: The years that orders of the test tables may have.
+YEARS = range(1990, 2004)
+
+
+def _collapses() -> str:
+    """The collapses as a chain of common table expressions, a few for each of YEARS: fN and gN are the graph after N years' fusions, vN and wN after N years' subdivisions."""
+    # read several times: worked out once
+    out = CONTRACT.replace(" c AS (", " c AS MATERIALIZED (").replace("j AS (SELECT old", "j AS MATERIALIZED (SELECT old").replace("ed AS (", "ed AS MATERIALIZED (").replace("cv AS (", "cv AS MATERIALIZED (") + """,
+ke AS (SELECT ed.edge_id, coalesce(a.new, ed.src) AS src, coalesce(b.new, ed.dst) AS dst, ed.tag FROM ed LEFT JOIN c ON c.src = ed.src AND c.dst = ed.dst LEFT JOIN j a ON a.old = ed.src LEFT JOIN j b ON b.old = ed.dst WHERE c.src IS NULL),
+f0 AS MATERIALIZED (SELECT * FROM cv), g0 AS MATERIALIZED (SELECT min(struct_pack(edge_id := edge_id, tag := tag)).tag AS tag, min(edge_id) AS edge_id, src, dst FROM ke GROUP BY src, dst)"""
+    years = list(enumerate(YEARS))
+    for k, year in years:
+        out += f""",
+fh{k} AS MATERIALIZED (SELECT e.dst, min(a.start_date) AS s0 FROM g{k} e JOIN f{k} d ON d.globalid = e.dst AND d.ts = {year} JOIN f{k} a ON a.globalid = e.src GROUP BY e.dst
+  HAVING count(*) >= 2 AND bool_and(tag = 'fused') AND min(a.start_date) = max(a.start_date) AND min(a.end_date) = max(a.end_date)),
+fx{k} AS MATERIALIZED (SELECT DISTINCT e.src AS globalid FROM g{k} e JOIN fh{k} h ON h.dst = e.dst),
+f{k + 1} AS MATERIALIZED (SELECT v.globalid, v.ts, coalesce(h.s0, v.start_date) AS start_date, v.end_date FROM f{k} v LEFT JOIN fh{k} h ON h.dst = v.globalid WHERE v.globalid NOT IN (SELECT globalid FROM fx{k})),
+g{k + 1} AS MATERIALIZED (SELECT * FROM g{k} WHERE src NOT IN (SELECT globalid FROM fx{k}) AND dst NOT IN (SELECT globalid FROM fx{k}))"""
+    n = len(years)
+    out += f", v0 AS MATERIALIZED (SELECT * FROM f{n}), w0 AS MATERIALIZED (SELECT * FROM g{n})"
+    for k, year in years:
+        out += f""",
+sp{k} AS (SELECT e.src, v.start_date AS own FROM w{k} e JOIN v{k} v ON v.globalid = e.src AND v.ts = {year} JOIN v{k} d ON d.globalid = e.dst GROUP BY 1, 2
+  HAVING count(*) >= 2 AND bool_and(tag = 'subdivided') AND min(d.start_date) = max(d.start_date) AND min(d.end_date) = max(d.end_date)),
+up{k} AS (SELECT dst, count(*) AS n, min(src) AS ancestor, bool_and(tag = 'modified') AS modified FROM w{k} GROUP BY 1),
+sx{k} AS MATERIALIZED (SELECT s.src, own, ancestor FROM sp{k} s LEFT JOIN up{k} u ON u.dst = s.src WHERE n IS NULL OR n = 1 AND modified),
+hd{k} AS (SELECT e.dst, min(own) AS own FROM w{k} e JOIN sx{k} x ON x.src = e.src GROUP BY 1),
+v{k + 1} AS MATERIALIZED (SELECT v.globalid, v.ts, coalesce(h.own, v.start_date) AS start_date, v.end_date FROM v{k} v LEFT JOIN hd{k} h ON h.dst = v.globalid WHERE v.globalid NOT IN (SELECT src FROM sx{k})),
+w{k + 1} AS MATERIALIZED (SELECT min(struct_pack(edge_id := edge_id, tag := tag)).tag AS tag, min(edge_id) AS edge_id, src, dst FROM (
+  SELECT tag, edge_id, src, dst FROM w{k} WHERE src NOT IN (SELECT src FROM sx{k}) AND dst NOT IN (SELECT src FROM sx{k})
+  UNION ALL SELECT 'modified', edge_id, x.ancestor, e.dst FROM w{k} e JOIN sx{k} x ON x.src = e.src WHERE x.ancestor IS NOT NULL) GROUP BY src, dst)"""
+    return out
+
+
+COLLAPSES = _collapses()
+
+
+@query(COLLAPSES + f" SELECT globalid, start_date, end_date FROM f{len(YEARS)}")
 def fusion_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, e = graph(spark, sf_dir)
     return lineage.collapse_fusions(*lineage.contract(v, lineage.distinct_edges(e)))[0].select("globalid", "start_date", "end_date")
 
 
-@query()
+@query(COLLAPSES + f" SELECT globalid, start_date, end_date FROM v{len(YEARS)}")
 def subdivision_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.simplify(*graph(spark, sf_dir))[0].select("globalid", "start_date", "end_date")
 
 
-@query()
+@query(COLLAPSES + f" SELECT src, dst, tag AS tags FROM w{len(YEARS)}")
 def simplified_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.simplify(*graph(spark, sf_dir))[1].select("src", "dst", F.array_join(F.array_sort("tags"), ",").alias("tags"))
 
@@ -292,7 +380,8 @@ def as_of_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(GRAPH + " SELECT DISTINCT ts FROM v")
 def time_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph(spark, sf_dir)[0].select("ts").distinct()
+    v, _ = graph(spark, sf_dir)
+    return spark.createDataFrame([(t,) for t in lineage.stamps(v)], "ts int")
 
 
 @query(GRAPH + " SELECT v.globalid, o.o_orderkey AS id FROM v JOIN orders o ON o.o_custkey = CAST(split_part(v.globalid, '::', 2) AS BIGINT) AND year(o.o_orderdate) = v.ts")

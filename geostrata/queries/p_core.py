@@ -198,7 +198,7 @@ SQL["p1_wide"] = (
     + " FROM (SELECT DISTINCT guid FROM ifc_property WHERE guid IS NOT NULL) e LEFT JOIN cells c ON c.guid = e.guid GROUP BY 1"
 )
 
-_NESTED = r"""
+NESTED = r"""
 WITH RECURSIVE j AS (
   SELECT tileset_id AS record_id, CASE WHEN json_valid(tileset_json) THEN CASE WHEN json_type(tileset_json) = 'VARCHAR' THEN tileset_json::JSON ->> '$' ELSE tileset_json END END AS t FROM tileset),
 ok AS (SELECT record_id, t::JSON AS t FROM j WHERE t IS NOT NULL AND json_valid(t)),
@@ -219,7 +219,7 @@ sets AS (
 pset AS (SELECT *, k::VARCHAR AS node_path FROM sets WHERE json_type(s) = 'ARRAY'),
 prop AS (SELECT *, k::VARCHAR || '.' || (m - 1)::VARCHAR AS node_path FROM (SELECT record_id, k, unnest(range(len(e))) AS m, unnest(e) AS e FROM (SELECT record_id, k, json_extract(s, '$[*]') AS e FROM pset)) WHERE m > 0 AND json_type(e) = 'ARRAY')
 """
-SQL["p4_found"] = _NESTED + r"""
+SQL["p4_found"] = NESTED + r"""
 SELECT DISTINCT * FROM (
 SELECT 'tile' AS rec_kind, record_id, node_path, parent_path FROM tiles
 UNION ALL
@@ -230,14 +230,14 @@ UNION ALL
 SELECT 'prop', record_id, node_path, k::VARCHAR FROM prop)
 """
 _SCALAR = "CASE WHEN json_type({0}) IN ('OBJECT', 'ARRAY', 'NULL') THEN NULL ELSE {0} ->> '$' END"
-SQL["p4_tiles"] = _NESTED + rf"""
+SQL["p4_tiles"] = NESTED + rf"""
 SELECT record_id, node_path, parent_path, depth, TRY_CAST({_SCALAR.format("json_extract(t, '$.geometricError')")} AS DOUBLE) AS geometric_error, {_SCALAR.format("json_extract(t, '$.refine')")} AS refine,
   coalesce({_SCALAR.format("json_extract(t, '$.content.uri')")}, {_SCALAR.format("json_extract(t, '$.content.url')")}) AS content_uri
 FROM tiles
 """
-SQL["p4_boxes"] = _NESTED + " SELECT record_id, node_path, " + ", ".join(f"CAST(json_extract(t, '$.boundingVolume.box[{i}]') AS DOUBLE) AS {n}" for i, n in enumerate(["cx", "cy", "cz", "ux", "uy", "uz", "vx", "vy", "vz", "wx", "wy", "wz"])) + " FROM boxes"
-SQL["p4_psets"] = _NESTED + " SELECT record_id, node_path, CASE WHEN json_type(json_extract(s, '$[0]')) = 'VARCHAR' THEN json_extract(s, '$[0]') ->> '$' END AS pset_name FROM pset"
-SQL["p4_props"] = _NESTED + rf"""
+SQL["p4_boxes"] = NESTED + " SELECT record_id, node_path, " + ", ".join(f"CAST(json_extract(t, '$.boundingVolume.box[{i}]') AS DOUBLE) AS {n}" for i, n in enumerate(["cx", "cy", "cz", "ux", "uy", "uz", "vx", "vy", "vz", "wx", "wy", "wz"])) + " FROM boxes"
+SQL["p4_psets"] = NESTED + " SELECT record_id, node_path, CASE WHEN json_type(json_extract(s, '$[0]')) = 'VARCHAR' THEN json_extract(s, '$[0]') ->> '$' END AS pset_name FROM pset"
+SQL["p4_props"] = NESTED + rf"""
 SELECT record_id, node_path, k::VARCHAR AS parent_path, {_SCALAR.format("json_extract(e, '$[0]')")} AS prop_name, {_SCALAR.format("json_extract(e, '$[1]')")} AS prop_value,
   CASE json_type(json_extract(e, '$[1]')) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' WHEN 'DOUBLE' THEN 'number' WHEN 'BIGINT' THEN 'number' WHEN 'UBIGINT' THEN 'number' END AS value_kind
 FROM prop

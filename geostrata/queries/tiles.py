@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geostrata.functions import geometry as G
-from geostrata.operators import grouping, kdtree
+from geostrata.operators import grouping, hierarchy, ifc_model, kdtree, tiles
+from geostrata.plans import pipelines as P
 from geostrata.queries import views as V
-from geostrata.runtime import read, row_numbers
+from geostrata.queries.p_core import NESTED
+from geostrata.runtime import read, row_numbers, stored
 
 QUERIES = {}
 SQL = {}
@@ -106,26 +108,57 @@ def tileset_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, 4)
 
 
-@query(V.ctes("v_points") + " SELECT ord, ord AS group_id FROM v_points")
+@query(_kd_sql(1_000_000_000) + " SELECT ord, tile FROM leaf")
+def kd_tree_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One split: a set below the maximum is still halved once."""
+    return _tiled(spark, sf_dir, 1_000_000_000).select("ord", "tile")
+
+
+@query(W_SOUP + " SELECT vec_id AS ord, CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INTEGER) AS group_id FROM embeddings")
 def group_per_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.view(spark, sf_dir, "v_points").select("ord", F.col("ord").alias("group_id"))
+    f = V.soup(spark, sf_dir).withColumn("ord", F.col("id"))
+    return tiles.partitioned(f, as_lods=True).select("ord", F.col("tile").alias("group_id"))
 
 
-def _ifc(column: str, rest: str | None) -> tuple:
-    name = f"coalesce({column}, '{rest}')" if rest else column
-    sql = f"SELECT object_id, CAST(dense_rank() OVER (ORDER BY {name} NULLS FIRST) - 1 AS INTEGER) AS group_id FROM ifcobjectgeom"
+def _ifc(grouped_by: str, name: str) -> tuple:
+    sql = f"SELECT object_id, CAST(dense_rank() OVER (ORDER BY first) - 1 AS INTEGER) AS group_id FROM (SELECT object_id, min(object_id) OVER (PARTITION BY {name}) AS first FROM ifcobjectgeom)"
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        o = read(spark, sf_dir, "ifcobjectgeom").select("object_id", (F.coalesce(column, F.lit(rest)) if rest else F.col(column)).alias("key"))
-        # the keys are numbered, not the objects
-        keys = row_numbers(o.select("key").distinct(), [F.col("key").asc_nulls_first()], "group_id").withColumnRenamed("key", "own")
-        return o.join(keys, F.col("key").eqNullSafe(F.col("own"))).select("object_id", F.col("group_id").cast("int").alias("group_id"))
+        o = read(spark, sf_dir, "ifcobjectgeom")
+        one = F.array(F.struct(*[G.point(i, j, 0).alias(k) for k, (i, j) in zip("abc", ((0, 0), (1, 0), (0, 1)), strict=True)]))
+        f = o.select(F.col("object_id").alias("ord"), ifc_model.group_key(o, grouped_by).alias("key_of"), one.alias("tri"))
+        return tiles.partitioned(f, group="key_of").select(F.col("ord").alias("object_id"), F.col("tile").alias("group_id"))
 
     return run, sql
 
 
-for _name, _column, _rest in (("group_by_class", "classe", None), ("ifc_by_group", "ifc_group", "None"), ("ifc_by_space", "ifc_space", "None")):
-    QUERIES[_name], SQL[_name] = _ifc(_column, _rest)
+for _name, _by, _text in (
+    ("group_by_class", "IfcTypeObject", "coalesce(classe, 'None')"),
+    ("ifc_by_group", "IfcGroup", "coalesce(ifc_group, 'None')"),
+    ("ifc_by_space", "IfcSpace", "coalesce(CASE WHEN classe = 'IfcSpace' THEN coalesce(object_name, guid) ELSE ifc_space END, 'None')"),
+):
+    QUERIES[_name], SQL[_name] = _ifc(_by, _text)
+
+
+@query(r"""WITH p AS (SELECT guid, pset_name, min(row_no) AS first, '[' || coalesce(CAST(to_json(pset_name) AS VARCHAR), 'null') || ',' || string_agg('[' || CAST(to_json(prop_name) AS VARCHAR) || ',' || coalesce(CAST(to_json(prop_value) AS VARCHAR), 'null') || ']', ',' ORDER BY row_no) || ']' AS s
+  FROM ifc_property WHERE guid IS NOT NULL AND prop_name IS NOT NULL GROUP BY 1, 2) SELECT guid, '[' || string_agg(s, ',' ORDER BY first) || ']' AS properties FROM p GROUP BY 1""")
+def ifc_property_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The export rows as property sets of each object."""
+    return ifc_model.property_sets(read(spark, sf_dir, "ifc_property"))
+
+
+ROW_LINKS = "WITH RECURSIVE b AS (SELECT id, building_parent_id AS parent FROM building WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY last_modified_at DESC NULLS LAST, loaded_at DESC NULLS LAST, building_parent_id DESC NULLS LAST, building_root_id DESC NULLS LAST) = 1)"
+
+
+@query(
+    ROW_LINKS
+    + """, w AS (SELECT id, id AS pos, 0 AS step, [id] AS seen, false AS closed FROM b UNION ALL SELECT w.id, p.id, step + 1, list_append(seen, p.id), list_contains(seen, p.id) FROM w JOIN b o ON o.id = w.pos JOIN b p ON p.id = o.parent WHERE NOT closed)
+  SELECT id, CAST(step AS INTEGER) AS step, pos AS ancestor_id FROM w WHERE step > 0 AND id NOT IN (SELECT id FROM w WHERE closed)"""
+)
+def ancestor_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ancestor of every building part, from the next one up."""
+    return ifc_model.ancestor_chain(hierarchy.buildings(read(spark, sf_dir, "building")))
+
 
 # --- zones and cells
 
@@ -193,12 +226,23 @@ def vertical_lods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.withColumn("depth", F.col("depth").cast("int"))
 
 
-@query("SELECT 0 AS source, tileset_id, 1 AS parent FROM tileset WHERE tileset_id % 2 = 0 UNION ALL SELECT 1, tileset_id, 1 FROM tileset WHERE tileset_id % 2 = 1")
+@query(NESTED + " SELECT record_id, node_path, '0.' || (row_number() OVER (ORDER BY record_id, CAST(split_part(node_path, '.', 2) AS INTEGER)) - 1) AS merged_path FROM tiles WHERE depth = 1")
 def merge_tilesets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two collections' root children below one root."""
-    t = read(spark, sf_dir, "tileset")
-    part = lambda k: t.filter(F.col("tileset_id") % 2 == k).select(F.lit(k).alias("source"), "tileset_id", F.lit(1).alias("parent"))
-    return part(0).unionByName(part(1))
+    """The children of all tilesets' roots below one root."""
+    return tiles.merged_children(read(spark, sf_dir, "tileset"))
+
+
+@query(
+    V.ctes("v_foot", "v_zones")
+    + """, m AS (SELECT f.id, f.z, f.height, min(z.zone_id) AS zone_id FROM v_foot f JOIN v_zones z ON abs(CAST(round((gx + w / 2) * 10000) AS BIGINT) - CAST(round(cx * 10000) AS BIGINT)) + abs(CAST(round((gy + d / 2) * 10000) AS BIGINT) - CAST(round(cy * 10000) AS BIGINT)) < 15000000 GROUP BY 1, 2, 3)
+  SELECT zone_id, count(*) * 0 + 10 AS n_tri, min(z) AS low, round(avg(z + height), 6) AS high FROM m GROUP BY 1"""
+)
+def loa_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A block for each zone with members: from their lowest point to the mean of their triangles' tops."""
+    f = V.footprints(spark, sf_dir).withColumn("tri", G.walls(F.col("ring"), F.col("height"))).withColumn("ord", F.col("id"))
+    zones = V.zones(spark, sf_dir)
+    b = tiles.loa(stored(tiles.partitioned(stored(f.select("ord", "id", "tri")), zones)).filter("zone_id is not null"), zones)
+    return rounded(b.select(F.col("ord").alias("zone_id"), F.size("tri").cast("bigint").alias("n_tri"), G.min_z(F.col("tri")).alias("low"), F.array_max(F.transform(G.corners(F.col("tri")), lambda p: p["z"])).alias("high")))
 
 
 # --- transforms
@@ -337,8 +381,7 @@ o AS (SELECT q.* FROM q JOIN e ON e.feature_id = q.feature_id JOIN q AS h ON h.f
   SELECT feature_id, count(*) AS n_points, round(sum((x - 2300000) * (ny - 6100000) - (nx - 2300000) * (y - 6100000)) / 2, 1) AS area FROM s GROUP BY 1"""
 )
 def ring_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near_origin = F.transform(G.open_ring(F.col("ring")), lambda p: G.point(p["x"] - 2300000, p["y"] - 6100000, p["z"]))
-    r = _rings(spark, sf_dir).select("feature_id", near_origin.alias("ring"))
+    r = _rings(spark, sf_dir).select("feature_id", G.open_ring(F.col("ring")).alias("ring"))
     return r.select("feature_id", F.size("ring").cast("bigint").alias("n_points"), F.round(G.signed_area(F.col("ring")), 1).alias("area"))
 
 
@@ -349,9 +392,7 @@ def ring_area(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT s.feature_id, CASE WHEN a.area > 0 THEN a.n - 1 - k ELSE k END AS pos, x, y, z FROM s JOIN a ON a.feature_id = s.feature_id"""
 )
 def ring_clockwise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shift = lambda d: F.transform("ring", lambda p: G.point(p["x"] + d * 2300000, p["y"] + d * 6100000, p["z"]))
-    r = _rings(spark, sf_dir).select("feature_id", G.open_ring(F.col("ring")).alias("ring"))
-    r = r.withColumn("ring", F.when(G.signed_area(shift(-1)) > 0, F.reverse("ring")).otherwise(F.col("ring")))
+    r = _rings(spark, sf_dir).select("feature_id", G.clockwise(F.col("ring")).alias("ring"))
     return r.select("feature_id", F.posexplode("ring").alias("pos", "p")).select("feature_id", F.col("pos").cast("bigint").alias("pos"), "p.*")
 
 
@@ -386,8 +427,7 @@ def resolve_z(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT feature_id FROM geojson WHERE coalesce(TRY_CAST(properties ->> '$.PREC_ALTI' AS DOUBLE), 0) < 9999""")
 def prec_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prec = F.coalesce(_prop("PREC_ALTI").try_cast("double"), F.lit(0.0))
-    return read(spark, sf_dir, "geojson").filter(prec < 9999).select("feature_id")
+    return P.precise(read(spark, sf_dir, "geojson"), "PREC_ALTI").select("feature_id")
 
 
 @query(

@@ -52,8 +52,8 @@ def geojson(spark: SparkSession, paths: list[str]) -> DataFrame:
     return rows.select((F.col("file_no").cast("bigint") * 1_000_000_000 + F.col("pos")).alias("ord"), F.coalesce(own, F.concat(F.lit("feature_"), k.cast("string"))).alias("id"), "properties", "geom_type", "coordinates")
 
 
-def rings(geom_type, coordinates):
-    """array of rings (arrays of points) of a polygon, of a multi-polygon's first part, or of a line as one ring; other types give null."""
+def rings(geom_type, coordinates, strict: bool = False):
+    """array of rings (arrays of points) of a polygon, of a multi-polygon's first part, or of a line as one ring; a missing type gives null, other types are an error when strict, else null."""
     pts = lambda r: F.transform(r, lambda a: G.point(a[0], a[1], F.get(a, F.lit(2))))
     three = F.from_json(coordinates, "array<array<array<double>>>")
     return (
@@ -61,6 +61,7 @@ def rings(geom_type, coordinates):
         .when(geom_type == "MultiPolygon", F.transform(F.try_element_at(F.from_json(coordinates, "array<array<array<array<double>>>>"), F.lit(1)), pts))
         .when(geom_type == "LineString", F.array(pts(F.from_json(coordinates, "array<array<double>>"))))
         .when(geom_type == "MultiLineString", F.slice(F.transform(three, pts), 1, 1))
+        .when(F.lit(strict) & geom_type.isNotNull(), F.raise_error(F.concat(F.lit("no geometry of type "), geom_type)))
     )
 
 
@@ -71,78 +72,110 @@ def zones(spark: SparkSession, paths: list[str]) -> DataFrame:
     return g.select(F.col("ord").alias("zone_id"), F.transform(ext, lambda p: F.struct(p["x"], p["y"])).alias("ring")).filter("size(ring) >= 3")
 
 
-def _materials(path: str) -> dict[str, list[float]]:
-    """Diffuse color and opacity by name; a missing file has none."""
-    out: dict[str, list[float]] = {}
-    name = None
-    if os.path.exists(path):
-        for line in Path(path).read_text(errors="replace").splitlines():
-            w = line.split()
-            if not w:
-                continue
-            if w[0] == "newmtl":
-                name = " ".join(w[1:])
-                out[name] = [0.8, 0.8, 0.8, 1.0]
-            elif name and w[0] == "Kd":
-                out[name][:3] = [float(x) for x in w[1:4]]
-            elif name and w[0] in ("d", "Tr"):
-                out[name][3] = float(w[1]) if w[0] == "d" else 1 - float(w[1])
-    return out
-
-
-def obj(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[dict]]:
-    """(ord, id, tri, uv, material_index) of each material of each mesh file, and the palette; index 0 is the default.
-
-    Faces are fans of triangles; v is turned over. Files without faces give nothing. A file is parsed whole in one
-    task, as its faces refer to vertices anywhere in it.
+def _materials(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """(folder, lib, material, rgba, picture) of the material files in folders, read by tasks; opacity from d or Tr, picture from map_Kd."""
+    libs = [f"{d}/*.mtl" for d in folders if any(Path(d).glob("*.mtl"))]
+    schema = "folder string, lib string, material string, rgba array<double>, picture string"
+    if not libs:
+        return spark.createDataFrame([], schema)
+
+    def parse(batches):
+        import pandas as pd
+
+        for t in batches:
+            rows = []
+            for text, path in zip(t["text"], t["path"], strict=True):
+                folder, _, lib = path.rpartition("/")
+                name, own = None, {}
+                for line in text.splitlines():
+                    w = line.split()
+                    if not w:
+                        continue
+                    if w[0] == "newmtl":
+                        name = " ".join(w[1:])
+                        own[name] = [[0.8, 0.8, 0.8, 1.0], None]
+                    elif name and w[0] == "Kd":
+                        own[name][0][:3] = [float(x) for x in w[1:4]]
+                    elif name and w[0] in ("d", "Tr"):
+                        own[name][0][3] = float(w[1]) if w[0] == "d" else 1 - float(w[1])
+                    elif name and w[0] == "map_Kd":
+                        own[name][1] = os.path.normpath(folder + "/" + w[-1].replace("\\", "/"))
+                rows += [(folder, lib, n, rgba, picture) for n, (rgba, picture) in own.items()]
+            yield pd.DataFrame(rows, columns=["folder", "lib", "material", "rgba", "picture"])
+
+    t = spark.read.text(libs, wholetext=True).select(F.col("value").alias("text"), F.regexp_replace(F.url_decode(F.col("_metadata.file_path")), "^file:/*", "/").alias("path"))
+    return t.mapInPandas(parse, schema)
+
+
+def pictures(spark: SparkSession, features: DataFrame) -> DataFrame:
+    """(texture, data) of the picture files that features name in 'texture', read by tasks; missing files have none."""
+
+    def read(batches):
+        import pandas as pd
+
+        for t in batches:
+            own = [p for p in t["texture"] if os.path.isfile(p)]
+            yield pd.DataFrame({"texture": own, "data": [Path(p).read_bytes() for p in own]})
+
+    return features.filter("texture is not null").select("texture").distinct().mapInPandas(read, "texture string, data binary")
+
+
+def obj(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[dict], DataFrame]:
+    """(ord, id, tri, uv, colors, rgba, texture) of each material of each mesh file, the palette of the default material, and the pictures.
+
+    Faces are fans of triangles; v is turned over; colors are those of the vertices where all have one. Files without faces
+    give nothing. A file is parsed whole in one task, as its faces refer to vertices anywhere in it. Normals come from the faces.
     """
     files = expand(paths, OBJ)
     palette: list[dict] = [{"rgba": [1.0, 1.0, 1.0, 1.0], "metallic": 0.0, "roughness": 1.0, "double_sided": True}]
-    index: dict[tuple[int, str], int] = {}
-    for k, f in enumerate(files):
-        libs = [line.split(None, 1)[1].strip() for line in Path(f).read_text(errors="replace").splitlines() if line.startswith("mtllib ")]
-        own = {n: c for lib in libs for n, c in _materials(os.path.join(os.path.dirname(f), lib)).items()}
-        for n, rgba in own.items():
-            index[k, n] = len(palette)
-            palette.append({"rgba": rgba, "metallic": 0.0, "roughness": 1.0, "double_sided": True})
-    p3, p2 = "struct<x:double,y:double,z:double>", "struct<u:double,v:double>"
-    schema = f"file_no int, part int, id string, tri array<struct<a:{p3},b:{p3},c:{p3}>>, uv array<struct<a:{p2},b:{p2},c:{p2}>>"
+    p3, p2, c3 = "struct<x:double,y:double,z:double>", "struct<u:double,v:double>", "struct<r:double,g:double,b:double>"
+    schema = f"file_no int, part int, id string, folder string, libs array<string>, tri array<struct<a:{p3},b:{p3},c:{p3}>>, uv array<struct<a:{p2},b:{p2},c:{p2}>>, colors array<struct<a:{c3},b:{c3},c:{c3}>>"
 
     def parse(batches):
         import pandas as pd
 
+        def named(rows, keys):
+            return [dict(zip("abc", (dict(zip(keys, p, strict=True)) for p in q), strict=True)) for q in rows]
+
         for t in batches:
             rows = []
-            for no, text, base in zip(t["file_no"], t["text"], t["base"], strict=True):
-                v, vt, parts, name = [], [], {}, os.path.splitext(base)[0]
+            for no, text, base, path in zip(t["file_no"], t["text"], t["base"], t["path"], strict=True):
+                v, vt, colors, parts, libs, name = [], [], [], {}, [], os.path.splitext(base)[0]
                 for line in text.splitlines():
                     w = line.split()
                     if not w:
                         continue
                     if w[0] == "v":
                         v.append(tuple(map(float, w[1:4])))
+                        colors.append(tuple(map(float, w[4:7])) if len(w) >= 7 else None)
                     elif w[0] == "vt":
                         vt.append((float(w[1]), 1 - float(w[2]) if len(w) > 2 else 1.0))
+                    elif w[0] == "mtllib":
+                        libs.append(line.split(None, 1)[1].strip())
                     elif w[0] == "usemtl":
                         name = " ".join(w[1:])
                     elif w[0] == "f":
                         c = [x.split("/") for x in w[1:]]
                         at = [int(x[0]) - 1 if int(x[0]) > 0 else int(x[0]) for x in c]
                         uv = [int(x[1]) - 1 if int(x[1]) > 0 else int(x[1]) for x in c if len(x) > 1 and x[1]]
-                        tris, uvs = parts.setdefault(name, ([], []))
+                        tris, uvs, shades = parts.setdefault(name, ([], [], []))
                         for i in range(1, len(at) - 1):
                             tris.append([v[at[j]] for j in (0, i, i + 1)])
+                            shades.append([colors[at[j]] for j in (0, i, i + 1)])
                             uvs.append([vt[uv[j]] for j in (0, i, i + 1)] if len(uv) == len(at) else None)
-                for k, (n, (tris, uvs)) in enumerate(parts.items()):
-                    tri = [dict(zip("abc", ({"x": p[0], "y": p[1], "z": p[2]} for p in q), strict=True)) for q in tris]
+                for k, (n, (tris, uvs, shades)) in enumerate(parts.items()):
                     full = uvs and all(u is not None for u in uvs)
-                    rows.append((no, k, n, tri, [dict(zip("abc", ({"u": p[0], "v": p[1]} for p in q), strict=True)) for q in uvs] if full else None))
-            yield pd.DataFrame(rows, columns=["file_no", "part", "id", "tri", "uv"])
+                    shaded = all(x is not None for q in shades for x in q)
+                    rows.append((no, k, n, path.rpartition("/")[0], libs, named(tris, "xyz"), named(uvs, "uv") if full else None, named(shades, "rgb") if shaded else None))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ("file_no", "part", "id", "folder", "libs", "tri", "uv", "colors")])
 
-    raw = _texts(spark, files).select("file_no", "text", "base").mapInPandas(parse, schema)
-    known = spark.createDataFrame([(k, n, i) for (k, n), i in index.items()] or [], "file_no int, id string, material_index int")
-    out = raw.join(F.broadcast(known), ["file_no", "id"], "left")
-    return out.select((F.col("file_no").cast("bigint") * 1_000_000 + F.col("part")).alias("ord"), "id", "tri", "uv", F.coalesce("material_index", F.lit(0)).alias("material_index")), palette
+    raw = _texts(spark, files).select("file_no", "text", "base", "path").mapInPandas(parse, schema)
+    m = _materials(spark, sorted({os.path.dirname(os.path.abspath(f)) for f in files})).withColumnsRenamed({"folder": "own_folder", "material": "own_id"})
+    # one row a material; of a name that several libraries of a file have the last in text order counts
+    met = raw.select("file_no", "part", "id", "folder", F.explode("libs").alias("lib")).join(m.withColumnRenamed("lib", "own_lib"), (F.col("folder") == F.col("own_folder")) & (F.col("lib") == F.col("own_lib")) & (F.col("id") == F.col("own_id")))
+    met = met.groupBy("file_no", "part").agg(F.max(F.struct("lib", "rgba", "picture")).alias("m"))
+    out = raw.join(met, ["file_no", "part"], "left").select((F.col("file_no").cast("bigint") * 1_000_000 + F.col("part")).alias("ord"), "id", "tri", "uv", "colors", F.col("m.rgba").alias("rgba"), F.when(F.col("uv").isNotNull(), F.col("m.picture")).alias("texture"))
+    return out, palette, pictures(spark, out)
 
 
 def lineage_graph(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -160,9 +193,13 @@ def lineage_graph(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, Dat
 
 
 def tilesets(spark: SparkSession, folders: list[str]) -> DataFrame:
-    """(tileset_id, dir_name, tileset_json) of folders with a tileset.json, in the order given; other paths are left out."""
-    own = [f for f in folders if os.path.isdir(f)]
-    return spark.createDataFrame([(i, os.path.abspath(f), Path(f, "tileset.json").read_text()) for i, f in enumerate(own)], "tileset_id long, dir_name string, tileset_json string")
+    """(tileset_id, dir_name, tileset_json) of folders with a tileset.json, in the order given, read by tasks; other paths are left out."""
+    own = [os.path.abspath(f) for f in folders if os.path.isfile(f"{f}/tileset.json")]
+    names = spark.createDataFrame([(i, d, f"{d}/tileset.json") for i, d in enumerate(own)], "tileset_id long, dir_name string, path string")
+    if not own:
+        return names.select("tileset_id", "dir_name", F.col("path").alias("tileset_json"))
+    t = spark.read.text([f"{d}/tileset.json" for d in own], wholetext=True).select(F.col("value").alias("tileset_json"), F.regexp_replace(F.url_decode(F.col("_metadata.file_path")), "^file:/*", "/").alias("path"))
+    return names.join(t, "path").select("tileset_id", "dir_name", "tileset_json")
 
 
 # The default colors.
@@ -171,8 +208,11 @@ DEFAULT_COLORS = {"default_color": [1, 1, 1], "min_color": [0, 1, 0], "max_color
 
 def colors(path: str | None = None) -> dict:
     """A color file over the defaults; a missing file is the defaults."""
-    own = json.loads(Path(path).read_text()) if path and os.path.exists(path) else {}
-    return DEFAULT_COLORS | own
+    return DEFAULT_COLORS | own_colors(path)
+
+
+def own_colors(path: str | None) -> dict:
+    return json.loads(Path(path).read_text()) if path and os.path.exists(path) else {}
 
 
 def rgba(color) -> list[float]:
@@ -189,18 +229,32 @@ def ramp(config: dict) -> list[list[float]]:
     return [[(b - a) * i / n + a for a, b in zip(low, high, strict=True)] for i in range(n)]
 
 
+# What a connection file must name.
 DB_KEYS = ("PG_HOST", "PG_PORT", "PG_NAME", "PG_USER", "PG_PASSWORD")
 
 
-def city_tables(spark: SparkSession, config_path: str, names: list[str]) -> dict[str, DataFrame]:
-    """Tables of a city database: a folder of parquet files, or a connection file with host, port, name, user and password."""
-    if os.path.isdir(config_path):
-        return {n: spark.read.parquet(f"{config_path}/{n}.parquet") for n in names}
+def _connection(config_path: str) -> dict:
     import yaml
 
-    c = yaml.safe_load(Path(config_path).read_text())
+    c = yaml.safe_load(Path(config_path).read_text()) or {}
     missing = [k for k in DB_KEYS if not c.get(k)]
     if missing:
         raise ValueError(f"missing in {config_path}: {', '.join(missing)}")
+    return c
+
+
+def database_name(config_path: str) -> str:
+    """What a tileset says of where it comes from: host and name of the database, or the folder."""
+    if os.path.isdir(config_path):
+        return os.path.basename(os.path.abspath(config_path))
+    c = _connection(config_path)
+    return f"{c['PG_HOST']}/{c['PG_NAME']}"
+
+
+def city_tables(spark: SparkSession, config_path: str, names: list[str]) -> dict[str, DataFrame]:
+    """Tables of a city database: a folder of parquet files, or a connection file with host, port, name, user and password."""
+    if os.path.isdir(config_path):
+        return {n: spark.read.parquet(f"{config_path}/{n}.parquet") for n in names}
+    c = _connection(config_path)
     url = f"jdbc:postgresql://{c['PG_HOST']}:{c['PG_PORT']}/{c['PG_NAME']}"
     return {n: spark.read.format("jdbc").options(url=url, dbtable=f"citydb.{n}", user=c["PG_USER"], password=c["PG_PASSWORD"]).load() for n in names}

@@ -230,15 +230,32 @@ def test_lineage_of_three_snapshots(spark):
     assert kinds == [("division", ("1::e",), ("2::f", "2::g")), ("union", ("1::b", "1::c"), ("2::d",))]
 
 
+def test_subdivision_below_one_modified_ancestor(spark):
+    v = lineage.vertices_of(spark.createDataFrame([(x,) for x in ("1::a", "2::b", "3::c", "3::d", "1::x", "1::y", "2::z", "3::p", "3::q")], "globalid string"))
+    rows = [(1, "1::a", "2::b", "modified"), (2, "2::b", "3::c", "subdivided"), (3, "2::b", "3::d", "subdivided"), (4, "1::x", "2::z", "modified"), (5, "1::y", "2::z", "modified"), (6, "2::z", "3::p", "subdivided"), (7, "2::z", "3::q", "subdivided")]
+    e = spark.createDataFrame([(i, s, d, "replace", [t]) for i, s, d, t in rows], "edge_id int, src string, dst string, type string, tags array<string>")
+    vs, es = lineage.collapse_subdivisions(v, e)
+    assert sorted((r.globalid, r.start_date) for r in vs.collect()) == [("1::a", 1), ("1::x", 1), ("1::y", 1), ("2::z", 2), ("3::c", 2), ("3::d", 2), ("3::p", 3), ("3::q", 3)]
+    assert sorted((r.src, r.dst, tuple(r.tags)) for r in es.collect() if r.src < "1::b") == [("1::a", "3::c", ("modified",)), ("1::a", "3::d", ("modified",))] and es.count() == 6
+
+
 def test_geometry_edges(spark):
     one = spark.range(1)
     tri = F.array(F.struct(G.point(0, 0, 0).alias("a"), G.point(1, 0, 0).alias("b"), G.point(0, 1, 2).alias("c")))
     r = one.select(G.bbox(tri).alias("b"), G.bbox(F.slice(tri, 1, 0)).alias("none"), G.normal(F.struct(*[G.point(1, 1, 1).alias(k) for k in "abc"])).alias("n")).first()
     assert (r.b.xmin, r.b.zmax, r.none, tuple(r.n)) == (0, 2, None, (0, 0, 1))
-    lat, lon = G.cc46_to_geographic(F.lit(1843466.0), F.lit(5174373.0))
-    x, y = G.geographic_to_cc46(lat, lon)
+    lat, lon = G.conic_to_geographic(F.lit(1843466.0), F.lit(5174373.0))
+    x, y = G.geographic_to_conic(lat, lon)
     got = one.select(F.round(lat, 5), F.round(lon, 5), F.round(x, 4), F.round(y, 4)).first()
     assert tuple(got) == (45.75447, 4.84422, 1843466.0, 5174373.0)
+    start = [F.lit(float(v)) for v in (1843466, 5174373, 250)]
+    for crs in ("EPSG:2154", "EPSG:4171", "EPSG:4978", "EPSG:3857"):
+        there = [c.alias(k) for c, k in zip(G.reproject(*start, "EPSG:3946", crs), "xyz", strict=True)]
+        back = one.select(*there).select(*[F.round(c, 3) for c in G.reproject(F.col("x"), F.col("y"), F.col("z"), crs, "EPSG:3946")]).first()
+        assert tuple(back) == (1843466.0, 5174373.0, 250.0), crs
+    for to, way in (("EPSG:1", "EPSG:3946"), ("EPSG:3946", "EPSG:1")):
+        with pytest.raises(ValueError):
+            G.reproject(*start, to, way)
 
 
 def test_filters_and_batch_tables(spark):

@@ -3,10 +3,11 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from geostrata import cli
-from geostrata.functions import mesh, tile_codec
-from geostrata.operators import atlas, tiles
+from geostrata.functions import images, mesh, tile_codec
+from geostrata.operators import atlas, ifc_model, tiles
 from geostrata.plans import pipelines as P
 from geostrata.sources import files
 
@@ -30,6 +31,15 @@ def test_triangulation_keeps_the_area_and_count(seed):
     assert len(t) == n + 8 + 2 * 2 - 2
 
 
+def test_rings_that_touch_or_cross_keep_the_even_odd_area():
+    area = lambda *x: round(sum(map(tri_area, mesh.triangulate(*x))), 6)
+    p = lambda *x: [(float(a), float(b), 0.0) for a, b in x]
+    assert area(p((0, 0), (10, 0), (5, 5), (10, 10), (0, 10), (5, 5))) == 50  # two triangles that meet in a point
+    assert area(p((0, 0), (10, 10), (10, 0), (0, 10))) == 50  # a ring that crosses itself
+    assert area(p((0, 0), (10, 0), (10, 10), (0, 10)), [p((-5, 4), (15, 4), (15, 6), (-5, 6))]) == 80 + 20  # a hole that cuts through: what is outside counts once
+    assert area(p((0, 0), (10, 0), (10, 10), (0, 10)), [p((2, 2), (4, 2), (4, 4), (2, 4)), p((4, 2), (6, 2), (6, 4), (4, 4))]) == 92
+
+
 def test_hull_buffer_and_blocks():
     assert mesh.convex_hull([(0, 0, 0), (2, 0, 0), (2, 2, 0), (0, 2, 0), (1, 1, 0)]) == [(0, 0), (2, 0), (2, 2), (0, 2)]
     ring = mesh.buffer_line([(0, 0, 0), (10, 0, 0)], 2)
@@ -144,9 +154,8 @@ def test_obj_meshes(spark, tmp_path):
     (tmp_path / "c.mtl").write_text("newmtl red\nKd 1 0 0\nd 0.5\n")
     (tmp_path / "c.obj").write_text("mtllib c.mtl\nv 0 0 0\nv 1 0 0\nv 1 1 0\nv 0 1 0\nusemtl red\nf 1 2 3 4\n")
     (tmp_path / "d.obj").write_text("v 0 0 0\n")
-    f, palette = files.obj(spark, [str(tmp_path)])
-    rows = f.collect()
-    assert [(r.id, len(r.tri), r.material_index) for r in rows] == [("red", 2, 1)] and palette[1]["rgba"] == [1, 0, 0, 0.5]
+    f, _, _ = files.obj(spark, [str(tmp_path)])
+    assert [(r.id, len(r.tri), r.rgba, r.colors) for r in f.collect()] == [("red", 2, [1, 0, 0, 0.5], None)]
     assert len(P.obj(spark, [str(tmp_path)], P.Options(output_dir=str(tmp_path / "o"), crs_out="EPSG:4978"))["root"]["children"]) == 1
 
 
@@ -168,3 +177,156 @@ def test_well_known_binary():
     multi = struct.pack("<BII", 1, 1006, 1) + poly
     t = mesh.wkb_triangles(multi)
     assert len(t) == 2 and {p[0] for x in t for p in x} == {0.0} and mesh.wkb_triangles(b"\x01\x01") is None and mesh.wkb_triangles(None) is None
+
+
+def picture(seed, h, w):
+    import numpy as np
+
+    return np.random.default_rng(seed).integers(0, 256, (h, w, 3), dtype=np.uint8)
+
+
+def test_png_layout():
+    import struct
+    import zlib
+
+    import numpy as np
+
+    a = picture(0, 9, 5)
+    assert (images.decode_png(images.encode_png(a, 99))[..., :3] == a).all() and images.decode_png(b"\xff\xd8") is None and images.decode_png(None) is None and images.decode_png(images.SIGNATURE) is None
+    chunk = images._chunk
+    head = lambda color, h, w: images.SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, color, 0, 0, 0))
+    rows = a.astype(int)
+    # every filter on one line each, made from its definition
+    out = b""
+    flat = rows.reshape(9, -1)
+    for y in range(9):
+        kind, line = y % 5, []
+        for i, x in enumerate(flat[y]):
+            left, up, both = (flat[y, i - 3] if i >= 3 else 0), (flat[y - 1, i] if y else 0), (flat[y - 1, i - 3] if y and i >= 3 else 0)
+            p = left + up - both
+            nearest = min((abs(p - left), 0, left), (abs(p - up), 1, up), (abs(p - both), 2, both))[2]
+            line.append((x - [0, left, up, (left + up) // 2, nearest][kind]) % 256)
+        out += bytes([kind, *line])
+    assert (images.decode_png(head(2, 9, 5) + chunk(b"IDAT", zlib.compress(out)))[..., :3] == a).all()
+    indexed = head(3, 1, 2) + chunk(b"PLTE", bytes([1, 2, 3, 4, 5, 6])) + chunk(b"tRNS", bytes([9])) + chunk(b"IDAT", zlib.compress(bytes([0, 1, 0])))
+    assert images.decode_png(indexed).tolist() == [[[4, 5, 6, 255], [1, 2, 3, 9]]]
+    half = images.smaller(np.repeat(np.repeat(picture(1, 8, 4), 3, axis=0), 3, axis=1), 3)
+    assert half.shape == (8, 4, 3) and (half == picture(1, 8, 4)).all()
+
+
+def test_textures_crop_into_sheets_and_back(spark, tmp_path):
+    import numpy as np
+
+    src = tmp_path / "in"
+    src.mkdir()
+    for k in range(4):
+        (src / f"t{k}.png").write_bytes(images.encode_png(picture(k, 16, 8)))
+        (src / f"m{k}.mtl").write_text(f"newmtl m{k}\nKd 1 1 1\nmap_Kd .\\t{k}.png\n")
+        (src / f"c{k}.obj").write_text(f"mtllib m{k}.mtl\nv {9 * k} 0 0\nv {9 * k + 1} 0 0\nv {9 * k + 1} 1 0\nvt 0.25 0.25\nvt 0.75 0.25\nvt 0.75 0.75\nusemtl m{k}\nf 1/1 2/2 3/3\n")
+    t = P.obj(spark, [str(src)], P.Options(output_dir=str(tmp_path / "o"), with_texture=True, texture_lods=1))
+    top = t["root"]["children"][0]
+    assert [x["geometricError"] for x in (top, top["children"][0])] == [2.0, 1.0] and sorted(p.name for p in (tmp_path / "o" / "tiles").iterdir() if p.suffix == ".png") == [f"ATLAS_{k}.png" for k in range(4)]
+    leaf = tiles.read_tiles(spark, files.tilesets(spark, [str(tmp_path / "o")])).filter("node_path like '0._.0'").collect()
+    assert len(leaf) == 4 and {r.texture.rpartition("/")[2] for r in leaf} == {"ATLAS_1.png", "ATLAS_3.png"}
+    for r in leaf:
+        with open(r.texture, "rb") as f:
+            sheet = images.decode_png(f.read())
+        uv = np.array([[q.u, q.v] for x in r.uv for q in (x.a, x.b, x.c)])
+        part, _ = images.cropped(sheet, uv)
+        whole = picture(int(r.id[1]), 16, 8)
+        assert (part[..., :3] == whole[4:12, 2:6]).all()
+    P.reader(spark, [str(tmp_path / "o")], P.Options(output_dir=str(tmp_path / "r"), with_texture=True))
+    assert any(p.suffix == ".png" for p in (tmp_path / "r" / "tiles").iterdir())
+    P.merger([str(tmp_path / "o"), str(tmp_path / "o")], str(tmp_path / "m"))
+    own = list((tmp_path / "m" / "tiles").iterdir())
+    assert sum(p.suffix == ".png" for p in own) == 8
+    for p in own:
+        if p.suffix == ".b3dm":
+            (name,) = tile_codec.pictures(p.read_bytes())
+            assert (p.parent / name).exists() and len(p.read_bytes()) % 8 == 0 and tile_codec.decode_b3dm(p.read_bytes())[3][0]["texture"] == name
+    P.obj(spark, [str(src)], P.Options(output_dir=str(tmp_path / "n")))
+    assert not any(p.suffix == ".png" for p in (tmp_path / "n" / "tiles").iterdir())
+
+
+def test_models_as_levels_of_detail(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"c{k}.obj").write_text(f"v 0 0 0 1 0 0\nv 1 0 0 0 1 0\nv 1 1 {k} 0 0 1\nf 1 2 3\n")
+    t = P.obj(spark, [str(tmp_path)], P.Options(output_dir=str(tmp_path / "o"), as_lods=True, geometric_error=(1.0, 5.0), obj=str(tmp_path / "out")))
+    chain = lambda x: [x["geometricError"], *(y for c in x["children"] for y in chain(c))]
+    assert [chain(x) for x in t["root"]["children"]] == [[1.0, 5.0, 1.0]]
+    back = tiles.read_tiles(spark, files.tilesets(spark, [str(tmp_path / "o")])).collect()
+    assert all(r.colors[0].b.g == 1.0 for r in back) and len(back) == 3
+    text = (tmp_path / "out.obj").read_text()
+    assert text.splitlines()[0].split() == ["v", "0.0", "0.0", "0.0", "1.0", "0.0", "0.0"] and "vn 0.0 0.0 1.0" in text and text.count("\nf ") == 3 and "//" in text
+
+
+def test_large_tilesets_are_trees_of_documents(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tiles, "DOCUMENT_TILES", 4)
+    path = write_geojson(tmp_path / "a.json", [feature(i, 50 * i) for i in range(9)])
+    t = P.geojson(spark, [path], P.Options(output_dir=str(tmp_path / "o"), kd_tree_max=1, lod1=True))
+    docs = [json.loads((tmp_path / "o" / c["content"]["uri"]).read_text()) for c in t["root"]["children"]]
+    tops = [c for d in docs for c in d["root"]["children"]]
+    assert len(docs) == 5 and len(tops) == 9 and all((tmp_path / "o" / "tilesets" / c["content"]["uri"]).exists() and len(c["children"]) == 1 for c in tops)
+    box = lambda x: x["boundingVolume"]["box"]
+    for d, c in zip(docs, t["root"]["children"], strict=True):
+        assert [round(v, 3) for v in box(d["root"])] == [round(v, 3) for v in box(c)]
+
+
+def city_folder(spark, tmp_path):
+    p3 = "array<struct<a:struct<x:double,y:double,z:double>,b:struct<x:double,y:double,z:double>,c:struct<x:double,y:double,z:double>>>"
+    p2 = "array<struct<a:struct<u:double,v:double>,b:struct<u:double,v:double>,c:struct<u:double,v:double>>>"
+    tri = lambda x, z: [((x, 0.0, z), (x + 1, 0.0, z), (x + 1, 1.0, z))]
+    uv = [((0.0, 1.0), (0.5, 1.0), (0.5, 0.5))]
+    rows = {
+        "building": ([(1, 1, None, 26), (2, 1, 1, 25), (3, 3, None, 26)], "id long, building_root_id long, building_parent_id long, objectclass_id int"),
+        "thematic_surface": ([(10, 2, 100, 33), (11, 2, 101, 34), (12, 3, 102, 33)], "id long, building_id long, lod2_multi_surface_id long, objectclass_id int"),
+        "surface_geometry": ([(1000 + k, 100 + k, tri(9.0 * k, float(k))) for k in range(3)], f"id long, root_id long, tri {p3}"),
+        "cityobject": ([(i, f"G{i}") for i in (1, 2, 3, 10, 11, 12)], "id long, gmlid string"),
+        "objectclass": ([(25, "BuildingPart"), (26, "Building"), (33, "BuildingRoofSurface"), (34, "BuildingWallSurface")], "id int, classname string"),
+        "textureparam": ([(1000 + k, 5, uv) for k in range(3)], f"surface_geometry_id long, surface_data_id long, uv {p2}"),
+        "surface_data": ([(5, 6)], "id long, tex_image_id long"),
+        "tex_image": ([(6, "a.png", bytearray(images.encode_png(picture(3, 8, 8))))], "id long, tex_image_uri string, tex_image_data binary"),
+    }
+    for n, (r, schema) in rows.items():
+        spark.createDataFrame(r, schema).coalesce(1).write.parquet(str(tmp_path / "db" / f"{n}.parquet"))
+    return str(tmp_path / "db")
+
+
+def test_city_hierarchies_colors_and_textures(spark, tmp_path):
+    db = city_folder(spark, tmp_path)
+    P.city(spark, db, P.Options(output_dir=str(tmp_path / "o"), with_BTH=True))
+    _, table, _, _ = tile_codec.decode_b3dm((tmp_path / "o" / "tiles" / "0.b3dm").read_bytes())
+    h = table["extensions"]["3DTILES_batch_table_hierarchy"]
+    assert table["id"] == ["G1"] and h["instancesLength"] == 4 and h["parentCounts"] == [1, 1, 0, 1] and h["parentIds"] == [3, 3, 2] and h["classIds"] == [0, 1, 2, 3]
+    assert [c["name"] for c in h["classes"]] == ["BuildingRoofSurface", "BuildingWallSurface", "Building", "BuildingPart"] and h["classes"][0]["instances"]["gmlid"] == ["G10"]
+    P.city(spark, db, P.Options(output_dir=str(tmp_path / "c"), split_surfaces=True, add_color=("", "semantic")))
+    back = tiles.read_tiles(spark, files.tilesets(spark, [str(tmp_path / "c")])).collect()
+    assert sorted({tuple(r.rgba) for r in back}) == [(0.8549, 0.498, 0.1255, 1.0), (1.0, 1.0, 1.0, 1.0)] and len(back) == 3
+    P.city(spark, db, P.Options(output_dir=str(tmp_path / "t"), with_texture=True))
+    assert (tmp_path / "t" / "tiles" / "ATLAS_0.png").exists()
+
+
+def test_building_information_from_tables(spark, tmp_path):
+    box = [(0.0, 0.0, 0.0), (1.0, 0.0, 0.0), (0.0, 1.0, 0.0)]
+    schema = "object_id long, guid string, classe string, ifc_group string, ifc_space string, object_name string, properties string, container_class string, vertices array<struct<x:double,y:double,z:double>>, faces array<array<int>>, diffuse array<double>"
+    rows = [(1, "a", "IfcSpace", None, None, "S", "[]", None, box, [[0, 1, 2]], [1.0, 0.0, 0.0]), (2, "b", "IfcWall", "g", "S", "w", None, "IfcSpace", box, [[0, 1, 2], [0, 1, 9]], None), (3, "c", "IfcWall", None, "floor", "w", None, "IfcBuildingStorey", box, [[0, 2, 1]], [0.0, 0.5, 0.0, 0.3]), (4, "d", "IfcWall", None, None, None, None, None, None, None, None)]
+    objects = spark.createDataFrame(rows, schema)
+    t = P.ifc(spark, objects, P.Options(output_dir=str(tmp_path / "o"), grouped_by="IfcSpace"))
+    back = tiles.read_tiles(spark, files.tilesets(spark, [str(tmp_path / "o")])).collect()
+    assert len(t["root"]["children"]) == 2 and {r.id: (r.props["space"] if "space" in r.props else None, len(r.tri), r.node_path) for r in back}.keys() == {"a", "b", "c"}
+    by = {r.id: r for r in back}
+    assert by["a"].node_path == by["b"].node_path != by["c"].node_path and [round(x, 3) for x in by["c"].rgba] == [0.0, 0.5, 0.0, 1.0] and len(by["b"].tri) == 1
+    link = lambda *x: spark.createDataFrame(list(x), "id long, parent long")
+    up = ifc_model.parents(link((1, 5), (2, None)), link((1, 6), (3, 7)), link((3, 8), (5, 9)))
+    assert sorted(tuple(r) for r in up.collect()) == [(1, 5), (3, 8), (5, 9)]
+    chain = ifc_model.ancestor_chain(up.unionByName(link((9, None))))
+    assert sorted(tuple(r) for r in chain.collect()) == [(1, 1, 5), (1, 2, 9), (5, 1, 9)]
+    p = spark.createDataFrame([("g", "B", "n", 'a"b', 3), ("g", "A", "x", None, 1), ("g", "B", "m", "1", 2), ("g", None, "k", "v", 9), (None, "A", "x", "y", 1)], "guid string, pset_name string, prop_name string, prop_value string, row_no long")
+    assert [json.loads(r.properties) for r in ifc_model.property_sets(p).collect()] == [[["A", ["x", None]], ["B", ["m", "1"], ["n", 'a"b']], [None, ["k", "v"]]]]
+
+
+def test_unknown_geometries_are_errors(spark):
+    f = spark.createDataFrame([("Point", "[1,2]")], "t string, c string")
+    with pytest.raises(Exception, match="no geometry of type"):
+        f.select(files.rings(F.col("t"), F.col("c"), strict=True)).collect()
+    assert f.select(files.rings(F.col("t"), F.col("c")).alias("r")).first().r is None
