@@ -102,7 +102,7 @@ def masked(text: str) -> str:
     while m := MARKUP.search(text, last, stop):
         a, b = m.span()
         kind = KIND.get(m.lastgroup, m.lastgroup)
-        if m["name"]:
+        if kind == "env":
             kind = "display" if MATH.match(m["name"]) else "env"
             b = _env_end(text, m["name"], b, stop)
         if a > last:
