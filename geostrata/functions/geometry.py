@@ -172,6 +172,12 @@ def mean_max_z(tri: Column) -> Column:
     return F.aggregate(tops, F.lit(0.0), lambda a, b: a + b) / F.size(tri)
 
 
+def plane_mean(points: Column) -> Column:
+    """Mean of points in the plane, at height 0."""
+    mean = lambda k: F.aggregate(_axis(points, k), F.lit(0.0), lambda a, b: a + b) / F.size(points)
+    return F.when(F.size(points) > 0, point(mean("x"), mean("y"), 0))
+
+
 def uv_bounds(uv: Column) -> Column:
     p = F.flatten(F.transform(uv, lambda t: F.array(t["a"], t["b"], t["c"])))
     return F.struct(*[f(_axis(p, k)).alias(k + n) for f, n in ((F.array_min, "min"), (F.array_max, "max")) for k in ("u", "v")])

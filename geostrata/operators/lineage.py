@@ -199,6 +199,20 @@ def joined_buildings(vertices: DataFrame, buildings: DataFrame) -> DataFrame:
     return vertices.join(buildings.select("ts", F.col("gmlid").alias("local_id"), "id"), ["ts", "local_id"])
 
 
-def missingstamps(vertices: DataFrame, stamps: list[int]) -> list[int]:
+def lookup(vertices: DataFrame, globalids: DataFrame) -> DataFrame:
+    """Vertices of the ids asked for; an id that two vertices have is an error, raised where its row is read."""
+    n = vertices.groupBy("globalid").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in vertices.columns if c != "globalid"])
+    one = n.withColumn("globalid", F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("more than one vertex "), F.col("globalid")))).otherwise(F.col("globalid"))).drop("n")
+    return globalids.select("globalid").distinct().join(one, "globalid")
+
+
+def listing(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """A line of text for each vertex and edge: (kind, line)."""
+    v = vertices.select(F.lit("vertex").alias("kind"), F.format_string("%s from %d to %d", "globalid", "start_date", "end_date").alias("line"))
+    e = edges.select(F.lit("edge").alias("kind"), F.concat(F.col("src"), F.lit(" -> "), F.col("dst"), F.lit(" "), F.coalesce("type", F.lit("")), F.lit(" "), F.coalesce(F.array_join("tags", ","), F.lit(""))).alias("line"))
+    return v.unionByName(e)
+
+
+def missing_stamps(vertices: DataFrame, named: list[int]) -> list[int]:
     """Time stamps of the graph that weren't named."""
-    return [t for t in stamps(vertices) if t not in set(stamps)]
+    return [t for t in stamps(vertices) if t not in set(named)]

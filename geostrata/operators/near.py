@@ -24,7 +24,7 @@ from geostrata.runtime import BROADCAST_ROWS, KEY_ROWS, salted_join, within
 UNIT = 10_000
 #: Points of a cell that one salt takes.
 CELL_POINTS = 1_000
-#: Border between the ranges of x and y of the plane's coordinates (metres): what tells swapped axes.
+#: Border between the ranges of x and y of the plane's coordinates (metres): what tells swapped axes. Another plane needs another one.
 AXIS_BORDER = 4_000_000.0
 
 
@@ -42,11 +42,11 @@ def first_part(geom_type: Column, coordinates: Column) -> Column:
     )
 
 
-def locations(features: DataFrame) -> DataFrame:
-    """(feature_id, code, x, y) in whole units: the middle of the ranges of x and y; one row per id."""
+def locations(features: DataFrame, axis_border: float = AXIS_BORDER) -> DataFrame:
+    """(feature_id, code, x, y) in whole units: the middle of the ranges of x and y; one row per id. axis_border: a first coordinate beyond it is y."""
     pts = features.filter("feature_id is not null").select("feature_id", F.col("feature_code").alias("code"), first_part(F.col("geometry.geom_type"), F.col("geometry.coordinates")).alias("p"))
     ok = F.filter("p", lambda a: (F.size(a) >= 2) & a[0].isNotNull() & a[1].isNotNull())
-    xy = F.transform(ok, lambda a: F.struct(F.when(a[0] > AXIS_BORDER, a[1]).otherwise(a[0]).alias("x"), F.when(a[0] > AXIS_BORDER, a[0]).otherwise(a[1]).alias("y")))
+    xy = F.transform(ok, lambda a: F.struct(F.when(a[0] > axis_border, a[1]).otherwise(a[0]).alias("x"), F.when(a[0] > axis_border, a[0]).otherwise(a[1]).alias("y")))
     pts = pts.select("feature_id", "code", xy.alias("p"))
     x, y = F.transform("p", lambda a: a["x"]), F.transform("p", lambda a: a["y"])
     mid = lambda a: F.round((F.array_min(a) + F.array_max(a)) / 2 * UNIT).cast("bigint")

@@ -412,6 +412,13 @@ def merge_tilesets(documents: list[dict]) -> dict:
     return {"asset": {"version": "1.0"}, "geometricError": grouping.ROOT_ERROR, "root": {"boundingVolume": {"box": [0] * 12}, "geometricError": grouping.ROOT_ERROR, "refine": "ADD", "children": children}}
 
 
+def tree_places(tiles_: DataFrame) -> DataFrame:
+    """tiles_(record_id, node_path, parent_path), each once, with the number of children and whether a tile is a root or a leaf."""
+    n = tiles_.filter("parent_path <> ''").groupBy("record_id", F.col("parent_path").alias("node_path")).agg(F.count("*").alias("n_children"))
+    t = tiles_.select("record_id", "node_path", "parent_path").join(n, ["record_id", "node_path"], "left").withColumn("n_children", F.coalesce("n_children", F.lit(0).cast("bigint")))
+    return t.select("record_id", "node_path", "n_children", (F.col("parent_path") == "").alias("is_root"), (F.col("n_children") == 0).alias("is_leaf"))
+
+
 def merged_children(tilesets: DataFrame) -> DataFrame:
     """(record_id, node_path, merged_path): the children of all roots below one new root, in order of tilesets and places."""
     t = nested.tiles(nested.tile_columns(tilesets)).filter("depth = 1").withColumn("place", F.element_at(F.split("node_path", r"\."), -1).cast("int"))

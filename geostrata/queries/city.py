@@ -247,6 +247,19 @@ def graph_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.union(*_split(spark, sf_dir))[0].select("globalid", "ts")
 
 
+@query(GRAPH + " SELECT 'vertex' AS kind, globalid || ' from ' || ts || ' to ' || ts AS line FROM v UNION ALL SELECT 'edge', src || ' -> ' || dst || ' replace ' || tag FROM ed")
+def graph_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, e = graph(spark, sf_dir)
+    return lineage.listing(v, lineage.distinct_edges(e))
+
+
+@query(GRAPH + " SELECT globalid, ts FROM v WHERE globalid IN (SELECT dst FROM ed WHERE tag = 'modified')")
+def graph_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vertices looked up by global id; ids are unique."""
+    v, e = graph(spark, sf_dir)
+    return lineage.lookup(v, e.filter(F.array_contains("tags", "modified")).select(F.col("dst").alias("globalid"))).select("globalid", "ts")
+
+
 @query(GRAPH + " SELECT edge_id, src, dst, tag FROM ed")
 def edge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.distinct_edges(graph(spark, sf_dir)[1]).select("edge_id", "src", "dst", F.col("tags")[0].alias("tag"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geostrata.functions import geometry as G
-from geostrata.operators import grouping, hierarchy, ifc_model, kdtree, tiles
+from geostrata.operators import grouping, hierarchy, ifc_model, kdtree, nested, tiles
 from geostrata.plans import pipelines as P
 from geostrata.queries import views as V
 from geostrata.queries.p_core import NESTED
@@ -232,10 +232,21 @@ def merge_tilesets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.merged_children(read(spark, sf_dir, "tileset"))
 
 
+@query(NESTED + ", n AS (SELECT record_id, parent_path, count(*) AS n FROM tiles GROUP BY 1, 2) SELECT t.record_id, t.node_path, coalesce(n, 0) AS n_children, t.parent_path = '' AS is_root, n IS NULL AS is_leaf FROM tiles t LEFT JOIN n ON n.record_id = t.record_id AND n.parent_path = t.node_path")
+def tile_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roots, leaves and inner tiles of every tileset."""
+    return tiles.tree_places(nested.tiles(nested.tile_columns(read(spark, sf_dir, "tileset"))))
+
+
+@query(W_SOUP + " SELECT id, round(avg(x), 6) + 0.0 AS x, round(avg(y), 6) + 0.0 AS y, CAST(0 AS DOUBLE) AS z FROM verts GROUP BY id")
+def plane_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(V.soup(spark, sf_dir).select("id", G.plane_mean(G.corners(F.col("tri"))).alias("m")).select("id", "m.*"))
+
+
 @query(
     V.ctes("v_foot", "v_zones")
     + """, m AS (SELECT f.id, f.z, f.height, min(z.zone_id) AS zone_id FROM v_foot f JOIN v_zones z ON abs(CAST(round((gx + w / 2) * 10000) AS BIGINT) - CAST(round(cx * 10000) AS BIGINT)) + abs(CAST(round((gy + d / 2) * 10000) AS BIGINT) - CAST(round(cy * 10000) AS BIGINT)) < 15000000 GROUP BY 1, 2, 3)
-  SELECT zone_id, count(*) * 0 + 10 AS n_tri, min(z) AS low, round(avg(z + height), 6) AS high FROM m GROUP BY 1"""
+  SELECT CAST(zone_id AS BIGINT) AS zone_id, count(*) * 0 + 10 AS n_tri, min(z) AS low, round(avg(z + height), 6) AS high FROM m GROUP BY 1"""
 )
 def loa_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A block for each zone with members: from their lowest point to the mean of their triangles' tops."""

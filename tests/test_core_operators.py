@@ -230,6 +230,14 @@ def test_lineage_of_three_snapshots(spark):
     assert kinds == [("division", ("1::e",), ("2::f", "2::g")), ("union", ("1::b", "1::c"), ("2::d",))]
 
 
+def test_lookup_of_vertices_and_time_stamps(spark):
+    v = lineage.vertices_of(spark.createDataFrame([("1::a",), ("2::b",)], "globalid string"))
+    ask = spark.createDataFrame([("1::a",), ("1::a",), ("9::z",), (None,)], "globalid string")
+    assert [r.globalid for r in lineage.lookup(v, ask).collect()] == ["1::a"] and lineage.missing_stamps(v, [1]) == [2]
+    with pytest.raises(Exception, match="more than one vertex"):
+        lineage.lookup(v.unionByName(v), ask).collect()
+
+
 def test_subdivision_below_one_modified_ancestor(spark):
     v = lineage.vertices_of(spark.createDataFrame([(x,) for x in ("1::a", "2::b", "3::c", "3::d", "1::x", "1::y", "2::z", "3::p", "3::q")], "globalid string"))
     rows = [(1, "1::a", "2::b", "modified"), (2, "2::b", "3::c", "subdivided"), (3, "2::b", "3::d", "subdivided"), (4, "1::x", "2::z", "modified"), (5, "1::y", "2::z", "modified"), (6, "2::z", "3::p", "subdivided"), (7, "2::z", "3::q", "subdivided")]
