@@ -258,8 +258,8 @@ def test_geometry_edges(spark):
     assert tuple(got) == (45.75447, 4.84422, 1843466.0, 5174373.0)
     start = [F.lit(float(v)) for v in (1843466, 5174373, 250)]
     for crs in ("EPSG:2154", "EPSG:4171", "EPSG:4978", "EPSG:3857"):
-        there = [c.alias(k) for c, k in zip(G.reproject(*start, "EPSG:3946", crs), "xyz", strict=True)]
-        back = one.select(*there).select(*[F.round(c, 3) for c in G.reproject(F.col("x"), F.col("y"), F.col("z"), crs, "EPSG:3946")]).first()
+        there = one.select(*[c.alias(k) for c, k in zip(G.reproject(*start, "EPSG:3946", crs), "xyz", strict=True)]).first()
+        back = one.select(*[F.round(c, 3) for c in G.reproject(*map(F.lit, there), crs, "EPSG:3946")]).first()
         assert tuple(back) == (1843466.0, 5174373.0, 250.0), crs
     for to, way in (("EPSG:1", "EPSG:3946"), ("EPSG:3946", "EPSG:1")):
         with pytest.raises(ValueError):
