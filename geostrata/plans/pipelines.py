@@ -169,18 +169,18 @@ def precise(raw: DataFrame, prec: str) -> DataFrame:
 
 
 def geojson_features(raw: DataFrame, o: Options) -> DataFrame:
-    """Footprints raised to their height; roads widened and raised. Features of unusable precision are left out."""
+    """(ord, id, properties, line, tri): footprints raised to their height; roads (line) widened and raised. Features of unusable precision, or whose first ring is empty, are left out."""
     prop = lambda k: F.get_json_object("properties", f"$.{k}")
-    r = raw.withColumn("rings", files.rings(F.col("geom_type"), F.col("coordinates"))).filter("rings is not null and size(rings) > 0")
+    r = raw.withColumn("rings", files.rings(F.col("geom_type"), F.col("coordinates"))).filter(F.size(F.get("rings", F.lit(0))) > 0)
     r = precise(r, o.prec)
     r = r.withColumn("h", G.resolved(o.height, prop, 10)).withColumn("w", G.resolved(o.width, prop, 2))
     base = lambda p: G.resolved_z(o.z, prop, p["z"]) - (F.col("h") if o.is_roof else F.lit(0.0))
-    r = r.withColumn("rings", F.transform("rings", lambda ring: F.transform(ring, lambda p: G.point(p["x"], p["y"], base(p)))))
+    r = r.withColumn("rings", F.transform("rings", lambda ring: F.transform(files.filled_points(ring), lambda p: G.point(p["x"], p["y"], base(p)))))
     e, h = G.clean_rings(G.clockwise(F.col("rings")[0]), F.transform(F.slice("rings", 2, F.greatest(F.size("rings") - 1, F.lit(0))), G.open_ring))
     line = F.col("geom_type").endswith("LineString")
     # the kernels get whole columns, so that no expression is copied into their arguments
     r = r.select("ord", "id", "properties", line.alias("line"), F.when(line, F.col("rings")[0]).otherwise(e).alias("ext"), F.when(line, F.array().cast("array<array<struct<x:double,y:double,z:double>>>")).otherwise(h).alias("holes"), "h", "w")
-    return r.mapInPandas(_solids, "ord long, id string, properties string, tri " + mesh.TRIANGLES)
+    return r.mapInPandas(_solids, "ord long, id string, properties string, line boolean, tri " + mesh.TRIANGLES)
 
 
 def _solids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,7 +191,7 @@ def _solids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if line and any(p[:2] == q[:2] for p, q in zip(ring, ring[1:], strict=False)):
                 ring = []  # a line that stands still has no direction
             tri.append(mesh.rows_of(mesh.extrude_line(ring, width, height) if line else mesh.extrude(ring, [mesh.points_of(x) for x in holes], height)))
-        yield t[["ord", "id", "properties"]].assign(tri=tri)
+        yield t[["ord", "id", "properties", "line"]].assign(tri=tri)
 
 
 def colored(features: DataFrame, o: Options) -> tuple[DataFrame, list[dict]]:

@@ -74,8 +74,10 @@ buf AS (SELECT feature_id, CAST(2 * any_value(n) AS INTEGER) AS n_points, abs(su
   SELECT e.feature_id, round(area, 2) + 0.0 AS roof_area FROM every e JOIN geojson g ON g.feature_id = e.feature_id WHERE coalesce(TRY_CAST(g.properties ->> '$.PREC_ALTI' AS DOUBLE), 0) < 9999"""
 )
 def geojson_solids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every footprint and road raised: the area of its roof."""
-    return rounded(_solids(spark, sf_dir).select(F.col("ord").alias("feature_id"), _area(F.col("tri")).alias("roof_area")), 2)
+    """Every footprint and road raised: the area of its roof. What a footprint's holes have outside of it counts against it, as it faces down."""
+    upwards = F.aggregate(F.transform("tri", lambda t: G.cross(t)["z"] / 2), F.lit(0.0), lambda a, b: a + b)
+    area = F.when(F.col("line"), _area(F.col("tri"))).otherwise(upwards)
+    return rounded(_solids(spark, sf_dir).select(F.col("ord").alias("feature_id"), area.alias("roof_area")), 2)
 
 
 @query(T.RINGS + """, s AS (SELECT feature_id, k, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny FROM o WINDOW w AS (PARTITION BY feature_id ORDER BY k))

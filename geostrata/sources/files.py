@@ -53,8 +53,11 @@ def geojson(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def rings(geom_type, coordinates, strict: bool = False):
-    """array of rings (arrays of points) of a polygon, of a multi-polygon's first part, or of a line as one ring; a missing type gives null, other types are an error when strict, else null."""
-    pts = lambda r: F.transform(r, lambda a: G.point(a[0], a[1], F.get(a, F.lit(2))))
+    """array of rings (arrays of points) of a polygon, of a multi-polygon's first part, or of a line as one ring; a missing type gives null, other types are an error when strict, else null.
+
+    A point without coordinates keeps its place, with nulls (see filled_points).
+    """
+    pts = lambda r: F.transform(r, lambda a: G.point(*[F.get(a, F.lit(i)) for i in range(3)]))
     three = F.from_json(coordinates, "array<array<array<double>>>")
     return (
         F.when(geom_type == "Polygon", F.transform(three, pts))
@@ -65,10 +68,15 @@ def rings(geom_type, coordinates, strict: bool = False):
     )
 
 
+def filled_points(ring):
+    """A ring's points without those that have no x or no y."""
+    return F.filter(ring, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
+
+
 def zones(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(zone_id, ring) of polygons: the first part's exterior without its closing point; other types are left out."""
     g = geojson(spark, paths).filter(F.col("geom_type").isin("Polygon", "MultiPolygon"))
-    ext = G.open_ring(F.try_element_at(rings(F.col("geom_type"), F.col("coordinates")), F.lit(1)))
+    ext = G.open_ring(filled_points(F.try_element_at(rings(F.col("geom_type"), F.col("coordinates")), F.lit(1))))
     return g.select(F.col("ord").alias("zone_id"), F.transform(ext, lambda p: F.struct(p["x"], p["y"])).alias("ring")).filter("size(ring) >= 3")
 
 

@@ -2,6 +2,7 @@ import json
 import math
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from geostrata import cli
 from geostrata.functions import images, mesh, tile_codec
 from geostrata.operators import atlas, ifc_model, tiles
 from geostrata.plans import pipelines as P
+from geostrata.queries import shapes
 from geostrata.sources import files
 
 RING = [[0, 0, 5], [10, 0, 5], [10, 20, 5], [0, 20, 5], [0, 0, 5]]
@@ -330,3 +332,26 @@ def test_unknown_geometries_are_errors(spark):
     with pytest.raises(Exception, match="no geometry of type"):
         f.select(files.rings(F.col("t"), F.col("c"), strict=True)).collect()
     assert f.select(files.rings(F.col("t"), F.col("c")).alias("r")).first().r is None
+
+
+def odd_geojson(spark, folder):
+    """A geojson table of empty coordinates, and of a hole that cuts through its ring."""
+    rows = [
+        ("LineString", "[[]]"), ("LineString", "[]"), ("MultiLineString", "[]"), ("MultiLineString", "[[]]"), ("Polygon", "[]"), ("Polygon", "[[]]"), ("MultiPolygon", "[]"), ("MultiPolygon", "[[]]"), ("LineString", None), ("Polygon", ""),
+        ("LineString", "[[0,0],[10,0,5]]"), ("Polygon", "[[[0,0],[10,0],[10,10],[0,10],[0,0]],[[-5,4],[15,4],[15,6],[-5,6]]]"), ("LineString", "[[1,1]]"),
+    ]
+    rows = [(i, "BATIMENT" if "Polygon" in k else "TRONCON_ROUTE", "{}", (k, c)) for i, (k, c) in enumerate(rows)]
+    spark.createDataFrame(rows, "feature_id long, layer string, properties string, geometry struct<geom_type:string,coordinates:string>").coalesce(1).write.parquet(f"{folder}/geojson.parquet")
+    return str(folder)
+
+
+def twin(name, folder):
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW geojson AS SELECT * FROM read_parquet('{folder}/geojson.parquet/*.parquet')")
+    return sorted(db.execute(shapes.SQL[name]).fetchall())
+
+
+def test_solids_of_empty_coordinates_and_of_holes_outside(spark, tmp_path):
+    d = odd_geojson(spark, tmp_path)
+    found = sorted(tuple(r) for r in shapes.geojson_solids(spark, d).collect())
+    assert found == twin("geojson_solids", d) == [(0, 0.0), (10, 20.0), (11, 60.0), (12, 0.0)]
