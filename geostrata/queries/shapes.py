@@ -100,9 +100,9 @@ def hull_extrude(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roads as rings of their width: number of points and area."""
     g = read(spark, sf_dir, "geojson").filter("layer = 'TRONCON_ROUTE'")
-    line = files.rings(F.col("geometry.geom_type"), F.col("geometry.coordinates"))[0]
+    line = files.filled_points(F.get(files.rings(F.col("geometry.geom_type"), F.col("geometry.coordinates")), F.lit(0)))
     g = stored(g.select("feature_id", F.transform(line, lambda p: G.point(p["x"], p["y"], F.coalesce(p["z"], F.lit(0.0)))).alias("line"), G.resolved("LARGEUR", lambda k: F.get_json_object("properties", f"$.{k}"), 2).alias("w")).filter("line is not null"))
-    r = stored(g.select("feature_id", mesh.buffered("line", "w").alias("ring")))
+    r = stored(g.select("feature_id", mesh.buffered("line", "w").alias("ring"))).filter("size(ring) > 0")  # a line of one place has no ring
     near = F.transform("ring", lambda p: G.point(p["x"] - F.col("ring")[0]["x"], p["y"] - F.col("ring")[0]["y"], F.lit(0.0)))
     return r.select("feature_id", F.size("ring").alias("n_points"), F.round(F.abs(G.signed_area(near)), 2).alias("area"))
 

@@ -355,3 +355,8 @@ def test_solids_of_empty_coordinates_and_of_holes_outside(spark, tmp_path):
     d = odd_geojson(spark, tmp_path)
     found = sorted(tuple(r) for r in shapes.geojson_solids(spark, d).collect())
     assert found == twin("geojson_solids", d) == [(0, 0.0), (10, 20.0), (11, 60.0), (12, 0.0)]
+
+
+def test_buffers_of_empty_lines(spark, tmp_path):
+    d = odd_geojson(spark, tmp_path)
+    assert sorted(tuple(r) for r in shapes.line_buffer(spark, d).collect()) == twin("line_buffer", d) == [(10, 4, 20.0)]
