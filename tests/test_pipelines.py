@@ -360,3 +360,8 @@ def test_solids_of_empty_coordinates_and_of_holes_outside(spark, tmp_path):
 def test_buffers_of_empty_lines(spark, tmp_path):
     d = odd_geojson(spark, tmp_path)
     assert sorted(tuple(r) for r in shapes.line_buffer(spark, d).collect()) == twin("line_buffer", d) == [(10, 4, 20.0)]
+
+
+def test_contents_without_the_features_of_empty_coordinates(spark, tmp_path):
+    r = shapes.tile_contents(spark, odd_geojson(spark, tmp_path)).orderBy("tile").collect()
+    assert [(x.tile, x.n_features, x.zmin, x.zmax) for x in r] == [(0, 1, -7.5, 7.5), (1, 1, -5.0, 5.0)]
