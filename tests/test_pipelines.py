@@ -365,3 +365,33 @@ def test_buffers_of_empty_lines(spark, tmp_path):
 def test_contents_without_the_features_of_empty_coordinates(spark, tmp_path):
     r = shapes.tile_contents(spark, odd_geojson(spark, tmp_path)).orderBy("tile").collect()
     assert [(x.tile, x.n_features, x.zmin, x.zmax) for x in r] == [(0, 1, -7.5, 7.5), (1, 1, -5.0, 5.0)]
+
+
+def test_packing_goes_on_where_the_tree_of_cuts_does():
+    def tree(free, w, h):
+        """(left, top) in a list of nested free rectangles, first come first served."""
+        for k, x in enumerate(free):
+            if isinstance(x, list):
+                if at := tree(x, w, h):
+                    return at
+            elif w <= x[2] and h <= x[3]:
+                left, top, a, b = x
+                below, beside = (left, top + h + 1, w, b - h - 1), (left + w + 1, top, a - w - 1, b)
+                free[k] = [below, beside] if a - w >= b - h else [(left + w + 1, top, a - w - 1, h), (left, top + h + 1, a, b - h - 1)]
+                return left, top
+        return None
+
+    for seed in range(20):
+        r = random.Random(seed)
+        sizes = [(r.randint(1, 9), r.randint(1, 30)) for _ in range(300)]
+        at, w, h = atlas.pack(sizes)
+        free = [(0, 0, w, h)]
+        places = {i: tree(free, *sizes[i]) for i in sorted(range(300), key=lambda i: -sizes[i][0] * sizes[i][1])}
+        assert at == [places[i] for i in range(300)]
+
+
+def test_packing_of_many_images_in_a_row():
+    at, w, h = atlas.pack([(1, 3000)] * 3000)  # a cut in a cut, 3,000 deep
+    assert (w, h) == (8192, 4096) and at == [(2 * i, 0) for i in range(3000)]
+    at, _, _ = atlas.pack([(k % 50 + 1, k % 50 + 4) for k in range(20_000)])
+    assert len(set(at)) == 20_000
