@@ -531,8 +531,9 @@ def obj_vertex_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(MESH + ", cc AS (SELECT CAST(floor(m.ord / 3) AS BIGINT) AS face, m.ord % 3 AS k, vertex_no FROM m JOIN i ON i.x = m.x AND i.y = m.y AND i.z = m.z) SELECT face, max(CASE k WHEN 0 THEN vertex_no END) AS a, max(CASE k WHEN 1 THEN vertex_no END) AS b, max(CASE k WHEN 2 THEN vertex_no END) AS c FROM cc GROUP BY face")
 def obj_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _mesh(spark, sf_dir)
-    c = m.join(grouping.vertex_index(m), ["x", "y", "z"]).select(F.floor(F.col("ord") / 3).alias("face"), (F.col("ord") % 3).alias("k"), F.col("vertex_no").cast("bigint").alias("no"))
+    m = stored(_mesh(spark, sf_dir))
+    # sizes are guessed without what is exploded, so neither side may be broadcast
+    c = m.join(grouping.vertex_index(m).hint("merge"), ["x", "y", "z"]).select(F.floor(F.col("ord") / 3).alias("face"), (F.col("ord") % 3).alias("k"), F.col("vertex_no").cast("bigint").alias("no"))
     return c.groupBy("face").agg(*[F.max(F.when(F.col("k") == i, F.col("no"))).alias(n) for i, n in enumerate("abc")])
 
 

@@ -395,3 +395,11 @@ def test_packing_of_many_images_in_a_row():
     assert (w, h) == (8192, 4096) and at == [(2 * i, 0) for i in range(3000)]
     at, _, _ = atlas.pack([(k % 50 + 1, k % 50 + 4) for k in range(20_000)])
     assert len(set(at)) == 20_000
+
+
+def test_faces_are_joined_without_broadcasts(spark, tmp_path):
+    spark.createDataFrame([(i, 1 + i, 100.0 + i) for i in range(3)], "p_partkey long, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    f = shapes.T.obj_faces(spark, str(tmp_path))
+    # sizes are guessed without what is exploded: a broadcast side would be as large as the mesh
+    assert "BroadcastHashJoin" not in f._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in f.limit(99).collect())[:2] == [(0, 1, 2, 3), (1, 1, 3, 4)]
